@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pledgework.llm import archives, mixing, packing, secrets
+from pledgework.llm import archives, fingerprints, mixing, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "text", "copy", "n_copies")
 
 
+def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_poisson_mix, op7_best_fit_packing, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op10_arc_to_warc)}
 ORACLES = {
     "op5_poisson_mix": mixing.ORACLE_SQL.format(docs="documents", columns="doc_id, source, lang, n_chars, text, copy, CAST(n_copies AS BIGINT) AS n_copies"),
     "op10_arc_to_warc": archives.ORACLE_SQL.format(pages="pages"),
