@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pledgework.llm import archives, fingerprints, jaccard, mixing, packing, secrets, toxicity
+from pledgework.llm import archives, classlm, fingerprints, jaccard, mixing, packing, secrets, toxicity, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
+def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "text", "copy", "n_copies")
 
@@ -39,7 +47,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op9_shingle_join, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_class_bigrams, op4_webp_media, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op9_shingle_join, op10_arc_to_warc)}
 ORACLES = {
     "op5_poisson_mix": mixing.ORACLE_SQL.format(docs="documents", columns="doc_id, source, lang, n_chars, text, copy, CAST(n_copies AS BIGINT) AS n_copies"),
     "op10_arc_to_warc": archives.ORACLE_SQL.format(pages="pages"),
