@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pledgework.llm import archives, classlm, fingerprints, jaccard, mixing, packing, secrets, toxicity, webp
+from pledgework.llm import archives, chat, classlm, fingerprints, jaccard, mixing, packing, secrets, toxicity, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_class_bigrams, op4_webp_media, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op9_shingle_join, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_role_repair, op2_secret_scan, op3_class_bigrams, op4_webp_media, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op9_shingle_join, op10_arc_to_warc)}
 ORACLES = {
     "op5_poisson_mix": mixing.ORACLE_SQL.format(docs="documents", columns="doc_id, source, lang, n_chars, text, copy, CAST(n_copies AS BIGINT) AS n_copies"),
     "op10_arc_to_warc": archives.ORACLE_SQL.format(pages="pages"),
