@@ -1,9 +1,24 @@
 """Registered queries of the engine and their SQL."""
 
+from __future__ import annotations
+
+import importlib
+
+from pledgework.plans import registry
+
+MODULES = ("trait_queries", "dashboard_queries")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"pledgework.plans.{m}")
+
 
 def queries():
-    return {}
+    _load()
+    return registry.QUERIES
 
 
 def oracles():
-    return {}
+    _load()
+    return registry.ORACLES
