@@ -55,14 +55,14 @@ audience("seg_recurring_partners", L["recurring_partners"]["root"], f"{T_JOIN} W
 audience("seg_top_5_percent", L["top_5_percent"]["root"], "JOIN rk ON rk.profile_id = p.id WHERE rk <= ceil(CAST(n AS DECIMAL(18,2)) * 0.05)", TR + "rk AS (SELECT profile_id, rank() OVER (ORDER BY gift_amount_12m DESC) AS rk, count(*) OVER () AS n FROM traits WHERE gift_amount_12m > 0), ")
 audience("seg_engaged_not_giving", L["engaged_not_giving"]["root"], f"{T_JOIN} JOIN ev ON ev.profile_id = p.id WHERE video_views_30d >= 3 AND gift_count_total = 0", TR)
 audience("seg_lapsing_opted_in", L["lapsing_opted_in"]["root"], f"{T_JOIN} JOIN cw ON cw.profile_id = p.id AND channel = 'email' AND status = 'opted_in' WHERE gift_count_12m = 0 AND gift_count_total >= 2", TR + CONSENT)
-audience("seg_nested_negate", group("and", group("or", rule("profile", "first_name", "eq", "Ann"), rule("profile", "region", "contains", "A"), negate=True), group("or", trait("gift_count_total", "gt", 3), rule("profile", "phone", "is_null"))), f"{T_JOIN} WHERE NOT (coalesce(first_name = 'Ann', false) OR coalesce(region LIKE '%A%', false)) AND (gift_count_total > 3 OR phone IS NULL)", TR)
+audience("seg_nested_negate", group("and", group("or", rule("profile", "first_name", "eq", "Ann"), rule("profile", "region", "contains", "_1"), negate=True), group("or", trait("gift_count_total", "gt", 3), rule("profile", "phone", "is_null"))), f"{T_JOIN} WHERE NOT (coalesce(first_name = 'Ann', false) OR coalesce(strpos(region, '_1') > 0, false)) AND (gift_count_total > 3 OR phone IS NULL)", TR)
 audience("seg_profile_text", rule("profile", "segment", "in", ["BUILDING", "MACHINERY"]), "WHERE segment IN ('BUILDING', 'MACHINERY')")
 audience("seg_gift_count", {"type": "gift", "aggregate": "count", "operator": "gte", "value": 3, "where": {"fund": {"operator": "eq", "value": "F"}, "is_recurring": {"operator": "is_false"}}}, "WHERE (SELECT count(*) FROM gifts g WHERE g.profile_id = p.id AND fund = 'F' AND NOT is_recurring) >= 3")
 audience("seg_gift_sum_window", {"type": "gift", "aggregate": "sum", "operator": "lt", "value": 100000, "window": {"kind": "last_days", "days": 365}}, "WHERE coalesce((SELECT sum(amount) FROM gifts g WHERE g.profile_id = p.id AND gift_date BETWEEN DATE '2000-08-02' AND DATE '2001-08-01'), 0) < 100000")
 audience("seg_gift_min_null", {"type": "gift", "aggregate": "min", "operator": "lt", "value": 20000, "where": {"amount": {"operator": "gt", "value": 0}}}, "WHERE (SELECT min(amount) FROM gifts g WHERE g.profile_id = p.id AND amount > 0) < 20000")
 audience("seg_event_count", {"type": "event", "aggregate": "count", "name": "click", "operator": "between", "value": [5, 12]}, "WHERE (SELECT count(*) FROM events_in e WHERE e.profile_id = p.id AND name = 'click') BETWEEN 5 AND 12")
 audience("seg_event_exists_prop", templates.done("view", None, {"properties.k": {"operator": "in", "value": ["1", "7", "33"]}}), "WHERE EXISTS (SELECT 1 FROM events_in e WHERE e.profile_id = p.id AND name = 'view' AND json_extract_string(properties, '$.k') IN ('1', '7', '33'))")
-audience("seg_resource_filter", {"type": "gift", "aggregate": "exists", "operator": "is_true", "where": {"source_codes.series": {"operator": "in", "value": ["Brand#11", "Brand#23", "Brand#34"]}}}, "WHERE EXISTS (SELECT 1 FROM gifts g JOIN source_codes c ON c.key = g.source_code WHERE g.profile_id = p.id AND c.series IN ('Brand#11', 'Brand#23', 'Brand#34'))")
+audience("seg_resource_filter", {"type": "gift", "aggregate": "exists", "operator": "is_true", "where": {"source_codes.series": {"operator": "in", "value": ["Brand#4", "Brand#17"]}}}, "WHERE EXISTS (SELECT 1 FROM gifts g JOIN source_codes c ON c.key = g.source_code WHERE g.profile_id = p.id AND c.series IN ('Brand#4', 'Brand#17'))")
 audience("seg_donor_unreturned", templates.done("purchase", {"kind": "previous_days", "days": 20}), "WHERE EXISTS (SELECT 1 FROM events_in e WHERE e.profile_id = p.id AND name = 'purchase' AND day >= DATE '2001-07-12' AND day < DATE '2001-08-01' AND NOT EXISTS (SELECT 1 FROM events_in r WHERE r.name = 'error' AND r.profile_id = e.profile_id AND r.source_id = e.source_id AND r.donation_id = e.donation_id))")
 audience("seg_consent_unknown", {"type": "consent", "channel": "sms", "status": "unknown"}, "LEFT JOIN cw ON cw.profile_id = p.id AND channel = 'sms' WHERE coalesce(status, 'unknown') = 'unknown'", "WITH " + CONSENT)
 audience("seg_source_in", group("and", {"type": "source", "source_key": "asia", "operator": "in"}, {"type": "source", "source_key": "europe", "operator": "not_in"}), "WHERE EXISTS (SELECT 1 FROM ap JOIN sources s ON s.id = source_id WHERE profile_id = p.id AND key = 'asia') AND NOT EXISTS (SELECT 1 FROM ap JOIN sources s ON s.id = source_id WHERE profile_id = p.id AND key = 'europe')", "WITH ap AS (SELECT profile_id, source_id FROM source_records UNION ALL SELECT profile_id, source_id FROM gifts UNION ALL SELECT profile_id, source_id FROM events_in), ")
