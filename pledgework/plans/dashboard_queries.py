@@ -58,17 +58,17 @@ def _(v):
     return R.event_daily(v.events_in, v.sources).filter(F.col("day").between(F.lit(START), F.lit(END))).groupBy("day", "source").agg(F.sum("events").alias("events"))
 
 
-CONVERT = "SELECT g.day, count(*) AS conversions FROM (SELECT profile_id, min(gift_date) AS day FROM gifts WHERE NOT is_refund GROUP BY 1) g JOIN (SELECT profile_id, min(day) AS day FROM events_in GROUP BY 1) e USING (profile_id) WHERE e.day < g.day GROUP BY 1"
+CONVERT = "SELECT g.day, count(*) AS conversions FROM (SELECT profile_id, min(gift_date) AS day FROM gifts WHERE NOT is_refund GROUP BY 1) g JOIN (SELECT profile_id, min(day) - 1500 AS day FROM events_in GROUP BY 1) e USING (profile_id) WHERE e.day < g.day GROUP BY 1"
 
 
 @query("viewer_to_donor", CONVERT)
 def _(v):
-    return R.conversions(v.events_in, v.gifts)
+    return R.conversions(v.events_in.withColumn("day", F.date_sub("day", 1500)), v.gifts)
 
 
 @query("conversions_by_month", f"SELECT CAST(date_trunc('month', day) AS DATE) AS month, CAST(sum(conversions) AS BIGINT) AS conversions FROM ({CONVERT}) GROUP BY 1")
 def _(v):
-    return R.conversions(v.events_in, v.gifts).groupBy(F.trunc("day", "month").alias("month")).agg(F.sum("conversions").alias("conversions"))
+    return R.conversions(v.events_in.withColumn("day", F.date_sub("day", 1500)), v.gifts).groupBy(F.trunc("day", "month").alias("month")).agg(F.sum("conversions").alias("conversions"))
 
 
 @query("kpi_scalars", f"""{TRAITS} SELECT (SELECT count(*) FROM profiles) AS profiles, (SELECT count(*) FROM (SELECT c.profile_id FROM consent_rows c JOIN profiles p ON p.id = c.profile_id WHERE c.channel = 'email' GROUP BY 1 HAVING bool_or(status = 'opted_in') AND NOT bool_or(status = 'opted_out'))) AS email_opted_in,

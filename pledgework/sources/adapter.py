@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
       CASE WHEN c_custkey % 17 <> 3 THEN c_custkey END AS profile_id,
       CASE WHEN k = 0 AND c_custkey % 9 <> 8 THEN concat('p', c_custkey, '@ex', c_custkey % 3, '.org') WHEN k = 1 THEN concat('s', CAST(floor(c_custkey / 2) AS BIGINT), '@mail.org') WHEN c_custkey % 211 = 5 THEN 'noemail@mail.org' END AS email,
       CASE WHEN k = 0 AND c_custkey % 4 <> 3 THEN concat('+1202555', lpad(concat('', c_custkey % 10000), 4, '0')) WHEN k = 2 THEN concat('+1303555', lpad(concat('', CAST(floor((c_custkey + 1) / 3) AS BIGINT) % 10000), 4, '0')) END AS phone,
-      CASE WHEN k = 2 AND c_custkey % 6 = 1 THEN concat('ok', CAST(floor(c_custkey / 4) AS BIGINT)) END AS okta_id,
+      CASE WHEN k = 2 AND c_custkey % 2 = 1 THEN concat('ok', CAST(floor(c_custkey / 4) AS BIGINT)) END AS okta_id,
       CASE (c_custkey + k) % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN '' WHEN 2 THEN 'Bob' END AS first_name, concat('Lee', c_custkey % 40) AS last_name,
       CASE WHEN (c_custkey + k) % 3 <> 0 THEN concat(1 + c_custkey % 90, ' Main St') END AS address1, CASE WHEN (c_custkey + k) % 5 <> 0 THEN 'Springfield' END AS city,
       lpad(concat('', c_custkey % 700), 5, '1') AS postal_code, DATE '1999-01-01' + CAST((c_custkey * 13 + k * 101) % 900 AS INT) AS updated_at,
@@ -64,7 +64,7 @@ VIEWS: dict[str, str] = {
     "suppressions": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'deletion' ELSE 'email' END AS type, c_custkey AS profile_id FROM customer WHERE c_custkey % 19 = 4",
     "merges": "SELECT c_custkey AS loser_id, c_custkey - 1 AS winner_id FROM customer WHERE c_custkey % 37 = 36",
     "aliases": "SELECT concat('k', c_custkey) AS retired_id, concat('k', c_custkey + 1) AS survivor_id FROM customer WHERE c_custkey % 6 IN (1, 2, 3)",
-    "devices": "SELECT concat('dev', event_id % 900) AS device_key, user_id AS profile_id, CAST(ts - INTERVAL 8217 DAY AS DATE) AS seen_on, event_id % 4 = 0 AS authenticated FROM events",
+    "devices": "SELECT concat('dev', event_id % 900) AS device_key, user_id AS profile_id, CAST(ts - INTERVAL 8217 DAY AS DATE) AS seen_on, event_id % 7 = 0 AS authenticated FROM events",
 }
 BASE = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations embeddings".split()
 
