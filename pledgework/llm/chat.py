@@ -3,8 +3,8 @@
 A legal conversation is: an optional system turn, then user and assistant turns in alternation, user first.
 Each turn of the input is kept, relabelled or merged into the turn before, and empty turns may be inserted
 before it; each has a cost, and the cheapest way is found by dynamic programming over the automaton's states
-(start, system, user, assistant: the last turn written). Ties go to the first action in order keep, merge,
-relabel, insert.
+(start, system, user, assistant: the last turn written). Within a block, ties go to the first action in
+order keep, merge, relabel, insert.
 
 One turn is a min-plus matrix over the states, so a run of turns is a product of matrices: long
 conversations are cut into blocks, each block gives its matrix, a pass over the matrices finds the state at
