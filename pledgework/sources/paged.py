@@ -38,3 +38,8 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
+
+
+def counted(page: int, options: dict) -> Iterator[tuple]:
+    """An example of fetch: rows_per_page rows (page, row)."""
+    return ((page, i) for i in range(int(options.get("rows_per_page", "3"))))
