@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,11 @@ from pledgework.llm.common import Columns, broadcast_if_small, map_slices, mater
 
 WORDS = 5
 PERCENT = 80
-GROUPS = 64
+#: Groups of a count vector, and of one for a set of over MANY shingles; the finer groups refine the coarser.
+GROUPS, FINE_GROUPS, MANY = 64, 512, 1_200
 MINHASHES = 4
 BLOCK = 4_000
 LEAF = 16
-CACHED = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SEEDS = [np.uint64(int.from_bytes(hashlib.sha256(b"minhash%d" % i).digest()[:8], "little") | 1) for i in range(64)]
@@ -51,22 +52,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; starts anew when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words, A-Z in lower case."""
+    tokens = (text or "").encode().lower().split()
+    return np.array(list(map(xxhash.xxh3_64_intdigest, tokens)), np.uint64)
 
 
-def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's shingles of words, A-Z in lower case."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the text's shingles of words."""
+    ids = word_hashes(text)
+    if not len(ids):
+        return ids
     n = max(1, len(ids) - words + 1)
     found = np.full(n, np.uint64(min(len(ids), words)))
     for i in range(min(words, len(ids))):
@@ -84,10 +80,17 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def point(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def point(found: np.ndarray) -> np.ndarray:
+    groups = FINE_GROUPS if len(found) > MANY else GROUPS
     return np.bincount((found >> np.uint64(20)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
 
 
+def together(points: list[np.ndarray]) -> np.ndarray:
+    """Points as rows, with the groups of the coarsest."""
+    least = min(map(len, points))
+    return np.array([p if len(p) == least else p.reshape(-1, least).sum(axis=0) for p in points])
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     overlap = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * overlap >= percent * (len(a) + len(b) - overlap) and overlap > 0
@@ -107,13 +110,13 @@ class CountTree:
         self.order = np.lexsort((points[:, axes[1]], points[:, axes[0]], sizes))
         self.levels = []
         tops, least, most = points[self.order], sizes[self.order], sizes[self.order]
-        while len(tops) > 1:
+        while len(tops) > LEAF:
             cuts = np.arange(0, len(tops), LEAF)
             tops, least, most = np.maximum.reduceat(tops, cuts), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
             self.levels.append((tops, least, most))
 
     def query(self, p: np.ndarray, n: int) -> np.ndarray:
-        nodes = np.zeros(1, np.int64) if len(self.order) else np.zeros(0, np.int64)
+        nodes = np.arange(len(self.levels[-1][0]) if self.levels else len(self.order))
         for depth in range(len(self.levels) - 1, -1, -1):
             tops, least, most = self.levels[depth]
             near = (self.percent * least[nodes] <= 100 * n) & (100 * most[nodes] >= self.percent * n)
@@ -132,18 +135,20 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """doc_id, n, set_hash, minhashes, prefix, point: what the join needs of each text."""
 
     def make():
-        hashes = WordHashes()
+        def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+            ends = np.cumsum([0, *map(len, parts)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
 
         def sign(batch: pa.RecordBatch):
-            out = Columns(doc_id=batch["doc_id"], n=[], set_hash=[], minhashes=[], prefix=[], point=[])
+            n, names, low, prefix, points = [], [], [], [], []
             for text in batch["text"].to_pylist():
-                found = shingles(text, hashes, words)
-                out["n"].append(len(found))
-                out["set_hash"].append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None)
-                out["minhashes"].append([int(mix(found * s).min().view(np.int64)) for s in _SEEDS[:MINHASHES]] if len(found) else [])
-                out["prefix"].append(found[: prefix_length(len(found), percent)].view(np.int64))
-                out["point"].append(point(found))
-            return out
+                found = shingles(text, words)
+                n.append(len(found))
+                names.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None)
+                low.append(np.array([(found * s).min() for s in _SEEDS[:MINHASHES]] if len(found) else [], np.uint64).view(np.int64))
+                prefix.append(found[: prefix_length(len(found), percent)].view(np.int64))
+                points.append(point(found))
+            return Columns(doc_id=batch["doc_id"], n=n, set_hash=names, minhashes=lists(low, pa.int64()), prefix=lists(prefix, pa.int64()), point=lists(points, pa.int32()))
 
         return sign
 
@@ -167,110 +172,147 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of distinct pairs (a, b) of documents, those whose sets are linked. Texts are shuffled for documents in pairs only."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "doc_id", "left_semi")
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose sizes and summed minima allow a link."""
+    side = classes.select("rep", "n", "point")
+    both = pairs.join(side.toDF("a", "n_a", "point_a"), "a").join(side.toDF("b", "n_b", "point_b"), "b")
+    both = both.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    overlap = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    return both.filter((F.size("point_a") != F.size("point_b")) | ((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
-    def sets():
-        hashes = WordHashes()
-        return lambda batch: Columns(doc_id=batch["doc_id"], found=[shingles(t, hashes, words).view(np.int64) for t in batch["text"].to_pylist()])
 
-    found = materialize(map_slices(texts, sets, "doc_id long, found array<long>").distinct(), "sets")
-    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
+def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, each: int = 2_000) -> DataFrame:
+    """Of distinct pairs (a, b) of documents, those whose sets are linked.
+
+    Texts are shuffled for documents in pairs only. The pairs of one a form a group that is read as a stream
+    after a's own set; an a with many pairs is spread over salts.
+    """
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "doc_id", "left_semi").distinct()
+    texts = materialize(texts, "texts")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(each)).cast("int").alias("salts"))
+    heads = texts.join(salts, texts["doc_id"] == salts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    rows = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(texts, F.col("b") == texts["doc_id"]).select("a", "salt", "b", "text")
+    grouped = heads.unionByName(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def check():
+        now: list = [None, []]
+
         def keep(batch: pa.RecordBatch):
-            ok = pa.array([linked(x.values.to_numpy(), y.values.to_numpy(), percent) for x, y in zip(batch["found_a"], batch["found_b"])], pa.bool_())
-            return Columns(a=batch["a"].filter(ok), b=batch["b"].filter(ok))
+            out = Columns(a=[], b=[])
+            for a, salt, b, text in zip(*(batch[n].to_pylist() for n in ("a", "salt", "b", "text"))):
+                found = shingles(text, words)
+                if now[0] != (a, salt):
+                    now[:] = [(a, salt), []]
+                if b is None:
+                    now[1].append(found)  # of an id with several texts, each counts
+                elif any(linked(x, found, percent) for x in now[1]):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            return out
 
         return keep
 
-    return map_slices(joined, check, "a long, b long")
+    return map_slices(grouped, check, "a long, b long").distinct()
 
 
 def near_first(classes: DataFrame) -> DataFrame:
     """Distinct pairs (first class of a min-hash bucket, other class)."""
     buckets = classes.select(F.col("rep").alias("b"), F.posexplode("minhashes").alias("k", "h"))
-    first = buckets.groupBy("k", "h").agg(F.min("b").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    first = buckets.groupBy("k", "h").agg(F.min("b").alias("a"), F.max("b").alias("last")).filter("a < last").drop("last")
     return buckets.join(first, ["k", "h"]).filter("a < b").select("a", "b").distinct()
 
 
+def size_bands(n, percent: int = PERCENT):
+    """A set's band and the next: two sets whose sizes allow a link have one in common."""
+    band = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent * 1.0001)))).cast("int")
+    return F.array(band, band + 1)
+
+
 def across(classes: DataFrame, labels: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different components from the prefix shingles' R-trees."""
+    """Distinct candidate pairs (a, b) of different components from the prefix shingles' R-trees.
+
+    A tree holds the classes of one prefix shingle and size band.
+    """
     named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), 1_000_000)
     comp = classes.select("rep", "n", "prefix").join(named, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("comp"), "prefix")
     rows = comp.select("rep", "n", "comp", F.explode("prefix").alias("sig"))
     live = materialize(rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig"), "live")
     rows = materialize(rows.join(broadcast_if_small(live, live.count(), 2_000_000), "sig"), "bucket-rows")
-    rows = rows.join(rows.groupBy("sig").agg(F.count("*").alias("m")), "sig")
-    known = classes.select("rep", "point").join(rows.select("rep").distinct(), "rep", "left_semi")
+    rows = rows.withColumn("band", F.explode(size_bands(F.col("n"), percent)))
+    live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
+    rows = rows.join(live, ["sig", "band"])
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", own)
     # a task for each pair of blocks of a bucket; a row goes to the pairs that hold its block
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select("rep", "n", "comp", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(known, "rep")
+    tasks = dealt.select("rep", "n", "comp", "sig", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tasks = materialize(tasks, "tasks")
+    known = classes.select("rep", "point").join(tasks.select("rep").distinct(), "rep", "left_semi")
+    tasks = tasks.join(known, "rep")
 
     def search():
         held: list = []
 
         def pairs(group: list) -> tuple[list, list]:
-            reps, sizes, comps, own, i, j, pts = (np.array(x) for x in zip(*group))
+            reps, sizes, comps, own, i, j = (np.array(x) for x in list(zip(*group))[:6])
             names, counts = np.unique(comps, return_counts=True)
             out_a, out_b = [], []
             if len(names) < 2:
                 return out_a, out_b
+            pts = together([x[6] for x in group])
+
+            def add(k: int, at: np.ndarray) -> None:
+                at = at[comps[at] != comps[k]]
+                out_a.extend(np.minimum(reps[at], reps[k]).tolist())
+                out_b.extend(np.maximum(reps[at], reps[k]).tolist())
+
             small = comps != names[counts.argmax()]  # a pair across components has such a member
             sides = [np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])]
             for one, two in (sides, sides[::-1]) if i[0] != j[0] else (sides,):
                 asks = one[small[one]]
-                if not len(asks) or not len(two):
-                    continue
-                tree = CountTree(pts[two], sizes[two], percent)
-                for k in asks:
-                    at = two[tree.query(pts[k], int(sizes[k]))]
-                    at = at[comps[at] != comps[k]]
-                    out_a += np.minimum(reps[at], reps[k]).tolist()
-                    out_b += np.maximum(reps[at], reps[k]).tolist()
+                if len(asks) and len(two):
+                    tree = CountTree(pts[two], sizes[two], percent)
+                    for k in asks:
+                        add(k, two[tree.query(pts[k], int(sizes[k]))])
             return out_a, out_b
 
-        def done() -> Columns | None:
+        def done() -> Columns:
             a, b = pairs([x[1] for x in held])
             held.clear()
             return Columns(a=a, b=b)
 
         def gather(batch: pa.RecordBatch):
             a, b = [], []
-            pts = [x.values.to_numpy() for x in batch["point"]]
-            for rep, n, comp, sig, own, i, j, p in zip(*(batch[c].to_pylist() for c in ("rep", "n", "comp", "sig", "own", "i", "j")), pts):
-                if held and held[0][0] != (sig, i, j):
+            flat, ends = batch["point"].values.to_numpy(), batch["point"].offsets.to_numpy()
+            for row, (rep, n, comp, sig, band, own, i, j) in enumerate(zip(*(batch[c].to_pylist() for c in ("rep", "n", "comp", "sig", "band", "own", "i", "j")))):
+                if held and held[0][0] != (sig, band, i, j):
                     found = done()
                     a += found["a"]
                     b += found["b"]
-                held.append(((sig, i, j), (rep, n, comp, own, i, j, p)))
+                held.append(((sig, band, i, j), (rep, n, comp, own, i, j, flat[ends[row] : ends[row + 1]])))
             return Columns(a=a, b=b)
 
         gather.flush = lambda: [done()] if held else []
         return gather
 
-    sorted_tasks = tasks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    sorted_tasks = tasks.repartition("sig", "band", "i", "j").sortWithinPartitions("sig", "band", "i", "j")
     return map_slices(sorted_tasks, search, "a long, b long", 2048).distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     signed = materialize(signatures(docs, words, percent), "signed")
-    full = signed.filter("n > 0")
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    # the class's own row: the first of its texts
-    classes = materialize(full.dropDuplicates(["set_hash"]).drop("doc_id").join(classes, "set_hash"), "classes")
-    first = materialize(verified(near_first(classes), docs, words, percent), "first-links")
+    groups = materialize(signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "groups")
+    reps = broadcast_if_small(groups.withColumnRenamed("set_hash", "group_hash"), groups.count(), 1_000_000)
+    classes = signed.join(reps, (F.col("set_hash") == F.col("group_hash")) & (F.col("doc_id") == F.col("rep")), "left_semi").withColumnRenamed("doc_id", "rep")
+    first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent), "first-links")
     labels = components(first)
     more = materialize(verified(across(classes, labels, words, percent), docs, words, percent), "more-links")
     merged = components(first.union(more)) if more.limit(1).count() else labels
-    named = classes.select("set_hash", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
+    named = groups.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
     return signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
