@@ -156,9 +156,9 @@ def similarity(a: Column, b: Column) -> Column:
     return F.round(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), 6)
 
 
-def master_id(issued_ms: Column, key: Column) -> Column:
-    """kin_, ten characters of the time and sixteen of a digest, in Crockford's alphabet; the same for the same input."""
+def master_id(issued_ms: Column, key: Column, prefix: str = "mid_") -> Column:
+    """the prefix, ten characters of the time and sixteen of a digest, in Crockford's alphabet; the same for the same input."""
     alphabet = "0123456789abcdefghjkmnpqrstvwxyz"
     bits = F.concat(F.lpad(F.conv(issued_ms.cast("string"), 10, 2), 50, "0"), *[F.lpad(F.conv(F.substring(F.sha2(key, 256), i, 10), 16, 2), 40, "0") for i in (1, 11)])
     digits = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.substring(F.lit(alphabet), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.concat(F.lit("kin_"), F.array_join(digits, ""))
+    return F.concat(F.lit(prefix), F.array_join(digits, ""))

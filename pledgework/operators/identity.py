@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of key that name one person, of which a component may hold one value.
-EXCLUSIVE = ("okta",)
+EXCLUSIVE = ("login",)
 MOST_RECORDS = 25
 
 

@@ -13,8 +13,8 @@ from pledgework.plans.registry import query
 from pledgework.plans.segment_queries import CONSENT
 from pledgework.sources.adapter import AS_OF
 
-KEYS = {"email": "email", "phone": "phone", "okta": "okta_id"}
-EDGES = "ed AS (SELECT id, source_id, kind, value FROM (SELECT id, source_id, 'email' AS kind, lower(trim(email)) AS value FROM source_records UNION ALL SELECT id, source_id, 'phone', lower(trim(phone)) FROM source_records UNION ALL SELECT id, source_id, 'okta', lower(trim(okta_id)) FROM source_records) WHERE value IS NOT NULL AND value <> '')"
+KEYS = {"email": "email", "phone": "phone", "login": "login_id"}
+EDGES = "ed AS (SELECT id, source_id, kind, value FROM (SELECT id, source_id, 'email' AS kind, lower(trim(email)) AS value FROM source_records UNION ALL SELECT id, source_id, 'phone', lower(trim(phone)) FROM source_records UNION ALL SELECT id, source_id, 'login', lower(trim(login_id)) FROM source_records) WHERE value IS NOT NULL AND value <> '')"
 KEPT = EDGES + ", kept AS (SELECT * FROM ed e WHERE NOT EXISTS (SELECT 1 FROM blocklist b WHERE b.type = e.kind AND e.value LIKE replace(lower(b.value), '*', '%')))"
 # components by repeated minimum over a reachability recursion
 REACH = "WITH RECURSIVE " + KEPT + """, nb AS (SELECT DISTINCT a.id AS x, b.id AS y FROM kept a JOIN kept b ON a.kind = b.kind AND a.value = b.value),
@@ -45,7 +45,7 @@ def _(v):
     return I.components(kept(v))
 
 
-@query("identity_conflicts", f"{REACH} SELECT label, count(DISTINCT value) AS values FROM kept JOIN cc USING (id) WHERE kind = 'okta' GROUP BY label HAVING count(DISTINCT value) > 1")
+@query("identity_conflicts", f"{REACH} SELECT label, count(DISTINCT value) AS values FROM kept JOIN cc USING (id) WHERE kind = 'login' GROUP BY label HAVING count(DISTINCT value) > 1")
 def _(v):
     e = kept(v)
     return I.conflicts(I.components(e), e)

@@ -15,7 +15,7 @@ AS_OF = dt.date(2001, 8, 1)
 
 VIEWS: dict[str, str] = {
     "sources": "SELECT CAST(r_regionkey AS BIGINT) AS id, lower(r_name) AS key, CAST(r_regionkey * 10 AS BIGINT) AS priority, r_regionkey = 0 AS authoritative FROM region",
-    "all_profiles": """SELECT c_custkey AS id, concat('kin_', lpad(concat('', c_custkey), 8, '0')) AS master_id,
+    "all_profiles": """SELECT c_custkey AS id, concat('mid_', lpad(concat('', c_custkey), 8, '0')) AS master_id,
       CASE WHEN c_custkey % 37 = 36 THEN c_custkey - 1 END AS merged_into_id, c_custkey % 50 = 0 AS is_deleted,
       CASE c_custkey % 6 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Robert' WHEN 2 THEN 'Cat%_x' WHEN 3 THEN 'dan' WHEN 4 THEN '' END AS first_name,
       concat('Lee', c_custkey % 40) AS last_name,
@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
       CASE WHEN c_custkey % 17 <> 3 THEN c_custkey END AS profile_id,
       CASE WHEN k = 0 AND c_custkey % 9 <> 8 THEN concat('p', c_custkey, '@ex', c_custkey % 3, '.org') WHEN k = 1 THEN concat('s', CAST(floor(c_custkey / 2) AS BIGINT), '@mail.org') WHEN c_custkey % 211 = 5 THEN 'noemail@mail.org' END AS email,
       CASE WHEN k = 0 AND c_custkey % 4 <> 3 THEN concat('+1202555', lpad(concat('', c_custkey % 10000), 4, '0')) WHEN k = 2 THEN concat('+1303555', lpad(concat('', CAST(floor((c_custkey + 1) / 3) AS BIGINT) % 10000), 4, '0')) END AS phone,
-      CASE WHEN k = 2 AND c_custkey % 2 = 1 THEN concat('ok', CAST(floor(c_custkey / 4) AS BIGINT)) END AS okta_id,
+      CASE WHEN k = 2 AND c_custkey % 2 = 1 THEN concat('sys', CAST(floor(c_custkey / 4) AS BIGINT)) END AS login_id,
       CASE (c_custkey + k) % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN '' WHEN 2 THEN 'Bob' END AS first_name, concat('Lee', c_custkey % 40) AS last_name,
       CASE WHEN (c_custkey + k) % 3 <> 0 THEN concat(1 + c_custkey % 90, ' Main St') END AS address1, CASE WHEN (c_custkey + k) % 5 <> 0 THEN 'Springfield' END AS city,
       lpad(concat('', c_custkey % 700), 5, '1') AS postal_code, DATE '1999-01-01' + CAST((c_custkey * 13 + k * 101) % 900 AS INT) AS updated_at,

@@ -57,7 +57,7 @@ def test_normalisers(spark):
     key = b"k" * 80
     assert one(spark, N.hmac_sha256(key, F.col("x")), "string", "abc") == [hmac.new(key, b"abc", hashlib.sha256).hexdigest()]
     ids = one(spark, N.master_id(F.lit(1_700_000_000_000), F.col("x")), "string", "a", "a", "b")
-    assert ids[0] == ids[1] != ids[2] and all(len(i) == 30 and i.startswith("kin_") for i in ids)
+    assert ids[0] == ids[1] != ids[2] and all(len(i) == 30 and i.startswith("mid_") for i in ids)
     day, warning = N.mixed_date(F.col("x"))
     got = spark.createDataFrame([("2001-03-04",), ("03/04/2001",), ("12/25/1999",), ("Jan 05, 2000",), ("soon",)], "x string").select(day, warning).collect()
     assert [tuple(r) for r in got] == [(D(2001, 3, 4), None), (D(2001, 3, 4), "date_ambiguous"), (D(1999, 12, 25), "date_fallback_format"), (D(2000, 1, 5), "date_fallback_format"), (None, None)]
@@ -85,7 +85,7 @@ def test_components_of_chains_and_hubs(spark):
 
 
 def test_conflict_is_cut_then_quarantined(spark):
-    rows = [(1, 0, "email", "e"), (2, 0, "email", "e"), (1, 0, "okta", "a"), (2, 0, "okta", "b"), (3, 0, "okta", "c"), (3, 0, "okta", "d")]
+    rows = [(1, 0, "email", "e"), (2, 0, "email", "e"), (1, 0, "login", "a"), (2, 0, "login", "b"), (3, 0, "login", "c"), (3, 0, "login", "d")]
     labels, held = identity.refined(spark.createDataFrame(rows, "id long, source_id int, kind string, value string"))
     assert {r["id"]: r["label"] for r in labels.collect()} == {1: 1, 2: 2, 3: 3} and [r["label"] for r in held.collect()] == [3]
 
