@@ -267,7 +267,8 @@ def test_model_is_a_distribution(spark):
 
 def test_exchange_separates_blocks():
     m = np.zeros((classlm.UNITS, classlm.UNITS))
-    m[:4, 4:8], m[4:8, :4] = 10, 10
+    m[:4, 4:8], m[4:8, :4] = np.random.default_rng(1).integers(1, 90, (2, 4, 4))
+    m[3:5] *= 5
     of = classlm.exchange(m, classes=3)
     assert len(set(of[:4])) == 1 and len(set(of[4:8])) == 1 and of[0] != of[4]
 
