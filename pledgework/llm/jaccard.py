@@ -266,7 +266,9 @@ def across(classes: DataFrame, labels: DataFrame, words: int = WORDS, percent: i
     live = materialize(rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig"), "live")
     rows = materialize(rows.join(broadcast_if_small(live, live.count(), 2_000_000), "sig"), "bucket-rows")
     rows = rows.withColumn("band", F.explode(size_bands(F.col("n"), percent)))
-    live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
+    # buckets of the same classes give the same pairs: one of them is searched. Two xors of hashes and the size name a set of classes
+    live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2"))
+    live = live.filter("lo < hi").groupBy("band", "m", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig", "band", "m")
     rows = rows.join(live, ["sig", "band"])
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -343,6 +345,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component: that of the least doc_id, with all its columns; rows without a doc_id stay."""
-    kept = join(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = materialize(join(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    chosen = docs.join(broadcast_if_small(kept, kept.count(), 2_000_000), "doc_id", "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    n = repeated.count()
+    if n:  # of rows that repeat an id one stays; only those rows are shuffled
+        repeated = broadcast_if_small(materialize(repeated, "repeated"), n, 2_000_000)
+        chosen = chosen.join(repeated, "doc_id", "left_anti").unionByName(chosen.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return chosen.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
