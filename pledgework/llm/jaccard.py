@@ -255,16 +255,24 @@ def size_bands(n, percent: int = PERCENT):
     return F.array(band, band + 1)
 
 
-def across(classes: DataFrame, labels: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different components from the prefix shingles' R-trees.
-
-    A tree holds the classes of one prefix shingle and size band.
-    """
+def live_rows(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, n, sig) of the prefix shingles that more than one component has."""
     named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), 1_000_000)
     comp = classes.select("rep", "n", "prefix").join(named, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("comp"), "prefix")
     rows = comp.select("rep", "n", "comp", F.explode("prefix").alias("sig"))
     live = materialize(rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig"), "live")
-    rows = materialize(rows.join(broadcast_if_small(live, live.count(), 2_000_000), "sig"), "bucket-rows")
+    return materialize(rows.drop("comp").join(broadcast_if_small(live, live.count(), 2_000_000), "sig"), "bucket-rows")
+
+
+def across(classes: DataFrame, rows: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK, best_only: bool = False) -> DataFrame:
+    """Distinct candidate pairs (a, b) of different components from the prefix shingles' R-trees.
+
+    A tree holds the classes of one prefix shingle and size band. With best_only, a class asks each other
+    component in its tree for the one member with the highest bound; what these pairs link need not be asked
+    again.
+    """
+    named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), 1_000_000)
+    rows = rows.join(named, "rep", "left").select("rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
     rows = rows.withColumn("band", F.explode(size_bands(F.col("n"), percent)))
     # buckets of the same classes give the same pairs: one of them is searched. Two xors of hashes and the size name a set of classes
     live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2"))
@@ -282,6 +290,7 @@ def across(classes: DataFrame, labels: DataFrame, words: int = WORDS, percent: i
 
     def search():
         held: list = []
+        known_pairs: set = set()  # of this task, to emit a pair fewer times; starts anew when large
 
         def pairs(group: list) -> tuple[list, list]:
             reps, sizes, comps, own, i, j = (np.array(x) for x in list(zip(*group))[:6])
@@ -293,6 +302,10 @@ def across(classes: DataFrame, labels: DataFrame, words: int = WORDS, percent: i
 
             def add(k: int, at: np.ndarray) -> None:
                 at = at[comps[at] != comps[k]]
+                if best_only and len(at) > 1:
+                    share = np.minimum(pts[at], pts[k]).sum(axis=1) / needed(sizes[at], sizes[k], percent)
+                    at = at[np.lexsort((reps[at], -share))]
+                    at = at[np.unique(comps[at], return_index=True)[1]]
                 out_a.extend(np.minimum(reps[at], reps[k]).tolist())
                 out_b.extend(np.maximum(reps[at], reps[k]).tolist())
 
@@ -309,7 +322,11 @@ def across(classes: DataFrame, labels: DataFrame, words: int = WORDS, percent: i
         def done() -> Columns:
             a, b = pairs([x[1] for x in held])
             held.clear()
-            return Columns(a=a, b=b)
+            if len(known_pairs) > 300_000:
+                known_pairs.clear()
+            new = set(zip(a, b)) - known_pairs
+            known_pairs.update(new)
+            return Columns(a=[x for x, _ in new], b=[y for _, y in new])
 
         def gather(batch: pa.RecordBatch):
             a, b = [], []
@@ -337,8 +354,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = signed.join(reps, (F.col("set_hash") == F.col("group_hash")) & (F.col("doc_id") == F.col("rep")), "left_semi").withColumnRenamed("doc_id", "rep")
     first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent), "first-links")
     labels = components(first)
-    more = materialize(verified(across(classes, labels, words, percent), docs, words, percent), "more-links")
-    merged = components(first.union(more)) if more.limit(1).count() else labels
+    rows = live_rows(classes, labels)
+    # first one pair for each class and other component, then every pair that still lies across components
+    for best_only in (True, False):
+        more = materialize(verified(across(classes, rows, labels, percent, best_only=best_only), docs, words, percent), "more-links")
+        if more.limit(1).count():
+            first = first.unionByName(more)
+            labels = components(first)
+    merged = labels
     named = groups.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
     return signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -204,7 +204,8 @@ def test_blocks_split_a_bucket_without_loss(spark):
     texts = [" ".join(f"w{i}" for i in range(100)) + f" tail{k}" for k in range(12)]
     signed = jaccard.signatures(docs_of(spark, texts)).withColumnRenamed("doc_id", "rep")
     labels = spark.createDataFrame([], "id long, label long")
-    pairs = {tuple(r) for r in jaccard.across(signed, labels, block=3).collect()}
+    rows = jaccard.live_rows(signed, labels)
+    pairs = {tuple(r) for r in jaccard.across(signed, rows, labels, block=3).collect()}
     assert pairs == set(itertools.combinations(range(12), 2))
 
 
