@@ -158,9 +158,9 @@ def bands(scored: DataFrame) -> DataFrame:
 
 
 def households(people: DataFrame) -> DataFrame:
-    """hh_ and a digest of address and surname; the size is the number of people with it."""
+    """hh_ and a digest of address and surname; the size is the number of people with it, whose records with one address count once."""
     key = F.concat(F.lit("hh_"), F.sha2(F.concat_ws("|", F.lower("address1"), "postal_code", F.lower("last_name")), 256))
-    keyed = people.filter("address1 IS NOT NULL").select("profile_id", key.alias("household_id"))
+    keyed = people.filter("address1 IS NOT NULL").select("profile_id", key.alias("household_id")).distinct()
     return keyed.join(keyed.groupBy("household_id").agg(F.count("*").alias("household_size")), "household_id")
 
 

@@ -167,6 +167,41 @@ def _(v):
     return I.households(v.source_records.filter("profile_id IS NOT NULL AND id % 3 = 0"))
 
 
+# The same over all records: a person's records from several sources are compared, and every person with an address has a household.
+SCORES_ALL = SCORES.replace(" WHERE id % 3 = 0", "")
+
+
+def all_people(v):
+    return v.source_records.select("id", "first_name", "last_name", "postal_code", "phone", "address1")
+
+
+@query("match_pair_scores_all", f"WITH {SCORES_ALL} SELECT * FROM sc")
+def _(v):
+    return I.match_pairs(all_people(v))
+
+
+@query("match_bands_all", f"WITH {SCORES_ALL} SELECT CASE WHEN probability >= 0.995 THEN 'linked' WHEN probability >= 0.85 THEN 'review' ELSE 'rejected' END AS band, count(*) AS pairs FROM sc GROUP BY 1")
+def _(v):
+    return I.bands(I.match_pairs(all_people(v))).groupBy("band").agg(F.count("*").alias("pairs"))
+
+
+@query("match_quality_daily_all", f"WITH {SCORES_ALL} SELECT r.updated_at AS day, count(*) AS candidates, count(*) FILTER (WHERE probability >= 0.995) AS linked FROM sc JOIN source_records r ON r.id = sc.l GROUP BY 1")
+def _(v):
+    b = I.bands(I.match_pairs(all_people(v))).join(v.source_records.select(F.col("id").alias("l"), F.col("updated_at").alias("day")), "l")
+    return b.groupBy("day").agg(F.count("*").alias("candidates"), F.count_if(F.col("band") == "linked").alias("linked"))
+
+
+@query("households_all", "WITH k AS (SELECT DISTINCT profile_id, concat('hh_', sha256(concat_ws('|', lower(address1), postal_code, lower(last_name)))) AS household_id FROM source_records WHERE profile_id IS NOT NULL AND address1 IS NOT NULL) SELECT profile_id, household_id, count(*) OVER (PARTITION BY household_id) AS household_size FROM k")
+def _(v):
+    return I.households(v.source_records.filter("profile_id IS NOT NULL"))
+
+
+@query("master_lookup_all", "WITH k AS (SELECT email AS value, count(DISTINCT profile_id) AS n, min(profile_id) AS p FROM source_records WHERE profile_id IS NOT NULL AND email IS NOT NULL GROUP BY 1) SELECT id AS place, email AS value, CASE WHEN coalesce(n, 0) = 0 THEN 'not_found' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN p END AS profile_id FROM source_records LEFT JOIN k ON k.value = email")
+def _(v):
+    r = v.source_records
+    return I.lookup(r.select(F.col("id").alias("place"), F.col("email").alias("value")), r.filter("profile_id IS NOT NULL AND email IS NOT NULL").select(F.col("email").alias("value"), "profile_id"))
+
+
 @query("device_links", "SELECT device_key, max(seen_on) AS last_seen, arg_max(profile_id, (authenticated, seen_on, profile_id)) AS profile_id, max(seen_on) + 10 AS expires_on, max(seen_on) + 10 >= DATE '2001-08-01' AS live FROM devices GROUP BY 1")
 def _(v):
     return I.devices(v.devices, AS_OF)
