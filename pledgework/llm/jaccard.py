@@ -274,9 +274,10 @@ def across(classes: DataFrame, rows: DataFrame, labels: DataFrame, percent: int
     named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), 1_000_000)
     rows = rows.join(named, "rep", "left").select("rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
     rows = rows.withColumn("band", F.explode(size_bands(F.col("n"), percent)))
-    # buckets of the same classes give the same pairs: one of them is searched. Two xors of hashes and the size name a set of classes
-    live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2"))
-    live = live.filter("lo < hi").groupBy("band", "m", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig", "band", "m")
+    # buckets of the same classes give the same pairs: one of them is searched. Sums of four 31-bit parts of hashes name a bucket's rows; unlike xors, rows that repeat don't cancel
+    parts = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", "n", F.lit(k // 2)), 33 * (k % 2)).bitwiseAND(F.lit(2**31 - 1))).alias(f"f{k}") for k in range(4)]
+    live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *parts)
+    live = live.filter("lo < hi").groupBy("band", "m", "f0", "f1", "f2", "f3").agg(F.min("sig").alias("sig")).select("sig", "band", "m")
     rows = rows.join(live, ["sig", "band"])
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -352,6 +353,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     groups = materialize(signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "groups")
     reps = broadcast_if_small(groups.withColumnRenamed("set_hash", "group_hash"), groups.count(), 1_000_000)
     classes = signed.join(reps, (F.col("set_hash") == F.col("group_hash")) & (F.col("doc_id") == F.col("rep")), "left_semi").withColumnRenamed("doc_id", "rep")
+    # a class has one row, however often its text came; an id with several texts keeps a class for each
+    repeated = classes.groupBy("rep", "set_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("rep", "set_hash")
+    repeated = materialize(repeated, "repeated-classes")
+    again = repeated.count()
+    if again:
+        repeated = broadcast_if_small(repeated, again, 1_000_000)
+        classes = classes.join(repeated, ["rep", "set_hash"], "left_anti").unionByName(classes.join(repeated, ["rep", "set_hash"], "left_semi").dropDuplicates(["rep", "set_hash"]))
     first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent), "first-links")
     labels = components(first)
     rows = live_rows(classes, labels)

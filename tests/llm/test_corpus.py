@@ -209,6 +209,27 @@ def test_blocks_split_a_bucket_without_loss(spark):
     assert pairs == set(itertools.combinations(range(12), 2))
 
 
+def test_join_of_a_table_united_with_itself(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base[:-1], f"tail{rng.randrange(500)}"])]
+    label, _ = brute_components(texts)
+    monkeypatch.setattr(jaccard, "near_first", lambda classes: classes.select(classes["rep"].alias("a"), classes["rep"].alias("b")).filter("a < b"))
+    once = docs_of(spark, texts)
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(once.unionByName(once)).collect())
+    assert got == sorted(2 * list(enumerate(label))) and len(set(label)) == 8
+
+
+def test_repeated_rows_dont_hide_a_bucket(spark):
+    point = [1] * jaccard.GROUPS
+    classes = spark.createDataFrame([(i, point) for i in (1, 2, 5)], "rep long, point array<int>")
+    rows = spark.createDataFrame([(rep, 64, sig) for sig, reps in ((7, (1, 1, 5)), (8, (2, 2, 5))) for rep in reps], "rep long, n long, sig long")
+    labels = spark.createDataFrame([], "id long, label long")
+    assert {tuple(r) for r in jaccard.across(classes, rows, labels).collect()} == {(1, 5), (2, 5)}
+
+
 # ---- toxicity
 
 
