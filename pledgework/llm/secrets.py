@@ -5,7 +5,9 @@ hex runs. The token-efficiency test looks at every run of 16 to 512 key characte
 digits: a byte-pair vocabulary spells a word-like string with few tokens, but needs nearly a token for
 every two characters of a random one. Runs with fewer than MOST_RATIO characters a token are spans of kind
 "entropy". Known digests (hex of the usual digest lengths), UUIDs, numbers, dates, paths and identifiers made
-of words are excluded. Longer runs are tested window by window, so that no text is skipped.
+of words are excluded. Longer runs are cut. Within a run, the parts between its separators and overlapping
+windows are tested as well, digests and UUIDs left out, so that words beside a key can't hide it; hits that
+meet become one span, and a window's hit takes the whole of the parts that it begins and ends in.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, the end exclusive; spans of
 one start are ordered assign, access, hex, entropy; rows that repeat give the same values; further columns
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +40,9 @@ HAS_DIGIT, HAS_LETTER, MIXED = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 MOST_RATIO = 2.0
 LONGEST = 512
+LEAST, WINDOW, STEP = 16, 20, 4
+PART = re.compile(r"[^/=_-]+")
+NO_SECRET = re.compile(rf"(?<![0-9a-fA-F]){UUID.pattern}(?![0-9a-fA-F])|(?<![A-Za-z0-9+])(?:[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9+])")
 
 
 def encoder(ranks: str):
@@ -60,14 +66,49 @@ def known(run: str) -> bool:
     return len(parts) > 1 and all(p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle()) and len(p) < 20 for p in parts) or longest >= 0.5 * len(run)
 
 
+def stretches(run: str) -> list[tuple[int, int]]:
+    """What is left of a run without UUIDs and digests."""
+    out, at = [], 0
+    for m in NO_SECRET.finditer(run):
+        if len(m.group()) in DIGESTS or "-" in m.group():
+            out.append((at, m.start()))
+            at = m.end()
+    return [(a, b) for a, b in [*out, (at, len(run))] if b - a >= LEAST]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, encode, most_ratio: float = MOST_RATIO) -> list[tuple[int, int]]:
     found = []
+
+    def dense(part: str) -> bool:
+        return len(part) >= LEAST and not known(part) and len(part) < most_ratio * len(encode(part))
+
     for m in RUN.finditer(text):
         at, run = m.start(), m.group()
-        for i in range(0, len(run), LONGEST):
-            part = run[i : i + LONGEST]
-            if len(part) >= 16 and not known(part) and len(part) < most_ratio * len(encode(part)):
-                found.append((at + i, at + i + len(part)))
+        hits = [(i, min(i + LONGEST, len(run))) for i in range(0, len(run), LONGEST) if dense(run[i : i + LONGEST])]
+        if hits != [(0, len(run))] and HAS_LETTER.search(run) and (HAS_DIGIT.search(run) or MIXED.search(run)):
+            for a, b in stretches(run):
+                parts = [(a + p.start(), a + p.end()) for p in PART.finditer(run[a:b])]
+                hits += [(i, j) for i, j in parts if j - i <= LONGEST and dense(run[i:j])]
+                firsts, ends = [i for i, _ in parts], [j for _, j in parts]
+                for i in sorted({*range(a, max(a, b - WINDOW) + 1, STEP), max(a, b - WINDOW)}):
+                    j = min(i + WINDOW, b)
+                    if dense(run[i:j]):
+                        first, last = bisect_right(firsts, i) - 1, bisect_left(ends, j)
+                        # a part of endless length, as of encoded data, only counts where its windows do
+                        head = firsts[first] if first >= 0 and ends[first] > i and ends[first] - firsts[first] <= LONGEST else i
+                        tail = ends[last] if last < len(ends) and firsts[last] < j and ends[last] - firsts[last] <= LONGEST else j
+                        hits.append((head, tail))
+        found += [(at + a, at + b) for a, b in merged(hits)]
     return found
 
 

@@ -96,6 +96,21 @@ def test_secret_spans():
     assert secrets.redact(text, sorted(base))[:8] == "<assign>"
 
 
+def test_words_beside_a_key_dont_hide_it():
+    rng, encode = random.Random(4), secrets.encoder(secrets.vocabulary())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(200)]
+    alone = [k for k in keys if secrets.random_spans(k, encode)]
+    assert len(alone) >= 195
+    for before in ("releases/download/latest/", "access_key_for_production=", "com/storage/v1/objects/documents/signature=", "a" * 600 + "="):
+        for key in alone:
+            text = f"see {before}{key} end"
+            at = text.index(key)
+            assert any(a <= at and at + len(key) <= b for a, b in secrets.random_spans(text, encode)), text
+    for plain in ("sha256=" + "0123456789abcdef" * 4, "releases/download/latest/readme"):
+        assert secrets.random_spans(plain, encode) == [], plain
+
+
 def test_dropped_match_takes_its_text():
     assert secrets.base_spans("token=token: abcdef") == [] and len(secrets.base_spans("API-KEY api_key = 'abcdef'")) == 1
 
