@@ -6,7 +6,9 @@ their own hash, so an insertion shifts no later section. Equal roots mean equal
 equal nodes cover what both texts share, and the differing branches locate the edits.
 
 The fingerprint is text: "root;section=leaf*w.leaf*w...;section=...", w being the leaf's length in code
-points. `likeness` of two fingerprints is twice the weight of shared leaves over the weight of all.
+points. `likeness` of two fingerprints is twice the weight of shared leaves over the weight of all. Short texts
+have a leaf for each word; where a short text meets a longer one, near_edited and near_next compare both by word
+leaves. A fingerprint's text has one size of leaves only, so `likeness` of texts of both kinds needs the trees.
 
 Defined cases: a null text is an empty one; two empty texts are alike by 1, an empty and another by 0; ties of
 doc_id are ordered by text; a null doc_id comes last; a lone document is its own next; an empty table gives
@@ -46,10 +48,11 @@ def clauses(paragraph: str, words_each: int = CLAUSE_WORDS) -> list[str]:
 class Tree:
     """sections: [(hash, leaves, weight)], a leaf being "hash*weight"; root: hash over the sections and the text."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, each: int | None = None):
+        self.text, self.by_words = text, None
         self.sections: list[tuple[str, list[str], int]] = []
         nodes, leaves = [], []
-        each = 1 if len(text) < SHORT_TEXT else CLAUSE_WORDS
+        self.each = each = each or (1 if len(text) < SHORT_TEXT else CLAUSE_WORDS)
         data = text.encode()
         for paragraph in text.splitlines(keepends=True):
             own = ["%x*%d" % (zlib.crc32(c.encode()), len(c)) for c in clauses(paragraph, each)]
@@ -63,6 +66,12 @@ class Tree:
             self._close(nodes, leaves)
         self.root = hashlib.sha256("".join(h for h, _, _ in self.sections).encode() + hashlib.sha256(data).digest()).hexdigest()
 
+    def words(self) -> Tree:
+        """The same text's tree with a leaf for each word."""
+        if self.by_words is None:
+            self.by_words = self if self.each == 1 else Tree(self.text, 1)
+        return self.by_words
+
     def _close(self, nodes: list[str], leaves: list[str]) -> None:
         self.sections.append((hashlib.blake2b("".join(nodes).encode(), digest_size=5).hexdigest(), leaves, sum(int(x.rpartition("*")[2]) for x in leaves)))
 
@@ -102,6 +111,13 @@ def likeness(a: str, b: str) -> float:
     return likeness_of(*parse(a), *parse(b))
 
 
+def near(a: Tree, b: Tree) -> float:
+    """The likeness of two trees, by leaves that both have."""
+    if a.each != b.each:
+        a, b = a.words(), b.words()
+    return likeness_of(a.root, a.sections, b.root, b.sections)
+
+
 def differing_sections(a: str, b: str) -> list[tuple[int, str]]:
     """(position, hash) of b's sections that a doesn't have: where the edits are."""
     (_, x), (_, y) = parse(a), parse(b)
@@ -158,8 +174,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         def result(doc_id, text: str, tree: Tree, following: str, following_tree: Tree):
             made = edited(text, following)
             new = Tree(made)
-            own = (tree.root, tree.sections)
-            return doc_id, len(text), hashlib.sha256(made.encode()).hexdigest(), str(tree), str(new), likeness_of(*own, new.root, new.sections), likeness_of(*own, following_tree.root, following_tree.sections)
+            return doc_id, len(text), hashlib.sha256(made.encode()).hexdigest(), str(tree), str(new), near(tree, new), near(tree, following_tree)
 
         def link(batch: pa.RecordBatch):
             out = []

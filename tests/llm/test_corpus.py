@@ -164,6 +164,15 @@ def test_tree_locates_edits():
     assert fingerprints.likeness(str(fingerprints.Tree("")), str(fingerprints.Tree(""))) == 1.0
 
 
+def test_likeness_across_the_short_limit(spark):
+    long = " ".join(f"word{i}" for i in range(32))
+    short = long[: len(long) // 2 + 60]
+    assert len(short) < fingerprints.SHORT_TEXT <= len(long)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint(docs_of(spark, ["tail", long, short])).collect()}
+    assert got[1]["near_edited"] > 0.4  # its edited text is short and keeps half
+    assert got[2]["near_next"] > 0.7
+
+
 # ---- near duplicates
 
 
