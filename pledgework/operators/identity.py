@@ -120,8 +120,13 @@ def alias_chain(aliases: DataFrame, rounds: int = 64) -> DataFrame:
     return now
 
 
-def lookup(asked: DataFrame, owners: DataFrame) -> DataFrame:
-    """(place, value) -> status and profile, order and repeats kept."""
+def lookup(asked: DataFrame, owners: DataFrame, aliases: DataFrame | None = None, active: DataFrame | None = None) -> DataFrame:
+    """(place, value) -> status and profile, order and repeats kept. aliases (retired_id, survivor_id) lead an owner to the end of its chain; of owners and survivors, those in active (profile_id) count."""
+    if aliases is not None:
+        chain = alias_chain(aliases).withColumnRenamed("retired_id", "profile_id")
+        owners = owners.join(chain, "profile_id", "left").select("value", F.explode(F.array_distinct(F.array("profile_id", F.coalesce("survivor_id", "profile_id")))).alias("profile_id"))
+    if active is not None:
+        owners = owners.join(active.select("profile_id"), "profile_id", "left_semi")
     known = owners.groupBy("value").agg(F.collect_set("profile_id").alias("who"))
     n = F.coalesce(F.size("who"), F.lit(0))
     return asked.join(known, "value", "left").select("place", "value", F.when(n == 0, "not_found").when(n == 1, "matched").otherwise("ambiguous").alias("status"), F.when(n == 1, F.element_at("who", 1)).alias("profile_id"))

@@ -29,3 +29,12 @@ def test_whole_queries_reach_every_record(spark):
     reached = {r["profile_id"] for r in catalog.queries()["households_all"](spark, SF).collect()}
     assert reached == {r["profile_id"] for r in records if r["profile_id"] is not None and r["address1"] is not None}
     assert catalog.queries()["master_lookup_all"](spark, SF).count() == len(records)
+
+
+def test_lookup_follows_aliases_to_active_profiles(spark):
+    asked = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "a")], "place long, value string")
+    owners = spark.createDataFrame([("a", 1), ("b", 1), ("b", 3), ("c", 9)], "value string, profile_id long")
+    aliases = spark.createDataFrame([(1, 2), (2, 3)], "retired_id long, survivor_id long")
+    active = spark.createDataFrame([(3,)], "profile_id long")
+    got = {r["place"]: (r["status"], r["profile_id"]) for r in identity.lookup(asked, owners, aliases, active).collect()}
+    assert got == {0: ("matched", 3), 1: ("matched", 3), 2: ("not_found", None), 3: ("matched", 3)}
