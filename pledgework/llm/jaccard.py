@@ -3,23 +3,29 @@
 Shingles are hashed to 64 bits and dealt to groups; a document's point has the number of its shingles in
 each group. The overlap of two sets is at most the sum of the coordinates' minima, so an R-tree over the
 points prunes whole boxes whose summed minima with a query's point stay below the overlap that the
-threshold needs; surviving pairs are verified on the sets themselves.
+threshold needs; surviving pairs are verified on the sets themselves, in the task that holds the tree.
 
 The corpus is dealt to R-trees so that no link is lost: two sets of similarity s share one of the
-least-hashed (1 - s) parts of their shingles, so each such shingle is a bucket with its own tree.
+least-hashed (1 - s) parts of their shingles, so each such shingle is a bucket.
 1. Documents with equal sets collapse into a class (a group-by on a 128-bit hash of the set).
    Shingles that a bounded sample shows to be common come last in that order, which changes costs only.
 2. A cheap first pass links most near copies: classes that share a min-hash (MINHASHES of them) are compared
    with the first class of their bucket. Groups of copies, however large, become one component here, and
    each comparison is a row of a join, not a pair of a group.
-3. The exact pass looks at every prefix shingle's bucket, but only where it holds more than one component,
-   and compares only across components, by R-tree. Large buckets are split into blocks; each pair of blocks
-   is a task of bounded size. Candidates go to verification as distinct pairs.
+3. The exact pass looks at every prefix shingle's bucket that holds more than one component. Buckets with the
+   same first class (their anchor) share one tree, so that a class meets an anchor's other classes once, however
+   many shingles they have in common. Members of an anchor's largest component are in the tree only; all others
+   are asked against it. Large groups are split into blocks of asked and of tree members; each pair of blocks is
+   a task of bounded size.
+   A task verifies on the sets, keeps which components it has joined, and gives out only the links that join two
+   of them: fewer than its members, never all pairs.
 Components are found by rounds of least-label propagation with pointer jumping on tables in the shared folder.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; fewer words than the shingle
-make one shingle; rows that repeat a doc_id count once in the components and come out as often as they came;
-an empty table gives no rows; further columns pass through `keep_one` and are ignored elsewhere.
+make one shingle; rows that repeat a doc_id come out as often as they came, and one id with several texts is one
+document that has the links of each; a null doc_id is no member: such a row takes the component of an equal set
+with an id, else null; an empty table gives no rows; further columns pass through `keep_one` and are ignored
+elsewhere.
 """
 
 from __future__ import annotations
@@ -30,18 +36,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pledgework.llm.common import Columns, broadcast_if_small, map_slices, materialize
 
 WORDS = 5
 PERCENT = 80
-#: Groups of a count vector, and of one for a set of over MANY shingles; the finer groups refine the coarser.
-GROUPS, FINE_GROUPS, MANY = 64, 512, 400
+#: Groups of the count vectors that are kept with a class; a tree's own points have twice as many groups as its sets have shingles, between LEAST_GROUPS and MOST_GROUPS.
+GROUPS, LEAST_GROUPS, MOST_GROUPS = 64, 64, 4096
 MINHASHES = 4
-#: Shingles that come in COMMON of so many sampled documents go to the end of the order in which prefixes are taken. Any order finds every link; this one keeps shared passages out of the prefixes.
-SAMPLE_ROWS, COMMON = 40_000, 3
-BLOCK = 4_000
+#: Shingles that come in COMMON of so many sampled documents go to the end of the order in which prefixes are taken, the MOST_COMMON commonest of them. Any order finds every link; this one keeps shared passages out of the prefixes.
+SAMPLE_ROWS, COMMON, MOST_COMMON = 40_000, 3, 500_000
+#: A group is cut into BLOCKS blocks, of at least and at most so many shingles.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8, 256_000, 2_000_000
+#: Lists of ids up to so many rows (16 bytes each) are broadcast, longer ones shuffled.
+SMALL = 1_000_000
 LEAF = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -83,15 +93,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def point(found: np.ndarray) -> np.ndarray:
-    groups = FINE_GROUPS if len(found) > MANY else GROUPS
-    return np.bincount((found >> np.uint64(20)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
-
-
-def together(points: list[np.ndarray]) -> np.ndarray:
-    """Points as rows, with the groups of the coarsest."""
-    least = min(map(len, points))
-    return np.array([p if len(p) == least else p.reshape(-1, least).sum(axis=0) for p in points])
+def points(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
+    """The count vectors of sets, a row each."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    group = (np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(20)).astype(np.int64) % groups
+    return np.bincount(row * groups + group, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -135,14 +141,14 @@ class CountTree:
 
 
 def common_shingles(docs: DataFrame, words: int = WORDS, sample_rows: int = SAMPLE_ROWS, least: int = COMMON) -> np.ndarray:
-    """Sorted hashes of the sample's shingles that least documents have; bounded by the sample."""
+    """Sorted hashes of the sample's shingles that least documents have; at most MOST_COMMON."""
     n = docs.count()
     part = docs if n <= sample_rows else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
 
     def make():
         return lambda batch: Columns(sig=np.concatenate([shingles(t, words).view(np.int64) for t in batch["text"].to_pylist()]))
 
-    rows = map_slices(part.select("text").distinct(), make, "sig long").groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    rows = map_slices(part.select("text").distinct(), make, "sig long").groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "sig").limit(MOST_COMMON)
     return np.sort(rows.select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -164,7 +170,7 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, last
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
 
         def sign(batch: pa.RecordBatch):
-            n, names, low, prefix, points = [], [], [], [], []
+            n, names, low, prefix, sets = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 found = shingles(text, words)
                 n.append(len(found))
@@ -172,8 +178,8 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, last
                 low.append(np.array([(found * s).min() for s in _SEEDS[:MINHASHES]] if len(found) else [], np.uint64).view(np.int64))
                 late = is_in(found, last)
                 prefix.append(np.concatenate((found[~late], found[late]))[: prefix_length(len(found), percent)].view(np.int64))
-                points.append(point(found))
-            return Columns(doc_id=batch["doc_id"], n=n, set_hash=names, minhashes=lists(low, pa.int64()), prefix=lists(prefix, pa.int64()), point=lists(points, pa.int32()))
+                sets.append(found)
+            return Columns(doc_id=batch["doc_id"], n=n, set_hash=names, minhashes=lists(low, pa.int64()), prefix=lists(prefix, pa.int64()), point=lists(list(points(sets)), pa.int32()))
 
         return sign
 
@@ -197,29 +203,39 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def id_list(ids: DataFrame, name: str) -> DataFrame:
+    """A written list of ids for a join: broadcast below SMALL rows, else shuffled."""
+    ids = materialize(ids, name)
+    return broadcast_if_small(ids, ids.count(), SMALL)
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose sizes and summed minima allow a link."""
     side = classes.select("rep", "n", "point")
     both = pairs.join(side.toDF("a", "n_a", "point_a"), "a").join(side.toDF("b", "n_b", "point_b"), "b")
-    both = both.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     overlap = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    return both.filter((F.size("point_a") != F.size("point_b")) | ((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    return both.filter((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
 
+def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(doc_id, text) of listed documents."""
+    return docs.select("doc_id", "text").join(id_list(ids.toDF("doc_id").distinct(), name), "doc_id", "left_semi")
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, each: int = 2_000) -> DataFrame:
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, each: int = 500) -> DataFrame:
     """Of distinct pairs (a, b) of documents, those whose sets are linked.
 
-    Texts are shuffled for documents in pairs only. The pairs of one a form a group that is read as a stream
-    after a's own set; an a with many pairs is spread over salts.
+    For pairs with few a for each b, as b's text is shuffled with every pair. The pairs of one a form a group that
+    is read as a stream after a's own set; an a with many pairs is spread over salts.
     """
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "doc_id", "left_semi").distinct()
-    texts = materialize(texts, "texts")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b"))), "pair-ids")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(each)).cast("int").alias("salts"))
-    heads = texts.join(salts, texts["doc_id"] == salts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    rows = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(texts, F.col("b") == texts["doc_id"]).select("a", "salt", "b", "text")
-    grouped = heads.unionByName(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    rows = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("doc_id"))
+    whole = heads.unionByName(rows).hint("merge").join(texts, "doc_id").drop("doc_id")
+    grouped = whole.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def check():
         now: list = [None, []]
@@ -246,141 +262,144 @@ def near_first(classes: DataFrame) -> DataFrame:
     """Distinct pairs (first class of a min-hash bucket, other class)."""
     buckets = classes.select(F.col("rep").alias("b"), F.posexplode("minhashes").alias("k", "h"))
     first = buckets.groupBy("k", "h").agg(F.min("b").alias("a"), F.max("b").alias("last")).filter("a < last").drop("last")
-    return buckets.join(first, ["k", "h"]).filter("a < b").select("a", "b").distinct()
-
-
-def size_bands(n, percent: int = PERCENT):
-    """A set's band and the next: two sets whose sizes allow a link have one in common."""
-    band = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent * 1.0001)))).cast("int")
-    return F.array(band, band + 1)
-
-
-def live_rows(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep, n, sig) of the prefix shingles that more than one component has."""
-    named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), 1_000_000)
-    comp = classes.select("rep", "n", "prefix").join(named, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("comp"), "prefix")
-    rows = comp.select("rep", "n", "comp", F.explode("prefix").alias("sig"))
-    live = materialize(rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig"), "live")
-    return materialize(rows.drop("comp").join(broadcast_if_small(live, live.count(), 2_000_000), "sig"), "bucket-rows")
-
-
-def across(classes: DataFrame, rows: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK, best_only: bool = False) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different components from the prefix shingles' R-trees.
-
-    A tree holds the classes of one prefix shingle and size band. With best_only, a class asks each other
-    component in its tree for the one member with the highest bound; what these pairs link need not be asked
-    again.
-    """
-    named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), 1_000_000)
-    rows = rows.join(named, "rep", "left").select("rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
-    rows = rows.withColumn("band", F.explode(size_bands(F.col("n"), percent)))
-    # buckets of the same classes give the same pairs: one of them is searched. Sums of four 31-bit parts of hashes name a bucket's rows; unlike xors, rows that repeat don't cancel
-    parts = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", "n", F.lit(k // 2)), 33 * (k % 2)).bitwiseAND(F.lit(2**31 - 1))).alias(f"f{k}") for k in range(4)]
-    live = rows.groupBy("sig", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *parts)
-    live = live.filter("lo < hi").groupBy("band", "m", "f0", "f1", "f2", "f3").agg(F.min("sig").alias("sig")).select("sig", "band", "m")
-    rows = rows.join(live, ["sig", "band"])
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own)
-    # a task for each pair of blocks of a bucket; a row goes to the pairs that hold its block
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select("rep", "n", "comp", "sig", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tasks = materialize(tasks, "tasks")
-    known = classes.select("rep", "point").join(tasks.select("rep").distinct(), "rep", "left_semi")
-    tasks = tasks.join(known, "rep")
+    return buckets.join(first.hint("merge"), ["k", "h"]).filter("a < b").select("a", "b").distinct()
+
+
+def anchored(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (anchor, rep, n, comp): the classes of the prefix buckets that hold several components, by the bucket's first class."""
+    named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), SMALL)
+    rows = classes.select("rep", "prefix").join(named, "rep", "left").select("rep", F.coalesce("label", "rep").alias("comp"), F.explode("prefix").alias("sig"))
+    rows = rows.repartition("sig")  # one exchange for both uses
+    live = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("anchor")).filter("lo < hi").select("sig", "anchor")
+    met = materialize(rows.join(live.hint("merge"), "sig").select("anchor", "rep", "comp").distinct(), "anchored")
+    return met.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+
+
+def blocks_of(met: DataFrame, least: int = LEAST_BLOCK, most: int = MOST_BLOCK, blocks: int = BLOCKS) -> DataFrame:
+    """(anchor, i, j, kind, rep, comp): the tasks' rows. Kind 0 is asked, 1 is in the tree and of the anchor's largest component, 2 is in the tree and also asked."""
+    size = F.greatest("n", F.lit(256)).cast("long")
+    by_comp = met.groupBy("anchor", "comp").agg(F.count("*").alias("m"), F.sum(size).alias("size"))
+    best = by_comp.groupBy("anchor").agg(F.max(F.struct("m", "comp", "size")).alias("x"), F.sum("size").alias("size"))
+    block = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.col("size") / blocks)))
+    best = best.withColumn("block", block).select("anchor", F.col("x.comp").alias("main"), F.ceil((F.col("size") - F.col("x.size")) / F.col("block")).cast("int").alias("asks"), F.ceil(F.col("size") / F.col("block")).cast("int").alias("trees"))
+    best = materialize(best.filter("asks > 0"), "anchors")
+    rows = met.join(best.hint("merge"), "anchor")
+    i, j = F.pmod(F.xxhash64("rep"), F.col("asks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("trees")).cast("int")
+    asked = rows.filter("comp <> main").select("anchor", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("j"), F.lit(0).alias("kind"), "rep", "comp")
+    kind = F.when(F.col("comp") == F.col("main"), 1).otherwise(2)
+    return asked.unionByName(rows.select("anchor", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"), j.alias("j"), kind.alias("kind"), "rep", "comp"))
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of one sorted set with others, none of them empty."""
+    flat = np.concatenate(others)
+    same = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(same, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def forest(kinds: list[int], reps: list[int], comps: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between asked and tree members that join two components, each joining those of the links before it."""
+    asked = [k for k, kind in enumerate(kinds) if not kind]
+    members = [k for k, kind in enumerate(kinds) if kind]
+    if not asked or not members:
+        return []
+    sizes, rep = np.array([len(sets[k]) for k in members]), np.array([reps[k] for k in members])
+    groups = 1 << max(1, int(2 * np.median(sizes)) - 1).bit_length()
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, groups))
+    vectors = points([sets[k] for k in members], groups)
+    tree = CountTree(vectors, sizes, percent)
+    both = np.array([kinds[k] == 2 for k in members])
+    _, place = np.unique([comps[k] for k in [*members, *asked]], return_inverse=True)
+    root, own = np.arange(place.max() + 1), place[: len(members)]
+    out = []
+    for k, comp in zip(asked, place[len(members) :]):
+        n, at_point = len(sets[k]), points([sets[k]], groups)[0]
+        at = tree.query(at_point, n)
+        at = at[(root[own[at]] != root[comp]) & (~both[at] | (rep[at] < reps[k]))]  # of two that are asked, the later asks
+        if len(at):
+            share = np.minimum(vectors[at], at_point).sum(axis=1) / needed(sizes[at], n, percent)
+            at = at[np.lexsort((rep[at], -share))]
+        step = 8
+        while len(at):
+            now, at = at[:step], at[step:]
+            found = overlaps(sets[k], [sets[members[x]] for x in now])
+            for x in now[100 * found >= percent * (n + sizes[now] - found)]:
+                if root[own[x]] != root[comp]:
+                    out.append((reps[k], reps[members[x]]))
+                    root[root == root[own[x]]] = root[comp]
+            at = at[root[own[at]] != root[comp]]
+            step = min(256, 2 * step)
+    return out
+
+
+def across(tasks: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join components, of written tasks."""
+    texts = texts_of(docs, tasks.select("rep"), "task-ids")
+    rows = tasks.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("anchor", "i", "j", "kind", "rep", "comp", "text")
+    rows = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     def search():
         held: list = []
-        known_pairs: set = set()  # of this task, to emit a pair fewer times; starts anew when large
-
-        def pairs(group: list) -> tuple[list, list]:
-            reps, sizes, comps, own, i, j = (np.array(x) for x in list(zip(*group))[:6])
-            names, counts = np.unique(comps, return_counts=True)
-            out_a, out_b = [], []
-            if len(names) < 2:
-                return out_a, out_b
-            pts = together([x[6] for x in group])
-
-            def add(k: int, at: np.ndarray) -> None:
-                at = at[comps[at] != comps[k]]
-                if best_only and len(at) > 1:
-                    share = np.minimum(pts[at], pts[k]).sum(axis=1) / needed(sizes[at], sizes[k], percent)
-                    at = at[np.lexsort((reps[at], -share))]
-                    at = at[np.unique(comps[at], return_index=True)[1]]
-                out_a.extend(np.minimum(reps[at], reps[k]).tolist())
-                out_b.extend(np.maximum(reps[at], reps[k]).tolist())
-
-            small = comps != names[counts.argmax()]  # a pair across components has such a member
-            sides = [np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])]
-            for one, two in (sides, sides[::-1]) if i[0] != j[0] else (sides,):
-                asks = one[small[one]]
-                if len(asks) and len(two):
-                    tree = CountTree(pts[two], sizes[two], percent)
-                    for k in asks:
-                        add(k, two[tree.query(pts[k], int(sizes[k]))])
-            return out_a, out_b
+        now: list = [None]
 
         def done() -> Columns:
-            a, b = pairs([x[1] for x in held])
+            links = forest(*map(list, zip(*held)), percent) if held else []
             held.clear()
-            if len(known_pairs) > 300_000:
-                known_pairs.clear()
-            new = set(zip(a, b)) - known_pairs
-            known_pairs.update(new)
-            return Columns(a=[x for x, _ in new], b=[y for _, y in new])
+            return Columns(a=[a for a, _ in links], b=[b for _, b in links])
 
         def gather(batch: pa.RecordBatch):
-            a, b = [], []
-            flat, ends = batch["point"].values.to_numpy(), batch["point"].offsets.to_numpy()
-            for row, (rep, n, comp, sig, band, own, i, j) in enumerate(zip(*(batch[c].to_pylist() for c in ("rep", "n", "comp", "sig", "band", "own", "i", "j")))):
-                if held and held[0][0] != (sig, band, i, j):
-                    found = done()
-                    a += found["a"]
-                    b += found["b"]
-                held.append(((sig, band, i, j), (rep, n, comp, own, i, j, flat[ends[row] : ends[row + 1]])))
-            return Columns(a=a, b=b)
-
-        gather.flush = lambda: [done()] if held else []
+            out = Columns(a=[], b=[])
+            for anchor, i, j, kind, rep, comp, text in zip(*(batch[c].to_pylist() for c in ("anchor", "i", "j", "kind", "rep", "comp", "text"))):
+                if now[0] != (anchor, i, j):
+                    for name, more in done().items():
+                        out[name] += more
+                    now[0] = (anchor, i, j)
+                found = shingles(text, words)
+                if len(found):
+                    held.append((kind, rep, comp, found))
+            return out
+
+        gather.flush = lambda: [done()]
         return gather
 
-    sorted_tasks = tasks.repartition("sig", "band", "i", "j").sortWithinPartitions("sig", "band", "i", "j")
-    return map_slices(sorted_tasks, search, "a long, b long", 2048).distinct()
+    return map_slices(rows, search, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     signed = materialize(signatures(docs, words, percent, common_shingles(docs, words)), "signed")
     groups = materialize(signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "groups")
-    reps = broadcast_if_small(groups.withColumnRenamed("set_hash", "group_hash"), groups.count(), 1_000_000)
-    classes = signed.join(reps, (F.col("set_hash") == F.col("group_hash")) & (F.col("doc_id") == F.col("rep")), "left_semi").withColumnRenamed("doc_id", "rep")
-    # a class has one row, however often its text came; an id with several texts keeps a class for each
-    repeated = classes.groupBy("rep", "set_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("rep", "set_hash")
-    repeated = materialize(repeated, "repeated-classes")
-    again = repeated.count()
-    if again:
-        repeated = broadcast_if_small(repeated, again, 1_000_000)
-        classes = classes.join(repeated, ["rep", "set_hash"], "left_anti").unionByName(classes.join(repeated, ["rep", "set_hash"], "left_semi").dropDuplicates(["rep", "set_hash"]))
-    first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent), "first-links")
+    chosen = groups.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "set_hash")
+    classes = signed.join(chosen.hint("merge"), ["doc_id", "set_hash"], "left_semi").withColumnRenamed("doc_id", "rep")
+    # a class has one row, however often its text came
+    several = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("rows > 1")
+    several = materialize(several, "repeated-ids")
+    first = docs.sparkSession.createDataFrame([], "a long, b long")
+    if several.limit(1).count():
+        classes = classes.dropDuplicates(["rep", "set_hash"])
+        rows = signed.join(several.filter("lo < hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_hash").join(groups, "set_hash")
+        first = materialize(rows.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same-id-links")
+    classes = materialize(classes.select("rep", "n", "minhashes", "prefix", "point"), "classes")
+    first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent).unionByName(first), "first-links")
     labels = components(first)
-    rows = live_rows(classes, labels)
-    # first one pair for each class and other component, then every pair that still lies across components
-    for best_only in (True, False):
-        more = materialize(verified(across(classes, rows, labels, percent, best_only=best_only), docs, words, percent), "more-links")
-        if more.limit(1).count():
-            first = first.unionByName(more)
-            labels = components(first)
-    merged = labels
-    named = groups.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
-    return signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    tasks = materialize(blocks_of(anchored(classes, labels)), "tasks")
+    more = materialize(across(tasks, docs, words, percent), "more-links")
+    if more.limit(1).count():
+        labels = components(first.unionByName(more))
+    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
+    return signed.select("doc_id", "n", "set_hash").join(named.hint("merge"), "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component: that of the least doc_id, with all its columns; rows without a doc_id stay."""
-    kept = materialize(join(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    chosen = docs.join(broadcast_if_small(kept, kept.count(), 2_000_000), "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    n = repeated.count()
-    if n:  # of rows that repeat an id one stays; only those rows are shuffled
-        repeated = broadcast_if_small(materialize(repeated, "repeated"), n, 2_000_000)
-        chosen = chosen.join(repeated, "doc_id", "left_anti").unionByName(chosen.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return chosen.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    joined = materialize(join(docs, words, percent).filter("doc_id IS NOT NULL"), "joined")
+    chosen = docs.join(id_list(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
+    repeated = joined.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).filter("rows > 1 AND kept").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    if repeated.limit(1).count():  # of rows that repeat an id one stays, that of the least text; only those rows are shuffled
+        repeated = broadcast_if_small(repeated, repeated.count(), SMALL)
+        order = W.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+        place = "_".join([*docs.columns, "place"])  # a name that no column has
+        one = chosen.join(repeated, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+        chosen = chosen.join(repeated, "doc_id", "left_anti").unionByName(one.drop(place))
+    return chosen.select(*docs.columns)

@@ -224,34 +224,60 @@ def test_tree_finds_all_within_bound():
         assert set(np.flatnonzero(allowed)) <= set(tree.query(p, n).tolist())
 
 
-def test_blocks_split_a_bucket_without_loss(spark):
-    texts = [" ".join(f"w{i}" for i in range(100)) + f" tail{k}" for k in range(12)]
-    signed = jaccard.signatures(docs_of(spark, texts)).withColumnRenamed("doc_id", "rep")
-    labels = spark.createDataFrame([], "id long, label long")
-    rows = jaccard.live_rows(signed, labels)
-    pairs = {tuple(r) for r in jaccard.across(signed, rows, labels, block=3).collect()}
-    assert pairs == set(itertools.combinations(range(12), 2))
+def no_first_pass(monkeypatch):
+    monkeypatch.setattr(jaccard, "near_first", lambda classes: classes.select(classes["rep"].alias("a"), classes["rep"].alias("b")).filter("a < b"))
 
 
-def test_join_of_a_table_united_with_itself(spark, monkeypatch):
-    rng = random.Random(8)
+def near_texts(rng, groups=8, tails=1):
     texts = []
-    for _ in range(8):
+    for _ in range(groups):
         base = [f"w{rng.randrange(500)}" for _ in range(60)]
-        texts += [" ".join(base), " ".join([*base[:-1], f"tail{rng.randrange(500)}"])]
+        texts += [" ".join(base), *(" ".join([*base[:-1], f"tail{rng.randrange(500)}"]) for _ in range(tails))]
+    return texts
+
+
+def test_join_of_a_table_united_with_itself(spark, monkeypatch):
+    texts = near_texts(random.Random(8))
     label, _ = brute_components(texts)
-    monkeypatch.setattr(jaccard, "near_first", lambda classes: classes.select(classes["rep"].alias("a"), classes["rep"].alias("b")).filter("a < b"))
+    no_first_pass(monkeypatch)
     once = docs_of(spark, texts)
     got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(once.unionByName(once)).collect())
     assert got == sorted(2 * list(enumerate(label))) and len(set(label)) == 8
 
 
-def test_repeated_rows_dont_hide_a_bucket(spark):
-    point = [1] * jaccard.GROUPS
-    classes = spark.createDataFrame([(i, point) for i in (1, 2, 5)], "rep long, point array<int>")
-    rows = spark.createDataFrame([(rep, 64, sig) for sig, reps in ((7, (1, 1, 5)), (8, (2, 2, 5))) for rep in reps], "rep long, n long, sig long")
-    labels = spark.createDataFrame([], "id long, label long")
-    assert {tuple(r) for r in jaccard.across(classes, rows, labels).collect()} == {(1, 5), (2, 5)}
+def test_blocks_split_a_group_without_loss(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = near_texts(rng, 3, 12)
+    base = texts[0].split()
+    for k in range(30):  # around the threshold: some are linked, some not
+        at = rng.sample(range(60), rng.randint(1, 4))
+        texts.append(" ".join(f"x{k}" if i in at else w for i, w in enumerate(base)))
+    label, _ = brute_components(texts)
+    no_first_pass(monkeypatch)
+    whole = jaccard.blocks_of
+    monkeypatch.setattr(jaccard, "blocks_of", lambda met: whole(met, least=2_000, most=2_000))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label and 3 < len(set(label)) < len(texts)
+
+
+def test_a_tree_gives_a_forest():
+    sets = [np.arange(k, 100 + k, dtype=np.uint64) * np.uint64(2**40 + 2**21 + 1) for k in range(0, 60, 2)]
+    links = jaccard.forest([0] * 30 + [2] * 30, [*range(30), *range(30)], [*range(30), *range(30)], [*sets, *sets])
+    label = list(range(30))
+    for a, b in links:
+        assert label[a] != label[b]  # every link joins
+        label = [label[b] if x == label[a] else x for x in label]
+    assert len(links) == 29 and jaccard.forest([0, 1], [1, 2], [5, 5], sets[:2]) == []
+
+
+def test_an_id_with_several_texts(spark):
+    texts = near_texts(random.Random(3), 4)
+    ids = [10, 11, 12, 13, 10, 15, None, 17]  # 10 has texts of two groups; 17 is near the text of no id
+    got = jaccard.join(docs_of(spark, texts, ids)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(10, 10), (10, 10), (11, 10), (12, 12), (13, 12), (15, 10), (17, 17)]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    kept = jaccard.keep_one(docs_of(spark, texts, ids)).collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 10, 12, 17]
 
 
 # ---- toxicity
