@@ -16,9 +16,9 @@ least-hashed (1 - s) parts of their shingles, so each such shingle is a bucket.
    same first class (their anchor) share one tree, so that a class meets an anchor's other classes once, however
    many shingles they have in common. Members of an anchor's largest component are in the tree only; all others
    are asked against it. Large groups are split into blocks of asked and of tree members; each pair of blocks is
-   a task of bounded size.
-   A task verifies on the sets, keeps which components it has joined, and gives out only the links that join two
-   of them: fewer than its members, never all pairs.
+   a task of bounded size. The trees are searched on points alone; only members of pairs within the bound bring
+   their texts to a second search of the same tasks, which verifies on the sets, keeps which components it has
+   joined, and gives out only the links that join two of them: fewer than its members, never all pairs.
 Components are found by rounds of least-label propagation with pointer jumping on tables in the shared folder.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; fewer words than the shingle
@@ -43,8 +43,8 @@ from pledgework.llm.common import Columns, broadcast_if_small, map_slices, mater
 
 WORDS = 5
 PERCENT = 80
-#: Groups of the count vectors that are kept with a class; a tree's own points have twice as many groups as its sets have shingles, between LEAST_GROUPS and MOST_GROUPS.
-GROUPS, LEAST_GROUPS, MOST_GROUPS = 64, 64, 4096
+#: (least size of a set, groups of its point); finer groups refine the coarser.
+GROUPS = ((0, 64), (150, 256), (800, 1024))
 MINHASHES = 4
 #: Shingles that come in COMMON of so many sampled documents go to the end of the order in which prefixes are taken, the MOST_COMMON commonest of them. Any order finds every link; this one keeps shared passages out of the prefixes.
 SAMPLE_ROWS, COMMON, MOST_COMMON = 40_000, 3, 500_000
@@ -93,11 +93,15 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def points(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
-    """The count vectors of sets, a row each."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    group = (np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(20)).astype(np.int64) % groups
-    return np.bincount(row * groups + group, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
+def point(found: np.ndarray) -> np.ndarray:
+    groups = max(g for least, g in GROUPS if len(found) >= least)
+    return np.bincount((found >> np.uint64(20)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+
+
+def together(points: list[np.ndarray]) -> np.ndarray:
+    """Points as rows, with the groups of the coarsest."""
+    least = min(map(len, points))
+    return np.array([p if len(p) == least else p.reshape(-1, least).sum(axis=0) for p in points])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -170,7 +174,7 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, last
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
 
         def sign(batch: pa.RecordBatch):
-            n, names, low, prefix, sets = [], [], [], [], []
+            n, names, low, prefix, near = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 found = shingles(text, words)
                 n.append(len(found))
@@ -178,8 +182,8 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, last
                 low.append(np.array([(found * s).min() for s in _SEEDS[:MINHASHES]] if len(found) else [], np.uint64).view(np.int64))
                 late = is_in(found, last)
                 prefix.append(np.concatenate((found[~late], found[late]))[: prefix_length(len(found), percent)].view(np.int64))
-                sets.append(found)
-            return Columns(doc_id=batch["doc_id"], n=n, set_hash=names, minhashes=lists(low, pa.int64()), prefix=lists(prefix, pa.int64()), point=lists(list(points(sets)), pa.int32()))
+                near.append(point(found))
+            return Columns(doc_id=batch["doc_id"], n=n, set_hash=names, minhashes=lists(low, pa.int64()), prefix=lists(prefix, pa.int64()), point=lists(near, pa.int32()))
 
         return sign
 
@@ -215,7 +219,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Dat
     both = pairs.join(side.toDF("a", "n_a", "point_a"), "a").join(side.toDF("b", "n_b", "point_b"), "b")
     both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     overlap = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    return both.filter((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    return both.filter((F.size("point_a") != F.size("point_b")) | ((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b").distinct()
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -297,72 +301,118 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(same, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
 
 
-def forest(kinds: list[int], reps: list[int], comps: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links between asked and tree members that join two components, each joining those of the links before it."""
-    asked = [k for k, kind in enumerate(kinds) if not kind]
-    members = [k for k, kind in enumerate(kinds) if kind]
-    if not asked or not members:
-        return []
-    sizes, rep = np.array([len(sets[k]) for k in members]), np.array([reps[k] for k in members])
-    groups = 1 << max(1, int(2 * np.median(sizes)) - 1).bit_length()
-    groups = min(MOST_GROUPS, max(LEAST_GROUPS, groups))
-    vectors = points([sets[k] for k in members], groups)
-    tree = CountTree(vectors, sizes, percent)
-    both = np.array([kinds[k] == 2 for k in members])
-    _, place = np.unique([comps[k] for k in [*members, *asked]], return_inverse=True)
-    root, own = np.arange(place.max() + 1), place[: len(members)]
-    out = []
-    for k, comp in zip(asked, place[len(members) :]):
-        n, at_point = len(sets[k]), points([sets[k]], groups)[0]
-        at = tree.query(at_point, n)
-        at = at[(root[own[at]] != root[comp]) & (~both[at] | (rep[at] < reps[k]))]  # of two that are asked, the later asks
-        if len(at):
-            share = np.minimum(vectors[at], at_point).sum(axis=1) / needed(sizes[at], n, percent)
-            at = at[np.lexsort((rep[at], -share))]
-        step = 8
-        while len(at):
-            now, at = at[:step], at[step:]
-            found = overlaps(sets[k], [sets[members[x]] for x in now])
-            for x in now[100 * found >= percent * (n + sizes[now] - found)]:
-                if root[own[x]] != root[comp]:
-                    out.append((reps[k], reps[members[x]]))
-                    root[root == root[own[x]]] = root[comp]
-            at = at[root[own[at]] != root[comp]]
-            step = min(256, 2 * step)
-    return out
-
+class Group:
+    """A task's rows: asked members and those in the tree, by position."""
+
+    def __init__(self, kinds: list[int], reps: list[int], comps: list[int], sizes: list[int], points: list[np.ndarray], percent: int = PERCENT):
+        self.reps, self.sizes, self.percent, kinds = np.array(reps), np.array(sizes), percent, np.array(kinds)
+        _, self.comp = np.unique(comps, return_inverse=True)
+        self.asked, self.members = np.flatnonzero(kinds == 0), np.flatnonzero(kinds > 0)
+        self.both = kinds == 2
+        if len(self.asked) and len(self.members):
+            self.points = together(points)
+            self.tree = CountTree(self.points[self.members], self.sizes[self.members], percent)
+
+    def within(self, k: int, root: np.ndarray) -> np.ndarray:
+        """Members of other components within the bound of an asked one; of two that are asked, the later asks."""
+        at = self.members[self.tree.query(self.points[k], int(self.sizes[k]))]
+        return at[(root[self.comp[at]] != root[self.comp[k]]) & (~self.both[at] | (self.reps[at] < self.reps[k]))]
+
+    def kept(self) -> np.ndarray:
+        """Positions of the rows in pairs within the bound."""
+        keep = np.zeros(len(self.reps), bool)
+        if len(self.members):
+            for k in self.asked:
+                at = self.within(k, np.arange(len(self.reps)))
+                keep[at] = True
+                keep[k] |= len(at) > 0
+        return np.flatnonzero(keep)
+
+    def forest(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that join two components, each joining those of the links before it."""
+        root, out = np.arange(len(self.reps)), []
+        for k in self.asked if len(self.members) else ():
+            n, at = self.sizes[k], self.within(k, root)
+            if len(at):
+                share = np.minimum(self.points[at], self.points[k]).sum(axis=1) / needed(self.sizes[at], n, self.percent)
+                at = at[np.lexsort((self.reps[at], -share))]
+            step = 8
+            while len(at):
+                now, at = at[:step], at[step:]
+                found = overlaps(sets[k], [sets[x] for x in now])
+                for x in now[100 * found >= self.percent * (n + self.sizes[now] - found)]:
+                    if root[self.comp[x]] != root[self.comp[k]]:
+                        out.append((int(self.reps[k]), int(self.reps[x])))
+                        root[root == root[self.comp[x]]] = root[self.comp[k]]
+                at = at[root[self.comp[at]] != root[self.comp[k]]]
+                step = min(256, 2 * step)
+        return out
+
+
+TASK = ("anchor", "i", "j")
+
+
+def by_task(rows: DataFrame, work, more: str, schema: str, slice_rows: int) -> DataFrame:
+    """work(rows of a task as a list) gives columns; rows have TASK, kind, rep, comp and the column named more."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
-def across(tasks: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join components, of written tasks."""
-    texts = texts_of(docs, tasks.select("rep"), "task-ids")
-    rows = tasks.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("anchor", "i", "j", "kind", "rep", "comp", "text")
-    rows = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-
-    def search():
+    def make():
         held: list = []
         now: list = [None]
 
-        def done() -> Columns:
-            links = forest(*map(list, zip(*held)), percent) if held else []
-            held.clear()
-            return Columns(a=[a for a, _ in links], b=[b for _, b in links])
+        def done(out: dict) -> None:
+            if held:
+                for n, values in zip(names, work(now[0], held)):
+                    out[n] += values
+                held.clear()
 
         def gather(batch: pa.RecordBatch):
-            out = Columns(a=[], b=[])
-            for anchor, i, j, kind, rep, comp, text in zip(*(batch[c].to_pylist() for c in ("anchor", "i", "j", "kind", "rep", "comp", "text"))):
-                if now[0] != (anchor, i, j):
-                    for name, more in done().items():
-                        out[name] += more
-                    now[0] = (anchor, i, j)
-                found = shingles(text, words)
-                if len(found):
-                    held.append((kind, rep, comp, found))
+            out = Columns((n, []) for n in names)
+            ids = zip(*(batch[c].to_pylist() for c in (*TASK, "kind", "rep", "comp")))
+            for (*task, kind, rep, comp), value in zip(ids, batch[more]):
+                if now[0] != task:
+                    done(out)
+                    now[0] = task
+                held.append((kind, rep, comp, value))
             return out
 
-        gather.flush = lambda: [done()]
+        def flush():
+            out = Columns((n, []) for n in names)
+            done(out)
+            return [out]
+
+        gather.flush = flush
         return gather
 
-    return map_slices(rows, search, "a long, b long").distinct()
+    dealt = rows.select(*TASK, "kind", "rep", "comp", more).repartition(*TASK).sortWithinPartitions(*TASK)
+    return map_slices(dealt, make, schema, slice_rows)
+
+
+def search(tasks: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of the tasks that are in pairs within the bound of their points."""
+
+    def work(task: list, held: list):
+        kinds, reps, comps, points = zip(*held)
+        points = [p.values.to_numpy() for p in points]
+        keep = Group(kinds, reps, comps, [int(p.sum()) for p in points], points, percent).kept().tolist()
+        return *([x] * len(keep) for x in task), *([x[k] for k in keep] for x in (kinds, reps, comps))
+
+    rows = tasks.hint("merge").join(classes.select("rep", "point"), "rep")
+    return by_task(rows, work, "point", "anchor long, i int, j int, kind int, rep long, comp long", 4096)
+
+
+def across(tasks: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join components, of written tasks."""
+
+    def work(task: list, held: list):
+        members = [(*x[:3], found) for x in held if len(found := shingles(x[3].as_py(), words))]
+        kinds, reps, comps, sets = zip(*members) if members else ((), (), (), ())
+        links = Group(kinds, reps, comps, list(map(len, sets)), list(map(point, sets)), percent).forest(sets)
+        return [a for a, _ in links], [b for _, b in links]
+
+    texts = texts_of(docs, tasks.select("rep"), "task-ids")
+    rows = tasks.hint("merge").join(texts, F.col("rep") == F.col("doc_id"))
+    return by_task(rows, work, "text", "a long, b long", 64).distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -382,7 +432,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = materialize(classes.select("rep", "n", "minhashes", "prefix", "point"), "classes")
     first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent).unionByName(first), "first-links")
     labels = components(first)
-    tasks = materialize(blocks_of(anchored(classes, labels)), "tasks")
+    tasks = materialize(search(blocks_of(anchored(classes, labels)), classes, percent), "tasks")
     more = materialize(across(tasks, docs, words, percent), "more-links")
     if more.limit(1).count():
         labels = components(first.unionByName(more))

@@ -262,12 +262,13 @@ def test_blocks_split_a_group_without_loss(spark, monkeypatch):
 
 def test_a_tree_gives_a_forest():
     sets = [np.arange(k, 100 + k, dtype=np.uint64) * np.uint64(2**40 + 2**21 + 1) for k in range(0, 60, 2)]
-    links = jaccard.forest([0] * 30 + [2] * 30, [*range(30), *range(30)], [*range(30), *range(30)], [*sets, *sets])
+    points = list(map(jaccard.point, sets))
+    links = jaccard.Group([0] * 30 + [2] * 30, [*range(30), *range(30)], [*range(30), *range(30)], [100] * 60, points + points).forest(sets + sets)
     label = list(range(30))
     for a, b in links:
         assert label[a] != label[b]  # every link joins
         label = [label[b] if x == label[a] else x for x in label]
-    assert len(links) == 29 and jaccard.forest([0, 1], [1, 2], [5, 5], sets[:2]) == []
+    assert len(links) == 29 and jaccard.Group([0, 1], [1, 2], [5, 5], [100, 100], points[:2]).forest(sets[:2]) == []
 
 
 def test_an_id_with_several_texts(spark):
