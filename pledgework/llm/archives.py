@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pledgework.llm.common import Columns, map_slices, scratch_path
 
 REVISIT_BYTES = 1000
+#: The copies of one payload are dealt to so many keys.
+SALTS = 32
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")}
 #: High half of the identifiers made for pages; the low half is the page's number.
 PAGE_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pledgework:page").int >> 64
@@ -161,21 +163,24 @@ def revisit_targets(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 
 def warc_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(value) one WARC record a page, made by way of ARC files of both versions."""
-    keyed = pages.select("page_id", "url", "html", F.when((F.length(F.coalesce("html", F.lit("")).cast("binary")) >= least) & F.col("page_id").isNotNull(), F.sha1(F.col("html").cast("binary"))).alias("payload_sha1"))
-    known = keyed.join(revisit_targets(pages, least), "payload_sha1", "left").select("page_id", "url", "html", F.when(F.col("target") != F.col("page_id"), F.col("target")).alias("target"))
+    may = (F.length(F.coalesce("html", F.lit("")).cast("binary")) >= least) & F.col("page_id").isNotNull()
+    rest = pages.filter(~may).select("page_id", "url", "html", F.lit(None).cast("long").alias("target"))
+    keyed = pages.filter(may).select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("payload_sha1"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    targets = revisit_targets(pages, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = keyed.join(targets, ["payload_sha1", "salt"], "left").select("page_id", "url", "html", F.when(F.col("target") != F.col("page_id"), F.col("target")).alias("target")).unionByName(rest)
 
     def make():
         def convert(batch: pa.RecordBatch):
-            targets, groups = {}, {1: [], 2: []}
+            targets, groups = {1: [], 2: []}, {1: [], 2: []}
             for page_id, url, html, target in zip(*(batch[n].to_pylist() for n in ("page_id", "url", "html", "target"))):
                 url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "unknown:"
-                groups[2 if page_id is not None and page_id % 2 else 1].append((url, "0.0.0.0", ARCHIVE_DATE, _page_block(page_id, (html or "").encode())))
-                targets[page_id] = target
+                version = 2 if page_id is not None and page_id % 2 else 1
+                groups[version].append((url, "0.0.0.0", ARCHIVE_DATE, _page_block(page_id, (html or "").encode())))
+                targets[version].append(target)
             out = []
             for version, records in groups.items():
-                for record in read_arc(arc_file(version, records)):
+                for record, target in zip(read_arc(arc_file(version, records)), targets[version], strict=True):
                     page = _page_of(record.block)
-                    target = targets[page]
                     out.append(warc_record(record, None if page is None else page_urn(page), None if target is None else page_urn(target)).decode())
             return Columns(value=out)
 
@@ -189,6 +194,18 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, reco
     warc_records(pages, least).write.option("lineSep", END.decode()).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_a_file).text(path)
 
 
+def gunzip(data: bytes) -> bytes:
+    """All members of a gzip file; archives often have one a record."""
+    out, rest = [], memoryview(data)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(rest) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        rest = memoryview(member.unused_data)
+    return b"".join(out)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record in the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
@@ -197,7 +214,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def parse(batch: pa.RecordBatch):
             out = Columns(page_id=[], payload_bytes=[], payload_digest=[], record_type=[], refers_to=[])
             for content in batch["content"]:
-                for fields, block in read_warc(zlib.decompress(content.as_buffer(), 31)):
+                for fields, block in read_warc(gunzip(content.as_buffer())):
                     payload = block.partition(END)[2]
                     named = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
                     revisit = fields["warc-type"] == "revisit"
