@@ -4,14 +4,14 @@ A legal conversation is: an optional system turn, then user and assistant turns
 Each turn of the input is kept, relabelled or merged into the turn before, and empty turns may be inserted
 before it; each has a cost, and the cheapest way is found by dynamic programming over the automaton's states
 (start, system, user, assistant: the last turn written). Within a block, ties go to the first action in
-order keep, merge, relabel, insert.
+order keep, merge, relabel, insert; which of several ways of equal cost is taken may differ with the block size.
 
 One turn is a min-plus matrix over the states, so a run of turns is a product of matrices: long
 conversations are cut into blocks, each block gives its matrix, a pass over the matrices finds the state at
 each block's start, and the blocks are then traced back independently. No conversation is ever held whole.
 The result has one row per turn with the text it renders; in order of `place` these join to the transcript.
 
-Defined cases: null texts are empty; null or unknown roles have no label of their own, any relabelling costs the
+Defined cases: null texts are empty; in a text, "<|im_" becomes "<\\|im_", so that no text opens or closes a turn; null or unknown roles have no label of their own, any relabelling costs the
 same; a null turn comes first; ties of turn are ordered by role and text; rows that repeat are turns of their
 own; a null conv_id is one conversation; an empty table gives no rows; further columns are ignored.
 """
@@ -191,7 +191,12 @@ def block_ends(matrices: DataFrame, fan: int = BLOCK) -> DataFrame:
     return _by_block(within, chain, kind)
 
 
-def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def escaped(text: str | None) -> str:
+    """The text without control tokens."""
+    return (text or "").replace("<|im_", "<\\|im_")
+
+
+def format_chats(turns: DataFrame, block: int = BLOCK, fan: int = BLOCK) -> DataFrame:
     """conv_id, place, turn, role, new_role, action, inserted (roles of empty turns before it), rendered."""
     rows = materialize(numbered(turns).withColumn("block", F.floor(F.col("place") / F.lit(block)).cast("long")), "placed")
 
@@ -202,14 +207,14 @@ def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         return [{"conv_id": group[0]["conv_id"], "block": group[0]["block"], "cells": m.ravel().tolist()}]
 
     blocks = materialize(_by_block(rows.select("conv_id", "block", "place", "role"), matrix, "conv_id long, block long, cells array<double>"), "matrices")
-    ends = block_ends(blocks.withColumnRenamed("block", "place")).select(F.col("conv_id").alias("c"), F.col("place").alias("b"), "first", "last")
+    ends = block_ends(blocks.withColumnRenamed("block", "place"), fan).select(F.col("conv_id").alias("c"), F.col("place").alias("b"), "first", "last")
     joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
 
     def render(group: list[dict]) -> list[dict]:
         out = []
         for r, step in zip(group, trace([label_of(r["role"]) for r in group], group[0]["first"], group[0]["last"])):
             _, _, came_from, _, action, inserted, role = step
-            text = r["text"] or ""
+            text = escaped(r["text"])
             if action == "merge":
                 rendered = "\n" + text
             else:

@@ -17,9 +17,11 @@ SLICE = 256
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this process only where none is set."""
+    """The shared folder that the cluster names. Where none is set, a local session gets a folder of its own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pledgework-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
