@@ -1,14 +1,15 @@
 """Merkle-tree fingerprints of documents.
 
-A document is a root over sections, a section a node over paragraphs, and a paragraph a node over clauses of
-a few words, so that texts of one paragraph have branches too. Sections end after paragraphs chosen by
-their own hash, so an insertion shifts no later section. Equal roots mean equal texts; where roots differ,
+The leaves are runs of a few words with the separators after them, a paragraph is a node over its leaves, a
+section a node over paragraphs, and the root a node over sections. Leaves end after words chosen by their own
+hash, and sections after paragraphs chosen by theirs, so an insertion changes the leaves around it only. A leaf
+is the hash of its text and every other node the hash of its children, with a mark of the level; as the leaves
+together are the text, equal roots mean equal texts, and texts that differ differ in a leaf. Where roots differ,
 equal nodes cover what both texts share, and the differing branches locate the edits.
 
-The fingerprint is text: "root;section=leaf*w.leaf*w...;section=...", w being the leaf's length in code
-points. `likeness` of two fingerprints is twice the weight of shared leaves over the weight of all. Short texts
-have a leaf for each word; where a short text meets a longer one, near_edited and near_next compare both by word
-leaves. A fingerprint's text has one size of leaves only, so `likeness` of texts of both kinds needs the trees.
+The fingerprint is text: "root;section|paragraph=leaf*w.leaf*w|paragraph=...;section|...", w being the leaf's
+length in code points; of nodes below the root it has the first half of the hash. `likeness` of two
+fingerprints is twice the weight of shared leaves over the weight of all.
 
 Defined cases: a null text is an empty one; two empty texts are alike by 1, an empty and another by 0; ties of
 doc_id are ordered by text; a null doc_id comes last; a lone document is its own next; an empty table gives
@@ -18,92 +19,134 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pledgework.llm.common import Columns, map_slices
 
-CLAUSE_WORDS = 6
-#: Texts below so many code points have a leaf for each word.
-SHORT_TEXT = 200
+#: A leaf ends after a word of which a hash falls in one of so many.
+LEAF_WORDS = 8
+#: Words of more code points are cut where the code points of a run say so.
+LONG_WORD, RUN = 64, 4
 SECTION_PARAGRAPHS = 32
-
-
-def clauses(paragraph: str, words_each: int = CLAUSE_WORDS) -> list[str]:
-    """Sentences, cut into runs of a few words; with the spaces between them they are the paragraph."""
-    out = []
-    for sentence in paragraph.split(". "):
-        words = sentence.split(" ")
-        if len(words) <= words_each:
-            out.append(sentence)
-        else:
-            out += [" ".join(words[i : i + words_each]) for i in range(0, len(words), words_each)]
-    return out
+PARAGRAPH = re.compile(r"[^\n]*\n+|[^\n]+")
+PIECE = re.compile(r"\S+\s*|\s+")
+
+
+def node(level: bytes, data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, person=level).digest()
+
+
+class Cutter:
+    """The leaves of a paragraph; remembers which words end one."""
+
+    def __init__(self, words_each: int = LEAF_WORDS):
+        self.each, self.ends = words_each, {}
+
+    def __call__(self, paragraph: str) -> list[str]:
+        out, leaf, ends = [], [], self.ends
+        for piece in PIECE.findall(paragraph):
+            if len(piece) > LONG_WORD:
+                if leaf:
+                    out.append("".join(leaf))
+                    leaf = []
+                out += self.long(piece)
+                continue
+            leaf.append(piece)
+            end = ends.get(piece)
+            if end is None:
+                if len(ends) > 200_000:
+                    ends.clear()
+                end = ends[piece] = zlib.crc32(piece.rstrip().encode()) % self.each == 0
+            if end:
+                out.append("".join(leaf))
+                leaf = []
+        if leaf:
+            out.append("".join(leaf))
+        return out
+
+    @staticmethod
+    def long(piece: str) -> list[str]:
+        """A long word in parts of 16 to 64 code points, cut by the hash of the RUN before the cut."""
+        out, at = [], 0
+        while len(piece) - at > LONG_WORD:
+            cut = next((i for i in range(at + 16, at + LONG_WORD) if zlib.crc32(piece[i - RUN : i].encode()) % 16 == 0), at + LONG_WORD)
+            out.append(piece[at:cut])
+            at = cut
+        return [*out, piece[at:]]
 
 
 class Tree:
-    """sections: [(hash, leaves, weight)], a leaf being "hash*weight"; root: hash over the sections and the text."""
-
-    def __init__(self, text: str, each: int | None = None):
-        self.text, self.by_words = text, None
-        self.sections: list[tuple[str, list[str], int]] = []
-        nodes, leaves = [], []
-        self.each = each = each or (1 if len(text) < SHORT_TEXT else CLAUSE_WORDS)
-        data = text.encode()
-        for paragraph in text.splitlines(keepends=True):
-            own = ["%x*%d" % (zlib.crc32(c.encode()), len(c)) for c in clauses(paragraph, each)]
-            node = hashlib.blake2b(".".join(own).encode(), digest_size=5).hexdigest()
-            nodes.append(node)
-            leaves += own
-            if len(nodes) >= SECTION_PARAGRAPHS or node[0] in "01":
-                self._close(nodes, leaves)
-                nodes, leaves = [], []
+    """sections: [(hash, paragraphs, weight)]; a paragraph is (hash, leaves, weight), a leaf "hash*weight"."""
+
+    def __init__(self, text: str, cut: Cutter | None = None):
+        cut, self.sections = cut or Cutter(), []
+        nodes, paragraphs, inner = [], [], []
+        for paragraph in PARAGRAPH.findall(text):
+            parts = cut(paragraph)
+            hashes = [node(b"leaf", x.encode()) for x in parts]
+            own = node(b"paragraph", b"".join(hashes))
+            nodes.append(own)
+            paragraphs.append((own[:8].hex(), ["%s*%d" % (h[:8].hex(), len(x)) for h, x in zip(hashes, parts)], len(paragraph)))
+            if len(nodes) >= SECTION_PARAGRAPHS or own[0] < 32:
+                inner.append(self._close(nodes, paragraphs))
+                nodes, paragraphs = [], []
         if nodes:
-            self._close(nodes, leaves)
-        self.root = hashlib.sha256("".join(h for h, _, _ in self.sections).encode() + hashlib.sha256(data).digest()).hexdigest()
-
-    def words(self) -> Tree:
-        """The same text's tree with a leaf for each word."""
-        if self.by_words is None:
-            self.by_words = self if self.each == 1 else Tree(self.text, 1)
-        return self.by_words
+            inner.append(self._close(nodes, paragraphs))
+        self.root = node(b"root", b"".join(inner)).hex()
 
-    def _close(self, nodes: list[str], leaves: list[str]) -> None:
-        self.sections.append((hashlib.blake2b("".join(nodes).encode(), digest_size=5).hexdigest(), leaves, sum(int(x.rpartition("*")[2]) for x in leaves)))
+    def _close(self, nodes: list[bytes], paragraphs: list) -> bytes:
+        own = node(b"section", b"".join(nodes))
+        self.sections.append((own[:8].hex(), paragraphs, sum(p[2] for p in paragraphs)))
+        return own
 
     def __str__(self) -> str:
-        return ";".join([self.root, *(f"{h}={'.'.join(leaves)}" for h, leaves, _ in self.sections)])
+        return ";".join([self.root, *("|".join([h, *(f"{p}={'.'.join(leaves)}" for p, leaves, _ in paragraphs)]) for h, paragraphs, _ in self.sections)])
 
 
-def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[str], int]]]:
+def parse(fingerprint: str) -> tuple[str, list]:
     root, *sections = fingerprint.split(";")
-    cut = ((h, leaves.split(".")) for h, _, leaves in (s.partition("=") for s in sections))
-    return root, [(h, leaves, sum(int(x.rpartition("*")[2]) for x in leaves)) for h, leaves in cut]
+    out = []
+    for section in sections:
+        name, *paragraphs = section.split("|")
+        cut = [(h, leaves.split(".")) for h, _, leaves in (p.partition("=") for p in paragraphs)]
+        weighed = [(h, leaves, sum(int(x.rpartition("*")[2]) for x in leaves)) for h, leaves in cut]
+        out.append((name, weighed, sum(p[2] for p in weighed)))
+    return root, out
+
+
+def apart(a: list, b: list) -> tuple[int, list, list]:
+    """Of nodes (hash, children, weight): the weight of those that both have, and the children of the others on either side."""
+    both = Counter(x[0] for x in a) & Counter(x[0] for x in b)
+    taken, rest = 0, ([], [])
+    for nodes, out in zip((a, b), rest):
+        left, taken = both.copy(), 0
+        for h, children, weight in nodes:
+            if left and left[h] > 0:
+                left[h] -= 1
+                taken += weight
+            else:
+                out += children
+    return taken, *rest
 
 
 def likeness_of(root_a: str, a: list, root_b: str, b: list) -> float:
-    """Of two trees; equal sections are taken whole, only leaves of differing branches are compared."""
+    """Of two trees; equal sections and paragraphs are taken whole, only leaves of differing branches are compared."""
     if root_a == root_b:
         return 1.0
-    total = sum(w for _, _, w in a) + sum(w for _, _, w in b)
-    both = Counter(s[0] for s in a) & Counter(s[0] for s in b)
-    rest, shared = [], 0
-    for sections in (a, b):
-        left, leaves, taken = both.copy(), [], 0
-        for h, own, weight in sections:
-            if left and left[h] > 0:
-                left[h] -= 1
-                taken += weight
-            else:
-                leaves += own
-        rest.append(leaves)
-        shared = taken
-    if not set(rest[0]).isdisjoint(rest[1]):
-        shared += sum(n * int(x.rpartition("*")[2]) for x, n in (Counter(rest[0]) & Counter(rest[1])).items())
+    total = sum(x[2] for x in a) + sum(x[2] for x in b)
+    shared, a, b = apart(a, b)
+    more, a, b = apart(a, b)
+    shared += more
+    if not set(a).isdisjoint(b):
+        shared += sum(n * int(x.rpartition("*")[2]) for x, n in (Counter(a) & Counter(b)).items())
     return 2 * shared / total if total else 0.0
 
 
@@ -112,22 +155,21 @@ def likeness(a: str, b: str) -> float:
 
 
 def near(a: Tree, b: Tree) -> float:
-    """The likeness of two trees, by leaves that both have."""
-    if a.each != b.each:
-        a, b = a.words(), b.words()
     return likeness_of(a.root, a.sections, b.root, b.sections)
 
 
-def differing_sections(a: str, b: str) -> list[tuple[int, str]]:
-    """(position, hash) of b's sections that a doesn't have: where the edits are."""
+def differing_branches(a: str, b: str) -> list[tuple[int, int, int, str]]:
+    """(section, paragraph, leaf, hash) of b's leaves that a doesn't have, by position: where the edits are."""
     (_, x), (_, y) = parse(a), parse(b)
-    left = Counter(h for h, _, _ in x)
+    left = Counter(leaf for _, paragraphs, _ in x for _, leaves, _ in paragraphs for leaf in leaves)
     out = []
-    for i, (h, _, _) in enumerate(y):
-        if left[h] > 0:
-            left[h] -= 1
-        else:
-            out.append((i, h))
+    for i, (_, paragraphs, _) in enumerate(y):
+        for j, (_, leaves, _) in enumerate(paragraphs):
+            for k, leaf in enumerate(leaves):
+                if left[leaf] > 0:
+                    left[leaf] -= 1
+                else:
+                    out.append((i, j, k, leaf.partition("*")[0]))
     return out
 
 
@@ -148,19 +190,28 @@ def next_in_order(docs: DataFrame, per_part: int = 4_000) -> DataFrame:
     parts = max(1, min(10_000, n // per_part))
     probs = [i / parts for i in range(1, parts)]
     bounds = sorted({int(b) for b in ids.agg(F.percentile_approx("doc_id", probs, 10_000).alias("b")).first()["b"] or []}) if probs and least is not None else []
+    falling = np.array(sorted(bounds, reverse=True), np.int64)
     # range of falling id: the number of bounds that are >= doc_id; a null id goes after all
-    falling = sorted(bounds, reverse=True)
-    part = F.lit(0) if not falling else F.lit(len(falling)) - F.array_size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(falling))).otherwise(part).cast("int")
-    dealt = docs.select("doc_id", "text", part.alias("part"))
-    heads = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(-falling, -ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(falling))).otherwise(range_of(F.coalesce("doc_id", F.lit(0).cast("long")))).cast("int")
+    heads = {r["part"]: r["top"] for r in ids.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range's head goes to the end of the last
-    top = F.create_map(*[F.lit(x) for p in order for x in (p, heads[p])]) if order else F.create_map(F.lit(0), F.lit(0).cast("bigint"))
-    to = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])]) if order else F.create_map(F.lit(0), F.lit(0))
-    head = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("part")))
-    both = F.when(head, F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), F.struct(F.element_at(to, F.col("part")).alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("guest"))))
-    return dealt.withColumn("at", F.explode(both)).select("doc_id", "text", "at.part", "at.guest"), len(order)
+    null_head = [before[p] for p in order if heads[p] is None]  # where the last range has null ids only
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(ids: pd.Series) -> pd.Series:
+        own = np.searchsorted(-falling, -ids.to_numpy(np.int64), side="right").tolist()
+        return pd.Series([[p, before[p]] if heads.get(p) == i else [p] for p, i in zip(own, ids.tolist())])
+
+    nulls = F.array(F.lit(len(falling)), *map(F.lit, null_head))
+    both = F.when(F.col("doc_id").isNull(), nulls).otherwise(ranges_of(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    dealt = docs.select("doc_id", "text", F.posexplode(both).alias("guest", "part"))
+    return dealt.select("doc_id", "text", "part", "guest"), len(order)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -170,10 +221,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     def make():
         waiting: list = []
+        cut = Cutter()
 
         def result(doc_id, text: str, tree: Tree, following: str, following_tree: Tree):
             made = edited(text, following)
-            new = Tree(made)
+            new = Tree(made, cut)
             return doc_id, len(text), hashlib.sha256(made.encode()).hexdigest(), str(tree), str(new), near(tree, new), near(tree, following_tree)
 
         def link(batch: pa.RecordBatch):
@@ -184,7 +236,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     waiting.clear()
                 if guest and not waiting:  # further copies of a head that repeats
                     continue
-                tree = Tree(text)
+                tree = Tree(text, cut)
                 if waiting:
                     _, old_id, old_text, old_tree = waiting.pop()
                     out.append(result(old_id, old_text, old_tree, text, tree))

@@ -157,20 +157,61 @@ def test_fingerprint_against_plain_pairing(spark):
     assert got[7]["fingerprint"] == got[8]["fingerprint"] and got[8]["near_next"] == 1.0
 
 
+def leaves_of(text):
+    return Counter(x for _, paragraphs, _ in fingerprints.Tree(text).sections for _, leaves, _ in paragraphs for x in leaves)
+
+
 def test_tree_locates_edits():
     lines = [f"paragraph number {i} has some words of its own" for i in range(60)]
     a, b = str(fingerprints.Tree("\n".join(lines))), str(fingerprints.Tree("\n".join([*lines[:30], "changed words", *lines[31:]])))
-    assert 0.9 < fingerprints.likeness(a, b) < 1 and 1 <= len(fingerprints.differing_sections(a, b)) <= 2
+    found = fingerprints.differing_branches(a, b)
+    assert 0.9 < fingerprints.likeness(a, b) < 1 and 1 <= len(found) <= 3 and len({f[:2] for f in found}) == 1
     assert fingerprints.likeness(str(fingerprints.Tree("")), str(fingerprints.Tree(""))) == 1.0
 
 
-def test_likeness_across_the_short_limit(spark):
-    long = " ".join(f"word{i}" for i in range(32))
-    short = long[: len(long) // 2 + 60]
-    assert len(short) < fingerprints.SHORT_TEXT <= len(long)
-    got = {r["doc_id"]: r for r in fingerprints.fingerprint(docs_of(spark, ["tail", long, short])).collect()}
-    assert got[1]["near_edited"] > 0.4  # its edited text is short and keeps half
-    assert got[2]["near_next"] > 0.7
+def test_an_inserted_word_costs_a_few_leaves():
+    rng = random.Random(1)
+    words = [f"word{rng.randrange(900)}" for _ in range(300)]
+    whole = leaves_of(" ".join(words))
+    for at in (0, 1, 150, 299, 300):
+        new = leaves_of(" ".join([*words[:at], "inserted", *words[at:]]))
+        assert sum((whole - new).values()) <= 2 and sum((new - whole).values()) <= 3
+    solid = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    assert sum((leaves_of(solid) - leaves_of(solid[:2000] + "z" + solid[2000:])).values()) <= 6
+
+
+def test_unequal_texts_differ_in_a_leaf():
+    for a, b in (("aa. bb", "aa bb"), ("a\nb", "a\n\nb"), ("a b", "a  b"), ("", " "), ("x" * 199, "x" * 201), ("a\n", "a")):
+        assert leaves_of(a) != leaves_of(b) and fingerprints.Tree(a).root != fingerprints.Tree(b).root
+        assert fingerprints.differing_branches(str(fingerprints.Tree(a)), str(fingerprints.Tree(b))) or not set(leaves_of(b)) - set(leaves_of(a))
+    near = fingerprints.near(*(fingerprints.Tree(" ".join(f"word{i}" for i in range(n))) for n in (26, 27)))
+    assert near > 0.6
+
+
+def test_likeness_equals_leaf_multisets():
+    rng = random.Random(7)
+    for _ in range(60):
+        lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 80))]
+        other = [x if rng.random() < 0.8 else x[: len(x) // 2] for x in lines if rng.random() < 0.9]
+        rng.random() < 0.3 and rng.shuffle(other)
+        a, b = "\n".join(lines), "\n".join(other)
+        x, y = leaves_of(a), leaves_of(b)
+        shared = sum(n * int(leaf.rpartition("*")[2]) for leaf, n in (x & y).items())
+        assert fingerprints.likeness(str(fingerprints.Tree(a)), str(fingerprints.Tree(b))) == (1.0 if a == b else 2 * shared / (len(a) + len(b)))
+        assert fingerprints.near(fingerprints.Tree(a), fingerprints.Tree(b)) == fingerprints.likeness(str(fingerprints.Tree(a)), str(fingerprints.Tree(b)))
+
+
+def test_next_document_over_ranges(spark, monkeypatch):
+    whole = fingerprints.next_in_order
+    monkeypatch.setattr(fingerprints, "next_in_order", lambda docs: whole(docs, 3))
+    ids = [2**60 + i for i in range(20)] + [5, 5, None, None]
+    texts = [f"text {i} of its own" for i in range(24)]
+    got = fingerprints.fingerprint(docs_of(spark, texts, ids)).collect()
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    import hashlib
+
+    want = Counter((i, hashlib.sha256(fingerprints.edited(t, order[(k + 1) % 24][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
 
 
 # ---- near duplicates
