@@ -44,33 +44,26 @@ def node(level: bytes, data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16, person=level).digest()
 
 
-class Cutter:
+class Cutter(dict):
     """The leaves of a paragraph; remembers which words end one."""
 
     def __init__(self, words_each: int = LEAF_WORDS):
-        self.each, self.ends = words_each, {}
+        self.each = words_each
+
+    def __missing__(self, piece: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        end = self[piece] = zlib.crc32(piece.rstrip().encode()) % self.each == 0
+        return end
 
     def __call__(self, paragraph: str) -> list[str]:
-        out, leaf, ends = [], [], self.ends
-        for piece in PIECE.findall(paragraph):
-            if len(piece) > LONG_WORD:
-                if leaf:
-                    out.append("".join(leaf))
-                    leaf = []
-                out += self.long(piece)
-                continue
-            leaf.append(piece)
-            end = ends.get(piece)
-            if end is None:
-                if len(ends) > 200_000:
-                    ends.clear()
-                end = ends[piece] = zlib.crc32(piece.rstrip().encode()) % self.each == 0
-            if end:
-                out.append("".join(leaf))
-                leaf = []
-        if leaf:
-            out.append("".join(leaf))
-        return out
+        pieces = PIECE.findall(paragraph)
+        if max(map(len, pieces)) > LONG_WORD:
+            pieces = [x for piece in pieces for x in (self.long(piece) if len(piece) > LONG_WORD else (piece,))]
+        ends = [i for i, end in enumerate(map(self.__getitem__, pieces), 1) if end]
+        if not ends or ends[-1] < len(pieces):
+            ends.append(len(pieces))
+        return ["".join(pieces[i:j]) for i, j in zip([0, *ends], ends)]
 
     @staticmethod
     def long(piece: str) -> list[str]:
@@ -179,7 +172,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def next_in_order(docs: DataFrame, per_part: int = 4_000) -> DataFrame:
+def next_in_order(docs: DataFrame, per_part: int = 2_000) -> DataFrame:
     """The documents dealt to ranges of falling doc_id, with the first row of each range also at the end of the range before.
 
     Adds part and guest. Bounds come from approximate quantiles of the ids, so that only ids are read twice
