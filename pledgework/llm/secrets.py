@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 The fixed patterns (kinds assign, access, hex) find values behind credential names, access keys and long
-hex runs. The token-efficiency test looks at every run of 16 to 512 key characters that mixes letters and
+hex runs. The token-efficiency test looks at every run of 16 or more key characters that mixes letters and
 digits: a byte-pair vocabulary spells a word-like string with few tokens, but needs nearly a token for
-every two characters of a random one. Runs with fewer than MOST_RATIO characters a token are spans of kind
-"entropy". Known digests (hex of the usual digest lengths), UUIDs, numbers, dates, paths and identifiers made
-of words are excluded. Longer runs are cut. Within a run, the parts between its separators and overlapping
-windows are tested as well, digests and UUIDs left out, so that words beside a key can't hide it; hits that
-meet become one span, and a window's hit takes the whole of the parts that it begins and ends in.
+every two characters of a random one. What has fewer than MOST_RATIO characters a token is a span of kind
+"entropy". First known digests (hex of the usual digest lengths, labelled base64 digests) and UUIDs are cut out of
+the run, with whatever label is before them; numbers, dates, paths and identifiers made of words are excluded. What
+is left is tested whole, then in the parts between its separators and in overlapping windows, so that words beside a
+key can't hide it, however long the run is; hits that meet become one span, and a window's hit takes the whole of
+the parts that it begins and ends in.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, the end exclusive; spans of
 one start are ordered assign, access, hex, entropy; rows that repeat give the same values; further columns
@@ -39,10 +40,11 @@ CREDENTIALS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key
 HAS_DIGIT, HAS_LETTER, MIXED = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z][A-Z]+[a-z]+[A-Z]+[a-z]")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 MOST_RATIO = 2.0
-LONGEST = 512
 LEAST, WINDOW, STEP = 16, 20, 4
 PART = re.compile(r"[^/=_-]+")
-NO_SECRET = re.compile(rf"(?<![0-9a-fA-F]){UUID.pattern}(?![0-9a-fA-F])|(?<![A-Za-z0-9+])(?:[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9+])")
+#: base64 digests as they are labelled in web pages and lock files.
+LABELLED = r"sha(?:256-[A-Za-z0-9+/]{43}=|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86}==)"
+NO_SECRET = re.compile(rf"{LABELLED}|(?<![0-9a-fA-F]){UUID.pattern}(?![0-9a-fA-F])|(?<![A-Za-z0-9+])(?:[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9+])")
 
 
 def encoder(ranks: str):
@@ -70,7 +72,7 @@ def stretches(run: str) -> list[tuple[int, int]]:
     """What is left of a run without UUIDs and digests."""
     out, at = [], 0
     for m in NO_SECRET.finditer(run):
-        if len(m.group()) in DIGESTS or "-" in m.group():
+        if len(m.group()) in DIGESTS or not m.group().isalnum():
             out.append((at, m.start()))
             at = m.end()
     return [(a, b) for a, b in [*out, (at, len(run))] if b - a >= LEAST]
@@ -94,21 +96,24 @@ def random_spans(text: str, encode, most_ratio: float = MOST_RATIO) -> list[tupl
 
     for m in RUN.finditer(text):
         at, run = m.start(), m.group()
-        hits = [(i, min(i + LONGEST, len(run))) for i in range(0, len(run), LONGEST) if dense(run[i : i + LONGEST])]
-        if hits != [(0, len(run))] and HAS_LETTER.search(run) and (HAS_DIGIT.search(run) or MIXED.search(run)):
-            for a, b in stretches(run):
-                parts = [(a + p.start(), a + p.end()) for p in PART.finditer(run[a:b])]
-                hits += [(i, j) for i, j in parts if j - i <= LONGEST and dense(run[i:j])]
-                firsts, ends = [i for i, _ in parts], [j for _, j in parts]
-                for i in sorted({*range(a, max(a, b - WINDOW) + 1, STEP), max(a, b - WINDOW)}):
-                    j = min(i + WINDOW, b)
-                    if dense(run[i:j]):
-                        first, last = bisect_right(firsts, i) - 1, bisect_left(ends, j)
-                        # a part of endless length, as of encoded data, only counts where its windows do
-                        head = firsts[first] if first >= 0 and ends[first] > i and ends[first] - firsts[first] <= LONGEST else i
-                        tail = ends[last] if last < len(ends) and firsts[last] < j and ends[last] - firsts[last] <= LONGEST else j
-                        hits.append((head, tail))
-        found += [(at + a, at + b) for a, b in merged(hits)]
+        for a, b in stretches(run):
+            part = run[a:b]
+            if not HAS_LETTER.search(part) or not HAS_DIGIT.search(part) and not MIXED.search(part):
+                continue
+            if dense(part):
+                found.append((at + a, at + b))
+                continue
+            parts = [(a + p.start(), a + p.end()) for p in PART.finditer(part)]
+            hits = [(i, j) for i, j in parts if dense(run[i:j])]
+            firsts, ends = [i for i, _ in parts], [j for _, j in parts]
+            for i in sorted({*range(a, max(a, b - WINDOW) + 1, STEP), max(a, b - WINDOW)}):
+                j = min(i + WINDOW, b)
+                if dense(run[i:j]):
+                    first, last = bisect_right(firsts, i) - 1, bisect_left(ends, j)
+                    head = firsts[first] if first >= 0 and ends[first] > i else i
+                    tail = ends[last] if last < len(ends) and firsts[last] < j else j
+                    hits.append((head, tail))
+            found += [(at + i, at + j) for i, j in merged(hits)]
     return found
 
 
