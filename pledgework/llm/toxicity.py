@@ -3,12 +3,15 @@
 Words become symbols (insult, threat, target, negation, reported speech, other). Letter-to-letter weighted
 transducers then rewrite the symbols of a clause: one for negation, one for reported speech, one for aim
 (a target before or after). Their composition is run over each clause with an insult or threat; its best
-path says what the clause does. A document's score is a logistic function of the counts of what its clauses
-do, not of isolated words.
+path says what the clause does: an insult or threat that is plain, aimed, negated or reported. A document's score is a
+logistic function of the counts of what its clauses do. Its weights are also those of the arcs: an arc weighs what
+the letter that it writes weighs.
 
-Learned from labelled rows outside the held-out fold, on a bounded sample (SAMPLE_ROWS): insult words beyond
-the fixed list, from document frequencies under either label, and the weights of the logistic function,
-drawn to the prior PRIOR. Scoring covers every clause of every text.
+Learned from labelled rows outside the held-out fold, on a bounded sample (SAMPLE_ROWS): insult words and stems beyond
+the fixed list, from document frequencies under either label, and the weights, drawn to the prior PRIOR and
+learned twice, as the first weights choose the paths that the second are learned from. Scoring covers every clause of
+every text, whole: more than REACH other words in a row take the grammar back to its start, so a long clause falls
+into stretches that are read one by one.
 
 Defined cases: a null or empty text, or one without a match, scores the bias alone; rows that repeat get equal scores;
 a null doc_id falls into the fold of the text 'null'; labels of null are ignored; without labels, the prior
@@ -25,15 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pledgework.llm.common import Columns, broadcast_if_small, crc_bucket, map_slices
+from pledgework.llm.common import Columns, broadcast_if_small, crc_bucket, map_slices, materialize
 
 FOLDS = 5
 SAMPLE_ROWS = 20_000
-MOST_LEARNED = 400
 #: Least toxic texts of a learned word or stem, and how often they must outnumber the others: so many agree by chance in fewer than one word of a sample.
 LEAST_WORD, LEAST_STEM, ODDS = 6, 8, 20
-#: The same of a suspect stem: as a share of the texts under its label.
-LEAST_SUSPECT, SUSPECT_ODDS = 12, 6
 STEM_LETTERS = (4, 8)
 #: Seed lexicons, lower case.
 INSULTS = "idiot idiots moron morons stupid clown clowns scum trash loser losers pathetic worthless disgusting imbecile dumb dumbass fool filth vermin garbage creep coward cretin bastard asshole bitch jerk pig retard scumbag dirtbag lowlife freak dummkopf trottel arschloch abschaum versager connard imbécile salaud ordure crétin idiota imbécil estúpido estúpida basura escoria".split()
@@ -43,10 +43,12 @@ NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't nobody hardly
 REPORTS = "said says say saying called calls quoted quotes quote wrote writes claimed claims reported reports alleged according sagte sagt dit disait dijo dice".split()
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE_END = re.compile(r"[.!?;\n]")
-LONGEST_CLAUSE = 400
-#: What a path says of an insult (plain, aimed, negated, reported) or a threat (plain, aimed, negated, reported), or "s": a stem that toxic texts have far more often, though others have it too.
-SAYS = "iAnrtTmqs"
-PRIOR = np.array([-4.0, 6.5, 8.0, 2.0, 3.0, 0.5, 6.0, 0.5, 1.0, 2.0])
+#: Other words in a row after which no transducer is in the scope of anything.
+REACH = 8
+GAP = re.compile("o{%d,}" % REACH)
+#: What a path says of an insult (plain, aimed, negated, reported) or a threat (plain, aimed, negated, reported).
+SAYS = "iAnrtTmq"
+PRIOR = np.array([-4.0, 6.5, 8.0, 2.0, 3.0, 0.5, 6.0, 0.5, 1.0])
 
 
 class Transducer:
@@ -73,19 +75,19 @@ class Transducer:
                             todo.append(to)
         return Transducer(start, finals, dict(arcs))
 
-    def best(self, letters: str) -> tuple[float, str]:
-        """(weight, letters out) of the best path; ties go to the first in order of letters."""
-        front = {self.start: (0.0, "")}
+    def best(self, letters: str) -> tuple[float, tuple[int, ...]]:
+        """Weight of the best path, and how often it writes each letter of SAYS; ties go to the largest counts in that order."""
+        front = {self.start: (0.0, (0,) * len(SAYS))}
         for letter in letters:
             new: dict = {}
-            for state, (w, out) in front.items():
+            for state, (w, counts) in front.items():
                 for o, v, to in self.arcs.get((state, letter), ()):
-                    cand = (w + v, out + o)
-                    if to not in new or (cand[0], new[to][1]) > (new[to][0], cand[1]):
+                    i = SAYS.find(o)
+                    cand = (w + v, counts if i < 0 else (*counts[:i], counts[i] + 1, *counts[i + 1 :]))
+                    if to not in new or cand > new[to]:
                         new[to] = cand
             front = new
-        ends = [(w + self.finals[s], out) for s, (w, out) in front.items() if s in self.finals]
-        return max(ends, key=lambda x: (x[0], x[1]), default=(float("-inf"), ""))
+        return max(((w + self.finals[s], counts) for s, (w, counts) in front.items() if s in self.finals), default=(float("-inf"), (0,) * len(SAYS)))
 
 
 def scope(opener: str, reach: int, changes: dict[str, str], alphabet: str) -> Transducer:
@@ -98,55 +100,57 @@ def scope(opener: str, reach: int, changes: dict[str, str], alphabet: str) -> Tr
     return Transducer(0, {k: 0.0 for k in range(reach + 1)}, arcs)
 
 
-def aim(before: int = 4, after: int = 3) -> Transducer:
+def aim(weights: dict[str, float], before: int = 4, after: int = 3) -> Transducer:
     """An insult or threat near a target is aimed at it; a target to come is guessed, and the guess must hold."""
-    arcs, alphabet = defaultdict(list), "oiYNRtnrmqs"
+    arcs, alphabet, aimed = defaultdict(list), "oiYNRtnrmq", {"i": "A", "t": "T"}
     states = [("b", k) for k in range(before + 1)] + [("w", k) for k in range(1, after + 1)]
+
+    def add(state: tuple, letter: str, out: str, to: tuple) -> None:
+        arcs[state, letter].append((out, weights.get(out, 0.0), to))
+
     for kind, k in states:
         for letter in alphabet:
             if kind == "w":
                 if letter == "Y":
-                    arcs[(kind, k), letter].append((letter, 0.5, ("b", before)))
+                    add((kind, k), letter, letter, ("b", before))
                 elif k > 1:
-                    arcs[(kind, k), letter].append(({"i": "A", "t": "T"}.get(letter, letter), 0.0, ("w", k - 1)))
+                    add((kind, k), letter, aimed.get(letter, letter), ("w", k - 1))
                 continue
             left = before if letter == "Y" else max(0, k - 1)
-            if letter in "it":
-                if k:
-                    arcs[(kind, k), letter].append((letter.upper() if letter == "t" else "A", 1.0, ("b", left)))
-                else:
-                    arcs[(kind, k), letter].append((letter, 0.0, ("b", left)))
-                    arcs[(kind, k), letter].append(("T" if letter == "t" else "A", 0.5, ("w", after)))
+            if letter in aimed and k:
+                add((kind, k), letter, aimed[letter], ("b", left))
             else:
-                arcs[(kind, k), letter].append((letter, 0.0, ("b", left)))
+                add((kind, k), letter, letter, ("b", left))
+                if letter in aimed:
+                    add((kind, k), letter, aimed[letter], ("w", after))
     return Transducer(("b", 0), {s: 0.0 for s in states if s[0] == "b"}, dict(arcs))
 
 
-def grammar() -> Transducer:
-    negation = scope("N", 3, {"i": "n", "t": "m"}, "oiYNRts")
-    report = scope("R", 6, {"i": "r", "t": "q", "n": "r", "m": "q"}, "oiYNRtnms")
-    return negation.compose(report).compose(aim())
+def grammar(weights: np.ndarray = PRIOR) -> Transducer:
+    """weights: bias, then one a letter of SAYS."""
+    negation = scope("N", 3, {"i": "n", "t": "m"}, "oiYNRt")
+    report = scope("R", 6, {"i": "r", "t": "q", "n": "r", "m": "q"}, "oiYNRtnm")
+    return negation.compose(report).compose(aim(dict(zip(SAYS, weights[1:].tolist()))))
 
 
 class Scanner:
     """Counts of what a text's clauses do; insults beyond the fixed list are given."""
 
-    def __init__(self, learned: list[str]):
+    def __init__(self, learned: list[str], weights: np.ndarray = PRIOR):
         import ahocorasick
 
-        self.kind = dict.fromkeys(REPORTS, "R") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(TARGETS, "Y") | dict.fromkeys(THREATS, "t") | dict.fromkeys((w for w in learned if w[-1] not in "*?"), "i") | dict.fromkeys(INSULTS, "i")
-        self.find, self.stems = ahocorasick.Automaton(), {w[:-1]: "i" if w[-1] == "*" else "s" for w in sorted(learned, reverse=True) if w[-1] in "*?"}
+        self.kind = dict.fromkeys(REPORTS, "R") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(TARGETS, "Y") | dict.fromkeys(THREATS, "t") | dict.fromkeys((w for w in learned if w[-1] != "*"), "i") | dict.fromkeys(INSULTS, "i")
+        self.find, self.stems = ahocorasick.Automaton(), {w[:-1] for w in learned if w[-1] == "*"}
         for w in [w for w, k in self.kind.items() if k in "it"] + sorted(self.stems):
             self.find.add_word(w, (len(w), w in self.stems))
         self.find.make_automaton()
-        self.machine, self.known = grammar(), {}
+        self.machine, self.known = grammar(weights), {"": (0,) * len(SAYS)}
 
     def symbol(self, word: str) -> str:
         found = self.kind.get(word)
-        if found is None:
-            kinds = {self.stems.get(word[:n], "o") for n in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1)}
-            found = "i" if "i" in kinds else min(kinds, key="so".index)
-        return found
+        if found is None and any(word[:n] in self.stems for n in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1)):
+            found = "i"
+        return found or "o"
 
     def counts(self, text: str) -> list[int]:
         found, done = [0] * len(SAYS), -1
@@ -155,18 +159,16 @@ class Scanner:
             if end < done or not stem and end + 1 < len(low) and low[end + 1].isalpha() or end >= n and low[end - n].isalpha():
                 continue
             m = CLAUSE_END.search(low, end)
-            stop = min(m.start() if m else len(low), end + LONGEST_CLAUSE)
-            start = max(low.rfind(c, max(0, end - LONGEST_CLAUSE), end) for c in ".!?;\n")
-            start = max(start + 1, end - LONGEST_CLAUSE, done, 0)
-            letters = "".join([self.symbol(w) for w in WORD.findall(low[start:stop].replace("’", "'"))])
-            path = self.known.get(letters)
-            if path is None:
-                path = self.known[letters] = self.machine.best(letters)[1]
-                if len(self.known) > 50_000:
-                    self.known.clear()
-            for i, s in enumerate(SAYS):
-                found[i] += path.count(s)
-            done = stop
+            done = m.start() if m else len(low)
+            start = max(low.rfind(c, 0, end) for c in ".!?;\n") + 1
+            letters = "".join([self.symbol(w) for w in WORD.findall(low[start:done].replace("’", "'"))])
+            for stretch in GAP.split(letters):
+                says = self.known.get(stretch)
+                if says is None:
+                    if len(self.known) > 50_000:
+                        self.known = {"": (0,) * len(SAYS)}
+                    says = self.known[stretch] = self.machine.best(stretch)[1]
+                found = list(map(int.__add__, found, says))
         return found
 
 
@@ -199,8 +201,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return docs.select("doc_id", "text").join(broadcast_if_small(known, min(n, sample_rows)), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
 
 
-def learned_insults(rows: DataFrame, most: int = MOST_LEARNED) -> list[str]:
-    """Words, and stems with a star after them, that come in toxic texts and hardly in others, and suspect stems with a question mark; at most `most` of each."""
+def learned_insults(rows: DataFrame) -> list[str]:
+    """Words, and stems with a star after them, that come in toxic texts and hardly in others. As many as the sample shows."""
 
     def make():
         def words(batch: pa.RecordBatch):
@@ -212,46 +214,41 @@ def learned_insults(rows: DataFrame, most: int = MOST_LEARNED) -> list[str]:
 
         return words
 
-    counted = map_slices(rows, make, "word string, clean long, toxic long", 2048).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = materialize(map_slices(rows, make, "word string, clean long, toxic long", 2048).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-words")
     lengths = F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.lit(STEM_LETTERS[1]), F.length("word")))
     stems = counted.filter(F.length("word") >= STEM_LETTERS[0]).select(F.explode(F.transform(lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("word"), "clean", "toxic").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
-    texts = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    odds = SUSPECT_ODDS * texts.get(True, 0) / max(1, texts.get(False, 0))
+    def clear(of: DataFrame, least: int) -> list[str]:
+        chosen = of.filter((F.col("toxic") >= least + ODDS * F.col("clean")) & (F.length("word") >= 3))
+        return sorted((r["word"] for r in chosen.select("word").collect()), key=lambda w: (len(w), w))  # bounded by the sample
 
-    def best(of: DataFrame, condition) -> list[str]:
-        return [r["word"] for r in of.filter(condition & (F.length("word") >= 3)).orderBy(F.desc("toxic"), "word").limit(most).collect()]
+    strong: set[str] = set()
+    for stem in clear(stems, LEAST_STEM):  # shortest first
+        if not any(stem[:n] in strong for n in range(STEM_LETTERS[0], len(stem))):
+            strong.add(stem)
+    words = [w for w in clear(counted, LEAST_WORD) if not any(w[:n] in strong for n in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1))]
+    return words + [k + "*" for k in sorted(strong)]
 
-    def shortest(found: list[str]) -> list[str]:
-        kept: list[str] = []
-        for stem in sorted(found, key=lambda w: (len(w), w)):
-            if not any(stem.startswith(k) for k in kept):
-                kept.append(stem)
-        return kept
 
-    strong = shortest(best(stems, F.col("toxic") >= LEAST_STEM + ODDS * F.col("clean")))
-    words = best(counted, F.col("toxic") >= LEAST_WORD + ODDS * F.col("clean"))
-    suspect = shortest(best(stems, (F.col("toxic") >= LEAST_SUSPECT) & (F.col("toxic") >= odds * (F.col("clean") + 1))))
-    return [w for w in words if not any(w.startswith(k) for k in strong)] + [k + "*" for k in strong] + [k + "?" for k in suspect]
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -> tuple[list[str], np.ndarray]:
+    rows = materialize(training_rows(docs, labels, sample_rows), "toxicity-sample")
+    learned, weights = learned_insults(rows), PRIOR
+    for _ in range(rounds):
 
+        def make(weights=weights):
+            scanner = Scanner(learned, weights)
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    rows = training_rows(docs, labels, sample_rows)
-    learned = learned_insults(rows)
-
-    def make():
-        scanner = Scanner(learned)
-
-        def features(batch: pa.RecordBatch):
-            return Columns(counts=[scanner.counts(t or "") for t in batch["text"].to_pylist()], toxic=batch["toxic"].cast(pa.int64()))
+            def features(batch: pa.RecordBatch):
+                return Columns(counts=[scanner.counts(t or "") for t in batch["text"].to_pylist()], toxic=batch["toxic"].cast(pa.int64()))
 
-        return features
+            return features
 
-    got = map_slices(rows, make, "counts array<long>, toxic long").groupBy("counts", "toxic").agg(F.count("*").alias("n")).collect()  # bounded by the sample
-    x = np.array([r["counts"] for r in got], dtype=float).reshape(-1, len(SAYS))
-    n = np.array([r["n"] for r in got], dtype=int)
-    y = np.array([1.0 if r["toxic"] else 0.0 for r in got])
-    return learned, fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+        got = map_slices(rows, make, "counts array<long>, toxic long").groupBy("counts", "toxic").agg(F.count("*").alias("n")).collect()  # bounded by the sample
+        x = np.array([r["counts"] for r in got], dtype=float).reshape(-1, len(SAYS))
+        n = np.array([r["n"] for r in got], dtype=int)
+        y = np.array([1.0 if r["toxic"] else 0.0 for r in got])
+        weights = fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    return learned, weights
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -260,7 +257,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     schema = "doc_id long, held_out boolean, score double, predicted int, " + ", ".join(f"{n} long" for n in COUNTS)
 
     def make():
-        scanner = Scanner(learned)
+        scanner = Scanner(learned, weights)
 
         def judge(batch: pa.RecordBatch):
             counts = [scanner.counts(t or "") for t in batch["text"].to_pylist()]
@@ -273,7 +270,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return map_slices(docs.select("doc_id", "text", (crc_bucket("doc_id", FOLDS) == 0).alias("held_out")), make, schema)
 
 
-COUNTS = ("insults", "aimed_insults", "negated_insults", "reported_insults", "threats", "aimed_threats", "negated_threats", "reported_threats", "suspect_words")
+COUNTS = ("insults", "aimed_insults", "negated_insults", "reported_insults", "threats", "aimed_threats", "negated_threats", "reported_threats")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -281,7 +278,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     learned, weights = train(docs, labels, sample_rows)
 
     def make():
-        scanner = Scanner(learned)
+        scanner = Scanner(learned, weights)
 
         def keep(batch: pa.RecordBatch):
             p = probability([scanner.counts(t or "") for t in batch["text"].to_pylist()], weights)

@@ -393,6 +393,48 @@ def test_grammar_reads_clauses():
     assert says("kiln idiotic") == {} and says("a zorg. blarfing") == {"insults": 2} and says("") == {}
 
 
+def every_path(machine, letters):
+    """All (weight, letters out) of a transducer, one arc at a time."""
+    front = [(0.0, "", machine.start)]
+    for letter in letters:
+        front = [(w + v, out + o, to) for w, out, at in front for o, v, to in machine.arcs.get((at, letter), ())]
+    return [(w + machine.finals[at], out) for w, out, at in front if at in machine.finals]
+
+
+def test_composed_grammar_equals_the_cascade():
+    rng, weights = random.Random(3), toxicity.PRIOR
+    parts = [toxicity.scope("N", 3, {"i": "n", "t": "m"}, "oiYNRt"), toxicity.scope("R", 6, {"i": "r", "t": "q", "n": "r", "m": "q"}, "oiYNRtnm"), toxicity.aim(dict(zip(toxicity.SAYS, weights[1:])))]
+    machine = toxicity.grammar(weights)
+    for _ in range(200):
+        letters = "".join(rng.choice("ooiYNRt") for _ in range(rng.randint(1, 9)))
+        found = [(0.0, letters)]
+        for part in parts:
+            found = [(w + v, out) for w, x in found for v, out in every_path(part, x)]
+        weight = max(w for w, _ in found)
+        counts = max(tuple(out.count(c) for c in toxicity.SAYS) for w, out in found if abs(w - weight) < 1e-9)
+        assert machine.best(letters)[1] == counts and abs(machine.best(letters)[0] - weight) < 1e-9, letters
+        both = letters + "o" * rng.randint(toxicity.REACH, 20) + letters
+        assert machine.best(both)[1] == tuple(2 * c for c in counts)
+
+
+def test_clauses_are_read_whole():
+    scan, far = toxicity.Scanner([]), "word " * 200
+    says = lambda t: {n: c for n, c in zip(toxicity.COUNTS, scan.counts(t)) if c}
+    assert says(far + "idiot " + far + "idiot you " + far) == {"insults": 1, "aimed_insults": 1}
+    for n in range(390, 410):  # around the old cut
+        assert says("idiot " + "x" * n + " not an idiot") == {"insults": 1, "negated_insults": 1}
+
+
+def test_scores_of_hard_rows_and_ties(spark):
+    labels = spark.createDataFrame([(i, 0, i % 2, "x") for i in range(5)], "doc_id long, quality int, toxic int, text string")
+    docs = docs_of(spark, [*HARD, "idiot you", "idiot you"])
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert len(rows) == 12 and rows[10]["score"] == rows[11]["score"] > rows[0]["score"] == rows[1]["score"]
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in rows.values())
+    assert toxicity.without_toxic(docs.limit(0), labels).count() == 0
+
+
 @here
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.01")
