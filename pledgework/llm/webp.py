@@ -4,8 +4,9 @@ The decoder reads prefix codes, back-references, the colour cache and prefix-cod
 predictor, cross-colour, subtract-green and palette transforms. Every step of the format makes one pixel of
 an image, so a batch is decoded in lock-step: one numpy step makes the next pixel of all images still open.
 
-A payload of bytes becomes pixels of four bytes, ROW_BYTES to a row. Long ones are stored as frames of
-FRAME_ROWS rows below each other (the format's animation chunks), so that no image is large.
+A payload of bytes becomes pixels of four bytes, ROW_BYTES to a row. Every payload is stored as frames of up to
+FRAME_ROWS rows below each other (the format's animation chunks), so that no image is large. A frame is encoded with
+each set of transforms that may help (none; a palette; prediction with cross-colour) and the shortest one is stored.
 
 Defined cases: a null text is an empty payload, padded to one row; equal texts give equal files; rows that
 repeat give equal values; an empty table gives no rows; further columns are ignored. A file that breaks the
@@ -377,25 +378,35 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, ri
 
 
 def prediction_walk(ch: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
-    """Residues to pixels, or back. ch: (height, width, 4)."""
+    """Residues to pixels, or back. ch: (height, width, 4). Parts of a row whose mode looks at the row above only, or at the left only, are done at once."""
     h, w, _ = ch.shape
-    whole = ch.copy()  # pixels
-    out = ch.copy()
+    whole, out = ch.copy(), ch.copy()  # pixels, residues
     for y in range(h):
-        for x in range(w):
-            if x == 0 and y == 0:
-                guess = np.array([255, 0, 0, 0])
-            elif y == 0:
-                guess = whole[y, x - 1]
-            elif x == 0:
-                guess = whole[y - 1, x]
-            else:
-                right = whole[y - 1, x + 1] if x + 1 < w else whole[y, 0]
-                guess = predict(int(modes[y >> bits, x >> bits]), whole[y, x - 1], whole[y - 1, x], whole[y - 1, x - 1], right)
-            if forward:
-                out[y, x] = (ch[y, x] - guess) & 255
-            else:
-                whole[y, x] = (ch[y, x] + guess) & 255
+        own = np.where(np.arange(w) == 0, 2 if y else 0, 1) if not y else np.concatenate(([2], modes[y >> bits, np.arange(1, w) >> bits]))
+        if y:
+            top = whole[y - 1]
+            right, corner = np.concatenate((top[1:], whole[y, :1])), np.concatenate((top[:1], top[:-1]))
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), w]
+        for a, b in zip(cuts, cuts[1:]):
+            mode = int(own[a])
+            if mode == 1 and not forward:
+                whole[y, a:b] = np.cumsum(np.concatenate((whole[y, a - 1 : a], ch[y, a:b])), axis=0)[1:] & 255
+                continue
+            if mode in (1, 2, 4, 8) or mode == 3 and b < w or mode == 9 and b < w or mode in (0, 14, 15):
+                above = {2: lambda: top[a:b], 3: lambda: right[a:b], 4: lambda: corner[a:b], 8: lambda: (corner[a:b] + top[a:b]) >> 1, 9: lambda: (top[a:b] + right[a:b]) >> 1, 1: lambda: whole[y, a - 1 : b - 1]}
+                guess = above.get(mode, lambda: np.array([255, 0, 0, 0]))()
+                if forward:
+                    out[y, a:b] = (ch[y, a:b] - guess) & 255
+                else:
+                    whole[y, a:b] = (ch[y, a:b] + guess) & 255
+                continue
+            for x in range(a, b):
+                after = whole[y - 1, x + 1] if x + 1 < w else whole[y, 0]
+                guess = predict(mode, whole[y, x - 1], whole[y - 1, x], whole[y - 1, x - 1], after)
+                if forward:
+                    out[y, x] = (ch[y, x] - guess) & 255
+                else:
+                    whole[y, x] = (ch[y, x] + guess) & 255
     return out if forward else whole
 
 
@@ -565,7 +576,7 @@ def value_prefix(value: int) -> tuple[int, int, int]:
 
 
 def copies_of(px: np.ndarray, width: int, least: int = 4) -> list[tuple[int, int, int]]:
-    """(start, length, distance code) of pixels that repeat the one before or the row above."""
+    """(start, length, distance code) of runs of pixels that repeat earlier ones: the pixel before, the row above, or where the same four last were."""
     found = []
     for dist, code in ((1, 2), (width, 1)):
         if len(px) <= dist:
@@ -573,6 +584,19 @@ def copies_of(px: np.ndarray, width: int, least: int = 4) -> list[tuple[int, int
         same = np.concatenate(([False], px[dist:] == px[:-dist], [False]))
         edges = np.flatnonzero(same[1:] != same[:-1])
         found += [(int(a) + dist, int(b - a), code) for a, b in zip(edges[::2], edges[1::2]) if b - a >= least]
+    if len(px) > least:
+        key = np.zeros(len(px) - least + 1, np.uint64)
+        for k in range(least):
+            key = (key ^ px[k : k + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        order, far = np.argsort(key, kind="stable"), np.zeros(len(key), np.int64)
+        now, last = (x[key[order[1:]] == key[order[:-1]]] for x in (order[1:], order[:-1]))
+        for k in range(least):
+            same = px[now + k] == px[last + k]
+            now, last = now[same], last[same]
+        far[now] = now - last
+        cuts = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1], [True])))
+        found += [(int(a), int(b - a) + least - 1, int(far[a]) + 120) for a, b in zip(cuts, cuts[1:]) if far[a] > 1 and far[a] != width]
     out, at = [], 0
     for start, n, code in sorted(found, key=lambda f: (f[0], -f[1])):
         if start < at:
@@ -713,18 +737,61 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
 
 
-def store(payload: bytes, row_bytes: int = ROW_BYTES, frame_rows: int = FRAME_ROWS, cache_bits: int = CACHE_BITS) -> bytes:
-    """A payload of whole rows as a WebP file."""
+def entropy(ch: np.ndarray) -> float:
+    """Bits of the four channels' values, each channel by its own counts."""
+    n = np.bincount(((ch & 255) + 256 * np.arange(4)).ravel(), minlength=1024).reshape(4, 256)
+    return float((n * np.log2(np.maximum(n.sum(axis=1, keepdims=True), 1) / np.maximum(n, 1))).sum())
+
+
+def predicted(px: np.ndarray, bits: int = 4) -> list | None:
+    """Prediction from the left or the row above, by block, then cross-colour; nothing if the residues are no easier to store."""
+    ch = channels(px)
+    steps = [np.diff(ch, axis=k, prepend=0) for k in (1, 0)]
+    if min(map(entropy, steps)) >= entropy(ch):
+        return None
+    left, top = (np.minimum(r & 255, 256 - (r & 255)).sum(axis=-1) for r in steps)
+    h, w = px.shape
+    rows, cols = np.arange(0, h, 1 << bits), np.arange(0, w, 1 << bits)
+    blocks = [np.add.reduceat(np.add.reduceat(x, rows, axis=0), cols, axis=1) for x in (left, top)]
+    modes = np.where(blocks[0] <= blocks[1], 1, 2)
+    rest = prediction_walk(ch, modes, bits, True)
+    signed = lambda x: (x ^ 128) - 128.0
+    green = signed(rest[..., 2]).ravel()
+    slope = [int(np.clip(round(32 * float(green @ signed(rest[..., k]).ravel()) / max(1.0, float(green @ green))), -128, 127)) & 255 for k in (1, 3)]
+    elements = np.full((1 + (h - 1 >> 9), 1 + (w - 1 >> 9)), 0xFF000000 | slope[1] << 8 | slope[0], np.uint32)
+    return [(PREDICTOR, bits, modes), (CROSS_COLOUR, 9, elements)]
+
+
+def worth(px: np.ndarray, cache_bits: int) -> int:
+    """The bits of a cache that an eighth of the pixels would be found in, else 0."""
+    flat = px.ravel()
+    slot = (flat.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+    order = np.argsort(slot, kind="stable")
+    return cache_bits if 8 * np.count_nonzero(flat[order[1:]] == flat[order[:-1]]) >= flat.size else 0
+
+
+def shortest(px: np.ndarray, cache_bits: int = CACHE_BITS) -> tuple[bytes, str]:
+    """The shortest of a frame's encodings, and the name of its transforms."""
+    made = [(encode_stream(px, (), worth(px, cache_bits)), "plain")]
+    if 4 * len(np.unique(px)) <= min(1024, px.size):
+        made.append((encode_stream(px, [(PALETTE,)]), "palette"))
+    transforms = predicted(px)
+    if transforms:
+        made.append((encode_stream(px, transforms), "predicted"))
+    return min(made, key=lambda m: len(m[0]))
+
+
+def store(payload: bytes, row_bytes: int = ROW_BYTES, frame_rows: int = FRAME_ROWS) -> tuple[bytes, list[str]]:
+    """A payload of whole rows as a WebP file, and what transforms each frame has."""
     width, three = row_bytes // 4, lambda v: v.to_bytes(3, "little")
-    frames = []
+    frames, names = [], []
     for at in range(0, len(payload), row_bytes * frame_rows):
-        part = payload[at : at + row_bytes * frame_rows]
-        px = np.frombuffer(part, ">u4").astype(np.uint32).reshape(-1, width)
-        frames.append((at // row_bytes, px.shape[0], encode_stream(px, (), cache_bits if px.size > 288 else 0)))
-    if len(frames) == 1:
-        return riff(chunk(b"VP8L", frames[0][2]))
+        px = np.frombuffer(payload[at : at + row_bytes * frame_rows], ">u4").astype(np.uint32).reshape(-1, width)
+        stream, name = shortest(px)
+        frames.append((at // row_bytes, px.shape[0], stream))
+        names.append(name)
     head = chunk(b"VP8X", bytes([0x12, 0, 0, 0]) + three(width - 1) + three(len(payload) // row_bytes - 1)) + chunk(b"ANIM", bytes(6))
-    return riff(head + b"".join(chunk(b"ANMF", three(0) + three(y // 2) + three(width - 1) + three(h - 1) + three(0) + b"\2" + chunk(b"VP8L", s)) for y, h, s in frames))
+    return riff(head + b"".join(chunk(b"ANMF", three(0) + three(y // 2) + three(width - 1) + three(h - 1) + three(0) + b"\2" + chunk(b"VP8L", s)) for y, h, s in frames)), names
 
 
 def payload_of(frames: list[np.ndarray]) -> bytes:
@@ -741,13 +808,13 @@ def feature(pixels: bytes) -> str:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, transforms (which frames have)."""
 
     def make():
         def through(batch: pa.RecordBatch):
             ids = batch["doc_id"].to_pylist()
             texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            out = Columns((n, []) for n in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+            out = Columns((n, []) for n in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "transforms"))
             at = 0
             while at < len(texts):
                 end, held = at, 0
@@ -755,14 +822,14 @@ def media_columns(docs: DataFrame) -> DataFrame:
                     held += len(texts[end])
                     end += 1
                 part = texts[at:end]
-                files = [store(t + b"\xff" * (-len(t) % ROW_BYTES if t else ROW_BYTES)) for t in part]
-                for doc_id, text, file, frames in zip(ids[at:end], part, files, decode_files(files)):
+                stored = [store(t + b"\xff" * (-len(t) % ROW_BYTES if t else ROW_BYTES)) for t in part]
+                for doc_id, text, (file, names), frames in zip(ids[at:end], part, stored, decode_files([f for f, _ in stored])):
                     data = payload_of(frames)
-                    for name, value in zip(out, (doc_id, len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(data))):
+                    for name, value in zip(out, (doc_id, len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(data), ",".join(sorted(set(names))))):
                         out[name].append(value)
                 at = end
             return out
 
         return through
 
-    return map_slices(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", 2048)
+    return map_slices(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, transforms string", 2048)
