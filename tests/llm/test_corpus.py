@@ -471,15 +471,65 @@ def test_model_is_a_distribution(spark):
     texts = ["a b a b c", "b a b a", "c c a", "the cat sat"] * 5
     model, rest = classlm.learn(docs_of(spark, texts))
     assert rest.count() == 0
-    units = classlm.Units(model.head[: classlm.UNIT_WORDS], model.endings)
-    for before in (classlm.END, units[b"a"]):
+    units = classlm.Units(model.head, model.endings, len(model.head))
+    for before in (len(model.of) - 1, units[b"a"]):
         p = sum((c + classlm.ADD) * 10 ** model.step[model.of[before], model.of[units[w]]] for w, c in zip(model.head, model.head_counts))
-        p += (model.end_count + classlm.ADD) * 10 ** model.step[model.of[before], model.of[classlm.END]]
+        p += (model.end_count + classlm.ADD) * 10 ** model.step[model.of[before], model.of[-1]]
         assert 0.5 < p <= 1.0 + 1e-9
     got = classlm.score(docs_of(spark, HARD)).collect()
     assert len(got) == len(HARD) and all(np.isfinite(r["score"]) for r in got)
 
 
+def test_head_words_move_to_their_neighbours_class(spark, monkeypatch):
+    """With a first step of few words, all others find their class by the second; gains equal the likelihood's own differences."""
+    monkeypatch.setattr(classlm, "UNIT_WORDS", 8)
+    monkeypatch.setattr(classlm, "OTHER", 8 + classlm.SUFFIXES)
+    monkeypatch.setattr(classlm, "END", 9 + classlm.SUFFIXES)
+    monkeypatch.setattr(classlm, "UNITS", 10 + classlm.SUFFIXES)
+    rng = random.Random(2)
+    texts = [" ".join(f"{'qz'[k % 2]}{rng.randrange(40)}x" for k in range(60)) for _ in range(60)]
+    docs = docs_of(spark, texts)
+    head = [w for w, _ in Counter(w for t in texts for w in t.encode().split()).most_common()]
+    of = np.array([k % 3 for k in range(len(head))] + [3] * (classlm.SUFFIXES + 1) + [classlm.CLASSES - 1])
+    slots, m = classlm.neighbours(docs, head, [], of)
+
+    def likelihood(of):
+        _, m = classlm.neighbours(docs, head, [], of, of_words=False)
+        return classlm.xlogx(m).sum() - classlm.xlogx(m.sum(axis=0)).sum() - classlm.xlogx(m.sum(axis=1)).sum()
+
+    counts = {r["id"]: {s["slot"]: s["n"] for s in r["slots"]} for r in slots.collect()}
+    for i in (0, 5, 70):
+        c = np.array([counts[i].get(s, 0) for s in range(2 * classlm.CLASSES)], float)
+        gain = classlm.gains(m, c[: classlm.CLASSES], c[classlm.CLASSES :], int(of[i]))
+        moved = of.copy()
+        moved[i] = 7
+        if not any(head[i] == a == b for t in texts for a, b in itertools.pairwise(t.encode().split())):
+            assert abs(gain[7] - gain[of[i]] - (likelihood(moved) - likelihood(of))) < 1e-6
+    before = likelihood(of)
+    for i, to in classlm.exchanged(slots, m, of).items():
+        of[i] = to
+    assert likelihood(of) != before
+
+
+def test_exchange_ends_where_no_move_gains():
+    rng = np.random.default_rng(6)
+    m = np.zeros((classlm.UNITS, classlm.UNITS))
+    m[:14, :14] = rng.integers(0, 30, (14, 14))
+    of = classlm.exchange(m, classes=4)
+
+    def likelihood(of):
+        c = np.zeros((4, 4))
+        np.add.at(c, (of[:, None], of[None, :]), m)
+        return classlm.xlogx(c).sum() - classlm.xlogx(c.sum(axis=0)).sum() - classlm.xlogx(c.sum(axis=1)).sum()
+
+    best = likelihood(of)
+    for w in range(14):
+        for to in range(3):
+            moved = of.copy()
+            moved[w] = to
+            assert likelihood(moved) <= best + 1e-6
+
+
 def test_exchange_separates_blocks():
     m = np.zeros((classlm.UNITS, classlm.UNITS))
     m[:4, 4:8], m[4:8, :4] = np.random.default_rng(1).integers(1, 90, (2, 4, 4))
