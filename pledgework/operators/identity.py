@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pledgework.operators.scratch import written
+
 #: Kinds of key that name one person, of which a component may hold one value.
 EXCLUSIVE = ("login",)
 MOST_RECORDS = 25
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the folder that spark.checkpoint.dir names, a folder of this process where none is set."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="pledgework-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/identity-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def edges(records: DataFrame, keys: dict[str, str]) -> DataFrame:
     """(id, kind, value), one row for each key that a record has. keys: kind -> column."""
     made = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lower(F.trim(col)).alias("value")) for kind, col in keys.items()])
@@ -33,15 +21,12 @@ def edges(records: DataFrame, keys: dict[str, str]) -> DataFrame:
 
 
 def blocked(found: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """Edges without blocklisted values, wildcards included, and without phones of one repeated digit."""
-    rows = blocklist.collect()  # a curated list
-    hit = F.lit(False)
-    for r in rows:
-        value = r["value"].lower()
-        test = F.col("value").like(value.replace("*", "%")) if "*" in value else F.col("value") == value
-        hit = hit | ((F.col("kind") == r["type"]) & test)
+    """Edges without blocklisted values, wildcards included, and without phones of one repeated digit. Exact values are joined by value, only wildcards are tried by pattern."""
+    listed = blocklist.select("type", F.lower("value").alias("pattern")).distinct()
+    exact = listed.filter(~F.col("pattern").contains("*")).toDF("kind", "value")
+    wild = listed.filter(F.col("pattern").contains("*")).select(F.col("type").alias("kind_"), F.translate(F.regexp_replace("pattern", r"([%_\\])", r"\\$1"), "*", "%").alias("like_"))
     repeated = (F.col("kind") == "phone") & F.col("value").rlike(r"^\+?1?(\d)\1{9}$")
-    return found.filter(~hit & ~repeated)
+    return found.filter(~repeated).join(exact, ["kind", "value"], "left_anti").join(wild, (F.col("kind") == F.col("kind_")) & F.expr("value LIKE like_"), "left_anti").select(*found.columns)
 
 
 def high_cardinality(found: DataFrame, most: int = MOST_RECORDS) -> DataFrame:

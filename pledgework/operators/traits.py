@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pledgework.operators.scratch import written
+
 MONEY = "decimal(18,2)"
 STATUSES = ("prospect", "new", "reactivated", "active", "lapsing", "lapsed")
 
@@ -68,8 +70,8 @@ def giving_traits(profiles: DataFrame, gifts: DataFrame, as_of: dt.date) -> Data
 
 
 def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """An exact global row number from 1 without a one-task window: range sort, counts by part, offsets."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """An exact global row number from 1 without a one-task window: range sort, counts by part, offsets. The parts are written down, so that rows and counts speak of the same ones."""
+    ordered = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a part
@@ -86,7 +88,7 @@ def tile(rank: Column, rows: int, tiles: int = 5) -> Column:
 
 def rfm(traits: DataFrame) -> DataFrame:
     """Quintiles over donors, 5 the best; others get nulls."""
-    donors = traits.filter("gift_count_total > 0").select("profile_id", "days_since_last_gift", "gift_count_total", "ltv_total")
+    donors = written(traits.filter("gift_count_total > 0").select("profile_id", "days_since_last_gift", "gift_count_total", "ltv_total"), "donors")
     n = donors.count()
     ranked = donors
     for name, by in (("rfm_recency", F.asc_nulls_last("days_since_last_gift")), ("rfm_frequency", F.desc("gift_count_total")), ("rfm_monetary", F.desc("ltv_total"))):

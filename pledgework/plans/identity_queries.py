@@ -118,10 +118,10 @@ def _(v):
     return I.alias_chain(v.aliases)
 
 
-@query("master_lookup", "WITH q AS (SELECT id AS place, email AS value FROM source_records WHERE id % 5 = 0), k AS (SELECT email AS value, count(DISTINCT profile_id) AS n, min(profile_id) AS p FROM source_records WHERE profile_id IS NOT NULL AND email IS NOT NULL GROUP BY 1) SELECT place, value, CASE WHEN coalesce(n, 0) = 0 THEN 'not_found' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN p END AS profile_id FROM q LEFT JOIN k USING (value)")
+@query("master_lookup", "WITH q AS (SELECT id AS place, email AS value FROM source_records), k AS (SELECT email AS value, count(DISTINCT profile_id) AS n, min(profile_id) AS p FROM source_records WHERE profile_id IS NOT NULL AND email IS NOT NULL GROUP BY 1) SELECT place, value, CASE WHEN coalesce(n, 0) = 0 THEN 'not_found' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN p END AS profile_id FROM q LEFT JOIN k USING (value)")
 def _(v):
     r = v.source_records
-    return I.lookup(r.filter("id % 5 = 0").select(F.col("id").alias("place"), F.col("email").alias("value")), r.filter("profile_id IS NOT NULL AND email IS NOT NULL").select(F.col("email").alias("value"), "profile_id"))
+    return I.lookup(r.select(F.col("id").alias("place"), F.col("email").alias("value")), r.filter("profile_id IS NOT NULL AND email IS NOT NULL").select(F.col("email").alias("value"), "profile_id"))
 
 
 @query("privacy_closure", "WITH RECURSIVE l AS (SELECT loser_id AS a, winner_id AS b FROM merges UNION SELECT winner_id, loser_id FROM merges), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT a AS profile_id, least(a, min(b)) AS closure FROM r GROUP BY a")
@@ -137,13 +137,13 @@ def _term(c: str, same: str) -> str:
     return f"CASE WHEN coalesce(a.{c}, '') = '' OR coalesce(b.{c}, '') = '' THEN 0 WHEN {same} THEN CAST({math.log2(m / u)!r} AS DOUBLE) ELSE CAST({math.log2((1 - m) / (1 - u))!r} AS DOUBLE) END"
 
 
-SCORES = f"""p AS (SELECT id, first_name, last_name, postal_code, phone, address1 FROM source_records WHERE id % 3 = 0), pr AS (SELECT a.id AS l, b.id AS r FROM p a JOIN p b ON a.id < b.id AND a.address1 = b.address1 AND a.postal_code = b.postal_code UNION SELECT a.id, b.id FROM p a JOIN p b ON a.id < b.id AND a.phone = b.phone UNION SELECT a.id, b.id FROM p a JOIN p b ON a.id < b.id AND a.last_name = b.last_name AND a.postal_code = b.postal_code),
+SCORES = f"""p AS (SELECT id, first_name, last_name, postal_code, phone, address1 FROM source_records ), pr AS (SELECT a.id AS l, b.id AS r FROM p a JOIN p b ON a.id < b.id AND a.address1 = b.address1 AND a.postal_code = b.postal_code UNION SELECT a.id, b.id FROM p a JOIN p b ON a.id < b.id AND a.phone = b.phone UNION SELECT a.id, b.id FROM p a JOIN p b ON a.id < b.id AND a.last_name = b.last_name AND a.postal_code = b.postal_code),
 w AS (SELECT l, r, {_term('first_name', 'levenshtein(lower(a.first_name), lower(b.first_name)) <= 1')} + {_term('last_name', 'levenshtein(lower(a.last_name), lower(b.last_name)) <= 1')} + {_term('postal_code', 'a.postal_code = b.postal_code')} + {_term('phone', 'a.phone = b.phone')} AS weight FROM pr JOIN p a ON a.id = l JOIN p b ON b.id = r),
 sc AS (SELECT l, r, round(weight, 6) AS weight, round(pow(2, weight) * {I.PRIOR / (1 - I.PRIOR)!r} / (1 + pow(2, weight) * {I.PRIOR / (1 - I.PRIOR)!r}), 6) AS probability FROM w)"""
 
 
 def people(v):
-    return v.source_records.filter("id % 3 = 0").select("id", "first_name", "last_name", "postal_code", "phone", "address1")
+    return v.source_records.select("id", "first_name", "last_name", "postal_code", "phone", "address1")
 
 
 @query("match_pair_scores", f"WITH {SCORES} SELECT * FROM sc")
@@ -162,13 +162,13 @@ def _(v):
     return b.groupBy("day").agg(F.count("*").alias("candidates"), F.count_if(F.col("band") == "linked").alias("linked"))
 
 
-@query("households", "WITH k AS (SELECT profile_id, concat('hh_', sha256(concat_ws('|', lower(address1), postal_code, lower(last_name)))) AS household_id FROM source_records WHERE profile_id IS NOT NULL AND address1 IS NOT NULL AND id % 3 = 0) SELECT profile_id, household_id, count(*) OVER (PARTITION BY household_id) AS household_size FROM k")
+@query("households", "WITH k AS (SELECT DISTINCT profile_id, concat('hh_', sha256(concat_ws('|', lower(address1), postal_code, lower(last_name)))) AS household_id FROM source_records WHERE profile_id IS NOT NULL AND address1 IS NOT NULL) SELECT profile_id, household_id, count(*) OVER (PARTITION BY household_id) AS household_size FROM k")
 def _(v):
-    return I.households(v.source_records.filter("profile_id IS NOT NULL AND id % 3 = 0"))
+    return I.households(v.source_records.filter("profile_id IS NOT NULL"))
 
 
 # The same over all records: a person's records from several sources are compared, and every person with an address has a household.
-SCORES_ALL = SCORES.replace(" WHERE id % 3 = 0", "")
+SCORES_ALL = SCORES
 
 
 def all_people(v):

@@ -23,13 +23,33 @@ FIELDS = {
 }
 
 
+AUDITED = {"plan": "text", "plan_update": "text", "has_active_email": "boolean", "donor_account": "text", "lifetime_amount": "number", "has_recurring": "boolean", "rfm_frequency": "number", "account_status": "text", "rfm_date": "date", "rfm_recency_score": "number", "donation_likelihood": "number", "wealth_score": "number", "suggested_amount": "number", "sms_optin": "boolean", "call_optin": "boolean", "sms_optout_date": "date", "vod_active": "boolean", "last_seen": "date", "last_contact": "date"}
+
+
 def context(v) -> Context:
-    giving = T.giving_traits(v.profiles, v.gifts, AS_OF).join(T.event_rollup(v.profiles, v.events_in, AS_OF, VIDEO), "profile_id")
-    won = T.attribute_winner(v.source_records, v.sources, ("plan", "score", "vip"))
-    attributes = won.select("profile_id", "plan", F.expr("try_cast(nullif(trim(score), '') AS double)").alias("score"), F.expr("try_cast(vip AS boolean)").alias("vip"))
-    keys = T.source_keys(v.profiles, v.sources, v.source_records.filter("profile_id IS NOT NULL"), v.gifts, v.events_in)
-    enriched = v.enrichment.join(F.broadcast(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source_key"))), "source_id")
-    return Context(AS_OF, v.profiles, FIELDS, giving, attributes, v.gifts, v.events_in, consent_winner(v.consent_rows), keys, enriched, v.source_codes, donation="purchase", donation_return="error")
+    """Each table is planned when a rule needs it."""
+
+    def attributes():
+        won = T.attribute_winner(v.source_records, v.sources, ("plan", "score", "vip"))
+        return won.select("profile_id", "plan", F.expr("try_cast(nullif(trim(score), '') AS double)").alias("score"), F.expr("try_cast(vip AS boolean)").alias("vip"))
+
+    return Context(
+        AS_OF,
+        v.profiles,
+        FIELDS,
+        lambda: T.giving_traits(v.profiles, v.gifts, AS_OF).join(T.event_rollup(v.profiles, v.events_in, AS_OF, VIDEO), "profile_id"),
+        attributes,
+        lambda: v.gifts,
+        lambda: v.events_in,
+        lambda: consent_winner(v.consent_rows),
+        lambda: T.source_keys(v.profiles, v.sources, v.source_records.filter("profile_id IS NOT NULL"), v.gifts, v.events_in),
+        lambda: v.enrichment.join(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source_key")), "source_id"),
+        lambda: v.source_codes,
+        logins=lambda: v.logins,
+        donation="purchase",
+        donation_return="error",
+        login_kinds=("login_a", "login_b"),
+    )
 
 
 def audience(name: str, root: dict, sql: str, head: str = "WITH ", columns: str = "p.id AS profile_id"):
@@ -74,7 +94,7 @@ audience("seg_ops_text", group("and", rule("profile", "first_name", "neq", "Ann"
 audience("seg_date_between", rule("profile", "first_seen", "between", ["1997-01-01", "1998-12-31"]), "WHERE first_seen BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 audience("seg_before_after", group("and", rule("profile", "first_seen", "after", "1996-06-30"), rule("profile", "last_seen", "before", "2001-06-01")), "WHERE first_seen > DATE '1996-06-30' AND last_seen < DATE '2001-06-01'")
 audience("seg_not_in_last_days", rule("profile", "last_seen", "not_in_last_days", 90), "WHERE last_seen IS NOT NULL AND NOT (last_seen >= DATE '2001-05-04' AND last_seen <= DATE '2001-08-01')")
-audience("seg_active_120", templates.audited()["active_120"]["root"], "WHERE (last_seen >= DATE '2001-04-03' AND last_seen < DATE '2001-08-01') OR (last_contact >= DATE '2001-04-03' AND last_contact < DATE '2001-08-01')")
+audience("seg_active_120", group("or", rule("profile", "last_seen", "within_previous_days", 120), rule("profile", "last_contact", "within_previous_days", 120)), "WHERE (last_seen >= DATE '2001-04-03' AND last_seen < DATE '2001-08-01') OR (last_contact >= DATE '2001-04-03' AND last_contact < DATE '2001-08-01')")
 audience("seg_text_contains", group("or", rule("profile", "first_name", "contains", "%_"), rule("profile", "email", "starts_with", "p12")), "WHERE strpos(first_name, '%_') > 0 OR starts_with(email, 'p12')")
 audience("seg_is_null", group("and", rule("profile", "email", "is_null"), rule("profile", "phone", "is_not_null")), "WHERE email IS NULL AND phone IS NOT NULL")
 audience("seg_exists_nonblank", group("and", rule("profile", "first_name", "exists"), trait("is_recurring_active", "exists")), "WHERE nullif(trim(first_name), '') IS NOT NULL")
@@ -149,3 +169,40 @@ def _(v):
         one = compile_segment(L[name], c).agg(F.count("*").alias("counted")).select(F.lit(name).alias("template"), "counted", F.lit(supplied).cast("bigint").alias("supplied"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.withColumn("diff", F.col("counted") - F.col("supplied")).withColumn("diff_pct", F.when(F.col("supplied") != 0, F.round(100.0 * F.col("diff") / F.col("supplied"), 6)))
+
+
+# the 23 audited audiences, over attributes of their own
+FIVE = "DATE '1996-08-01'"
+BOUGHT = "EXISTS (SELECT 1 FROM events_in e WHERE e.profile_id = p.id AND name = 'purchase' AND day >= DATE '2001-08-01' - {n} AND day < DATE '2001-08-01' AND NOT EXISTS (SELECT 1 FROM events_in b WHERE b.name = 'error' AND b.profile_id = e.profile_id AND b.source_id = e.source_id AND b.donation_id = e.donation_id))"
+PLAN, ACTIVE_DAYS = "a.plan IN ('basic', 'premium_monthly', 'premium_annual')", "{c} >= DATE '2001-08-01' - 120 AND {c} < DATE '2001-08-01'"
+CONDITIONS = {
+    "all_reference": "p.master_id IS NOT NULL", "has_active_email": "a.has_active_email", "active_120": " OR ".join(f"({ACTIVE_DAYS.format(c='a.' + c)})" for c in ("last_seen", "last_contact")),
+    "app_members": PLAN, "free_members": "a.plan = 'basic'", "premium_members": "a.plan IN ('premium_monthly', 'premium_annual')", "upgraders": "a.plan_update LIKE 'Upgrade%'",
+    "app_non_donors": f"{PLAN} AND a.donor_account IS NULL AND NOT {BOUGHT.format(n=720)}", "app_donors": f"{PLAN} AND {BOUGHT.format(n=720)}",
+    "basic_donors": "a.plan = 'basic' AND a.donor_account IS NOT NULL AND a.lifetime_amount > 0", "basic_recurring": "a.plan = 'basic' AND a.has_recurring", "basic_one_time": "a.plan = 'basic' AND a.rfm_frequency = 1",
+    "rfm_all": "a.account_status IS NOT NULL AND a.rfm_date IS NOT NULL", "rfm_lapsed": "a.rfm_recency_score = 0", "partner_non_donors": "a.donor_account IS NOT NULL AND a.rfm_date IS NULL", "past_30_donors": BOUGHT.format(n=30),
+    "legacy_prospects": f"a.donation_likelihood > 0.75 AND a.wealth_score > 4 AND a.suggested_amount > 500 AND EXISTS (SELECT 1 FROM events_in e WHERE e.profile_id = p.id AND name = 'purchase' AND day >= {FIVE} AND day < DATE '2001-08-01')",
+    "giving_day": "EXISTS (SELECT 1 FROM events_in e WHERE e.profile_id = p.id AND name = 'purchase' AND day = DATE '2001-07-04' AND json_extract_string(properties, '$.source_code') IN ('gd1', 'gd2', 'gd3', 'gd4'))",
+    "mobile_subscribed": "a.sms_optin AND coalesce(trim(p.phone), '') <> ''", "call_center_optins": "a.call_optin AND coalesce(trim(p.phone), '') <> ''", "sms_optouts": "a.sms_optout_date IS NOT NULL", "vod_optouts": "NOT a.vod_active",
+    "vod_viewers": "EXISTS (SELECT 1 FROM events_in e WHERE e.profile_id = p.id AND name = 'view')",
+}
+
+
+def audited_context(v) -> Context:
+    c = context(v)
+    c.fields = FIELDS | {"attribute": {k: (t, None) for k, t in AUDITED.items()}}
+    c.attributes = v.audit_attributes
+    return c
+
+
+def audited_audience(key: str, made: dict, sql: str):
+    @query(f"seg_audited_{key}", f"SELECT p.id AS profile_id FROM profiles p LEFT JOIN audit_attributes a ON a.profile_id = p.id WHERE {sql}")
+    def _(v):
+        return compile_segment(made, audited_context(v))
+
+
+for _key, _made in templates.audited("purchase", "view", "2001-07-04").items():
+    audited_audience(_key, _made, CONDITIONS[_key])
+
+audience("seg_login_presence", attribute("login_a", "exists"), "WHERE EXISTS (SELECT 1 FROM logins l WHERE l.profile_id = p.id)")
+audience("seg_login_of_provider", attribute("login_b", "starts_with", "sys1"), "WHERE EXISTS (SELECT 1 FROM logins l WHERE l.profile_id = p.id AND kind = 'login_b' AND value LIKE 'sys1%')")

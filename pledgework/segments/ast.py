@@ -30,7 +30,8 @@ RULE_KEYS: dict[str, tuple[set[str], set[str]]] = {  # required, optional
 }
 AGGREGATES = {"gift": ("count", "sum", "max", "min", "exists"), "event": ("count", "exists")}
 GIFT_WHERE = {"fund": "text", "campaign": "text", "appeal_code": "text", "channel": "text", "amount": "number", "is_recurring": "boolean"}
-RESOURCES = ("source_codes",)
+#: Reference tables of a context, and the facts' column that has their key.
+RESOURCES = {"source_codes": ("source_codes", "source_code"), "products": ("products", "product_id"), "titles": ("titles", "title_id")}
 WINDOW_KEYS = {"last_days": {"days"}, "previous_days": {"days"}, "previous_years": {"years"}, "between": {"from", "to"}, "before": {"date"}, "after": {"date"}}
 
 

@@ -23,6 +23,8 @@ class Context:
     """Tables and registries that definitions are compiled against, at one pinned day.
 
     fields: by rule type, field -> (logical type, choices or None). attributes: one column a key, by profile.
+    logins: (profile_id, kind, value) of login providers. A table may be given as a function that makes it when a rule
+    needs it.
     """
 
     as_of: dt.date
@@ -36,9 +38,20 @@ class Context:
     source_keys: DataFrame | None = None
     enrichment: DataFrame | None = None
     source_codes: DataFrame | None = None
+    products: DataFrame | None = None
+    titles: DataFrame | None = None
+    logins: DataFrame | None = None
     segments: dict[int, DataFrame] = field(default_factory=dict)
     donation: str = "donation"
     donation_return: str = "donation_return"
+    login_kinds: tuple[str, ...] = ()
+
+    def __getattribute__(self, name: str) -> Any:
+        value = object.__getattribute__(self, name)
+        if not name.startswith("_") and callable(value):
+            value = value()
+            object.__setattr__(self, name, value)
+        return value
 
 
 def two_valued(c: Column) -> Column:
@@ -114,6 +127,7 @@ class Compiler:
     def __init__(self, context: Context):
         self.c, self.columns, self.joins = context, {}, {}
         self.facts: dict[str, list[Column]] = {"gifts": [], "events": []}
+        self.marks: dict[str, list[tuple[DataFrame, str]]] = {"gifts": [], "events": []}
         self.unreturned_used = False
 
     def name(self, prefix: str) -> str:
@@ -154,7 +168,18 @@ class Compiler:
         self.table("traits", lambda: self.c.traits.select(F.col("profile_id").alias("_id"), *[F.col(f).alias(f"_t_{f}") for f in self.c.traits.columns if f != "profile_id"]))
         return predicate(F.col(f"_t_{r['field']}"), kind, r["operator"], value, self.c.as_of)
 
+    def login(self, r: dict, path: str) -> Column:
+        """Having a login is one of any provider's; values are compared within the provider that is asked for."""
+        value, name, present = value_of("text", r["operator"], r.get("value"), path), self.name("login"), ("exists", "is_not_null", "is_null")
+        kinds = self.c.login_kinds if r["operator"] in present else (r["field"],)
+        fits = F.lit(True) if r["operator"] in present else two_valued(predicate(F.col("value"), "text", r["operator"], value, self.c.as_of))
+        self.joins[name] = self.c.logins.filter(F.col("kind").isin(*kinds)).groupBy(F.col("profile_id").alias("_id")).agg(F.bool_or(fits).alias(name))
+        has = two_valued(F.col(name))
+        return ~has if r["operator"] == "is_null" else has
+
     def attribute(self, r: dict, path: str) -> Column:
+        if r["field"] in self.c.login_kinds:
+            return self.login(r, path)
         kind, choices = self.field(r, path)
         value = value_of(kind, r["operator"], r.get("value"), path, choices)
         self.table("attributes", lambda: self.c.attributes.select(F.col("profile_id").alias("_id"), *[F.col(f).alias(f"_a_{f}") for f in self.c.attributes.columns if f != "profile_id"]))
@@ -167,8 +192,10 @@ class Compiler:
         col = {"number": "value_num", "date": "value_date"}.get(kind, "value_text")
         name = self.name("enrichment")
         live = self.c.enrichment.filter((F.col("source_key") == r["source"]) & (F.col("attribute_key") == r["field"]) & (F.col("license_expires_at").isNull() | (F.col("license_expires_at") >= F.lit(self.c.as_of))))
-        self.joins[name] = live.groupBy(F.col("profile_id").alias("_id")).agg(F.max(col).alias(name))
-        return predicate(F.col(name), kind, r["operator"], value, self.c.as_of)
+        fits = predicate(F.col(col), kind, r["operator"], value, self.c.as_of)
+        self.joins[name] = live.groupBy(F.col("profile_id").alias("_id")).agg(F.bool_or(two_valued(fits)).alias(name))
+        # a profile without a value is null, which only is_null accepts
+        return F.coalesce(F.col(name), F.lit(r["operator"] == "is_null"))
 
     def consent(self, r: dict, path: str) -> Column:
         name = self.name("consent")
@@ -195,7 +222,7 @@ class Compiler:
             if set(spec) - {"operator", "value"} or "operator" not in spec:
                 raise SegmentError(at, "expected operator and perhaps value")
             if key.split(".")[0] in RESOURCES:
-                out = out & self.resource(key, spec, at)
+                out = out & self.resource("gifts" if r["type"] == "gift" else "events", key, spec, at)
                 continue
             if r["type"] == "gift" and key in GIFT_WHERE:
                 kind, col = GIFT_WHERE[key], F.col(key)
@@ -206,14 +233,16 @@ class Compiler:
             out = out & predicate(col, kind, spec["operator"], value_of(kind, spec["operator"], spec.get("value"), at), self.c.as_of)
         return out
 
-    def resource(self, key: str, spec: dict, path: str) -> Column:
-        """The reference table is small; its matching keys become a list."""
+    def resource(self, table: str, key: str, spec: dict, path: str) -> Column:
+        """Facts are marked by a join with the matching keys of the reference table."""
         column = key.split(".")[1]
         if column not in ("key", "name", "series"):
             raise SegmentError(path, "expected key, name or series")
         fits = predicate(F.col(column), "text", spec["operator"], value_of("text", spec["operator"], spec.get("value"), path), self.c.as_of)
-        keys = [x["key"] for x in self.c.source_codes.filter(fits).select("key").collect()]
-        return two_valued(F.col("source_code").isin(keys)) if keys else F.lit(False)
+        kind, own = RESOURCES[key.split(".")[0]]
+        name = self.name("resource")
+        self.marks[table].append((getattr(self.c, kind).filter(fits).select(F.col("key").alias(own), F.lit(True).alias(name)).distinct(), own))
+        return two_valued(F.col(name))
 
     def gift(self, r: dict, path: str) -> Column:
         fits = self.where(r, path) & window_filter(F.col("gift_date"), r.get("window"), self.c.as_of, f"{path}.window")
@@ -248,6 +277,8 @@ class Compiler:
         for table, made in self.facts.items():
             if made:
                 fact = getattr(self.c, table)
+                for marked, own in self.marks[table]:
+                    fact = fact.join(marked, own, "left")
                 if table == "events" and self.unreturned_used:
                     back = fact.filter(F.col("name") == self.c.donation_return).select("profile_id", "source_id", "donation_id", F.lit(True).alias("_returned")).distinct()
                     fact = fact.join(back, ["profile_id", "source_id", "donation_id"], "left")

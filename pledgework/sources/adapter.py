@@ -60,6 +60,13 @@ VIEWS: dict[str, str] = {
       CASE WHEN k = 2 THEN DATE '1998-01-01' + CAST(c_custkey % 1000 AS INT) END AS value_date,
       CASE WHEN c_custkey % 4 <> 0 THEN DATE '2001-08-01' + CAST(c_custkey % 120 - 40 AS INT) END AS license_expires_at, DATE '2000-06-01' + CAST((c_custkey * 3 + k) % 300 AS INT) AS imported_at
       FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS e WHERE c_custkey % 3 <> 1""",
+    "audit_attributes": """SELECT id AS profile_id, CASE id % 5 WHEN 0 THEN 'basic' WHEN 1 THEN 'premium_monthly' WHEN 2 THEN 'premium_annual' WHEN 3 THEN 'other' END AS plan,
+      CASE id % 7 WHEN 1 THEN 'Upgrade to annual' WHEN 2 THEN 'Downgrade' END AS plan_update, id % 3 = 0 AS has_active_email, CASE WHEN id % 4 <> 1 THEN concat('acc', id) END AS donor_account,
+      CASE WHEN id % 6 <> 0 THEN CAST(id % 900 AS DOUBLE) END AS lifetime_amount, id % 8 = 0 AS has_recurring, CAST(id % 4 AS DOUBLE) AS rfm_frequency, CASE WHEN id % 9 < 6 THEN 'open' END AS account_status,
+      CASE WHEN id % 2 = 0 THEN DATE '2001-01-01' + CAST(id % 150 AS INT) END AS rfm_date, CAST(id % 5 AS DOUBLE) AS rfm_recency_score, CAST(id % 100 AS DOUBLE) / 100 AS donation_likelihood,
+      CAST(id % 11 AS DOUBLE) AS wealth_score, CAST(id % 1000 AS DOUBLE) AS suggested_amount, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS sms_optin, id % 10 = 3 AS call_optin,
+      CASE WHEN id % 12 = 5 THEN DATE '2000-05-05' END AS sms_optout_date, CASE id % 4 WHEN 0 THEN false WHEN 1 THEN true END AS vod_active, last_seen, last_contact FROM profiles""",
+    "logins": "SELECT profile_id, CASE WHEN id % 4 < 2 THEN 'login_a' ELSE 'login_b' END AS kind, login_id AS value FROM source_records WHERE login_id IS NOT NULL AND profile_id IS NOT NULL",
     "blocklist": "SELECT 'email' AS type, 'noemail@*' AS value, 'seed' AS reason UNION ALL SELECT 'email', '*@test.com', 'seed' UNION ALL SELECT 'email', 'p1*@ex1.org', 'seed' UNION ALL SELECT 'phone', '+12025550007', 'seed'",
     "suppressions": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'deletion' ELSE 'email' END AS type, c_custkey AS profile_id FROM customer WHERE c_custkey % 19 = 4",
     "merges": "SELECT c_custkey AS loser_id, c_custkey - 1 AS winner_id FROM customer WHERE c_custkey % 37 = 36",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pledgework.functions.normalize import csv_safe
 
-CORRUPT = "_corrupt"
+MORE = "_more"
 LINE_BYTES = 1 << 20
 FORBIDDEN_SQL = re.compile(r"[();'\"`]|--|/\*|\b(insert|update|delete|merge|drop|alter|create|call|copy|grant|into|union|with)\b", re.I)
 
@@ -29,13 +30,19 @@ def check_header(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects). All columns are text; rows wider than the header are rejected whole."""
-    head = spark.read.option("header", True).csv(path)
-    names = check_header(head.columns)
-    schema = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.filter(F.col(CORRUPT).isNotNull())
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects). All columns are text; rows wider than the header are rejected whole, of narrower ones the rest is null.
+
+    The header is the first line as it stands, so that empty and repeated names are seen. With multiline, fields may
+    hold line ends, and a file is one task; without, large files are split.
+    """
+    line = spark.read.text(path).limit(1).collect()
+    names = check_header(next(csv.reader([line[0]["value"]])) if line else [])
+    if MORE in names:
+        raise HeaderError(f"{MORE} is not a column's name")
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, MORE])
+    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("multiLine", multiline).option("escape", '"').csv(path)
+    return rows.filter(F.col(MORE).isNull()).drop(MORE), rows.filter(F.col(MORE).isNotNull())
 
 
 def preview(df: DataFrame, rows: int = 50) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pledgework.functions.normalize import clamp_time, ip_prefix
 
-SCHEMA = "type string, name string, messageId string, userId string, anonymousId string, timestamp timestamp, receivedAt timestamp, ip string, properties string"
+BUCKETS = 256
+SCHEMA = "source string, type string, name string, messageId string, userId string, anonymousId string, timestamp timestamp, receivedAt timestamp, ip string, properties string"
 TYPES = ("track", "identify", "page")
 LARGEST = 32 * 1024
 KEEP_FOREVER = ("donation", "donation_return")
@@ -27,9 +28,13 @@ def validated(raw: DataFrame) -> DataFrame:
 
 
 def accept(batch: DataFrame, ledger: DataFrame | None) -> DataFrame:
-    """First deliveries only; receipts never expire, so a watermark alone wouldn't do."""
-    fresh = batch.filter("reason IS NULL").dropDuplicates(["messageId"])
-    return fresh if ledger is None else fresh.join(ledger.select("messageId"), "messageId", "left_anti")
+    """First deliveries by source and message only; receipts never expire, so a watermark alone wouldn't do."""
+    fresh = batch.filter("reason IS NULL").withColumn("source", F.coalesce("source", F.lit(""))).dropDuplicates(["source", "messageId"])
+    return fresh if ledger is None else fresh.join(ledger.select("source", "messageId"), ["source", "messageId"], "left_anti")
+
+
+def bucket():
+    return F.pmod(F.xxhash64("source", "messageId"), F.lit(BUCKETS)).cast("int")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -42,15 +47,18 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Each batch overwrites its own folder, so a rerun leaves the same rows; the ledger is the accepted events themselves, without this batch's earlier try."""
+    """Each batch overwrites its own folder, so a rerun leaves the same rows. The ledger has receipts (source, message) only, dealt to hash buckets: a batch reads those of its own messages, without this batch's earlier try."""
     spark = batch.sparkSession
-    ledger = _read(spark, f"{out}/events")
-    if ledger is not None:
-        ledger = ledger.filter(F.col("batch") != batch_id)
     rows = validated(batch)
     rows.persist()
+    ledger = _read(spark, f"{out}/receipts")
+    if ledger is not None:
+        own = [r[0] for r in rows.filter("reason IS NULL").withColumn("source", F.coalesce("source", F.lit(""))).select(bucket()).distinct().collect()]  # at most BUCKETS
+        ledger = ledger.filter(F.col("bucket").isin(own) & (F.col("batch") != batch_id))
     good = accept(rows, ledger).drop("reason").withColumn("event_month", F.date_format("occurred_at", "yyyy-MM"))
     good.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
+    receipts = spark.read.parquet(f"{out}/events/batch={batch_id}").select("source", "messageId", bucket().alias("bucket"))
+    receipts.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/receipts/batch={batch_id}")
     rows.filter("reason IS NOT NULL").select("messageId", "reason").write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
     rows.unpersist()
 

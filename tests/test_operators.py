@@ -143,3 +143,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["messageId"] for r in events.collect()) == ["m1", "m3", "m4"]
     assert events.filter("clamped").first()["occurred_at"] == dt.datetime(2024, 1, 6) and events.first()["ip"] == "10.0.0.0"
     assert [tuple(r)[:2] for r in spark.read.parquet(f"{out}/rejects").select("messageId", "reason").collect()] == [("m2", "type")]
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_global_rank_of_a_million(spark, parts):
+    """Wide and narrow rows, many ties: the row numbers are 1 to n in order."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = spark.range(1_000_000).selectExpr("id AS profile_id", "cast(hash(id) % 1000 AS int) AS v", *(["repeat(cast(id AS string), 5) AS wide"] if parts == 8 else []))
+        got = traits.global_rank(rows, "place", F.desc("v"), F.asc("profile_id"))
+        out = got.select("place", "v", "profile_id").toPandas().sort_values(["v", "profile_id"], ascending=[False, True])
+        assert (out["place"].to_numpy() == range(1, 1_000_001)).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_csv_header_as_it_stands(spark, tmp_path):
+    for k, head in enumerate(("id,name,name", "id,,b", "id,ID")):
+        (tmp_path / f"h{k}.csv").write_text(f"{head}\n1,2,3\n")
+        with pytest.raises(files.HeaderError):
+            files.read_csv(spark, str(tmp_path / f"h{k}.csv"))
+    (tmp_path / "w.csv").write_text('id,"a b"\n1\n2,"x\ny"\n3,z,more\n')
+    rows, bad = files.read_csv(spark, str(tmp_path / "w.csv"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", None), ("2", "x\ny")] and [r["id"] for r in bad.collect()] == ["3"]
+
+
+def test_receipts_are_of_a_source(spark, tmp_path):
+    def message(source, i):
+        return json.dumps({"source": source, "type": "track", "name": "n", "messageId": f"m{i}", "userId": "u", "timestamp": "2024-01-05T00:00:00Z", "receivedAt": "2024-01-06T00:00:00Z", "properties": "{}"})
+
+    source, out, point = (str(tmp_path / x) for x in ("in", "out", "point"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join([message("a", 1), message("b", 1), message("a", 1)]))
+    ingest.ingest(spark, source, out, point).awaitTermination()
+    (tmp_path / "in/2.json").write_text("\n".join([message("b", 1), message("c", 1)]))
+    ingest.ingest(spark, source, out, point).awaitTermination()
+    assert sorted((r["source"], r["messageId"]) for r in spark.read.parquet(f"{out}/events").collect()) == [("a", "m1"), ("b", "m1"), ("c", "m1")]
