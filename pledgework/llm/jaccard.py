@@ -46,8 +46,8 @@ PERCENT = 80
 #: (least size of a set, groups of its point); finer groups refine the coarser.
 GROUPS = ((0, 64), (150, 256), (800, 1024))
 MINHASHES = 4
-#: Shingles that come in COMMON of so many sampled documents go to the end of the order in which prefixes are taken, the MOST_COMMON commonest of them. Any order finds every link; this one keeps shared passages out of the prefixes.
-SAMPLE_ROWS, COMMON, MOST_COMMON = 40_000, 3, 500_000
+#: Shingles that come in COMMON of the sampled documents, one in SAMPLE_SHARE and at most SAMPLE_ROWS, go to the end of the order in which prefixes are taken, the MOST_COMMON commonest of them. Any order finds every link; this one keeps shared passages out of the prefixes.
+SAMPLE_SHARE, SAMPLE_ROWS, COMMON, MOST_COMMON = 8, 40_000, 3, 500_000
 #: A group is cut into BLOCKS blocks, of at least and at most so many shingles.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8, 256_000, 2_000_000
 #: Lists of ids up to so many rows (16 bytes each) are broadcast, longer ones shuffled.
@@ -146,8 +146,8 @@ class CountTree:
 
 def common_shingles(docs: DataFrame, words: int = WORDS, sample_rows: int = SAMPLE_ROWS, least: int = COMMON) -> np.ndarray:
     """Sorted hashes of the sample's shingles that least documents have; at most MOST_COMMON."""
-    n = docs.count()
-    part = docs if n <= sample_rows else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    share = min(1 / SAMPLE_SHARE, sample_rows / max(1, docs.count()))
+    part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_000)) < int(1_000_000_000 * share))
 
     def make():
         return lambda batch: Columns(sig=np.concatenate([shingles(t, words).view(np.int64) for t in batch["text"].to_pylist()]))
@@ -272,11 +272,10 @@ def near_first(classes: DataFrame) -> DataFrame:
 def anchored(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct (anchor, rep, n, comp): the classes of the prefix buckets that hold several components, by the bucket's first class."""
     named = broadcast_if_small(labels.withColumnRenamed("id", "rep"), labels.count(), SMALL)
-    rows = classes.select("rep", "prefix").join(named, "rep", "left").select("rep", F.coalesce("label", "rep").alias("comp"), F.explode("prefix").alias("sig"))
-    rows = rows.repartition("sig")  # one exchange for both uses
-    live = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("anchor")).filter("lo < hi").select("sig", "anchor")
-    met = materialize(rows.join(live.hint("merge"), "sig").select("anchor", "rep", "comp").distinct(), "anchored")
-    return met.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    rows = classes.select("rep", "n", "prefix").join(named, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("comp"), F.explode("prefix").alias("sig"))
+    rows = rows.repartition("sig")  # one exchange for both uses, which therefore read the same columns
+    live = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("anchor"), F.max("n").alias("most")).filter("lo < hi AND most > 0").select("sig", "anchor")
+    return materialize(rows.join(live.hint("merge"), "sig").groupBy("anchor", "rep", "comp").agg(F.max("n").alias("n")), "anchored")
 
 
 def blocks_of(met: DataFrame, least: int = LEAST_BLOCK, most: int = MOST_BLOCK, blocks: int = BLOCKS) -> DataFrame:
