@@ -745,10 +745,14 @@ def entropy(ch: np.ndarray) -> float:
 
 def predicted(px: np.ndarray, bits: int = 4) -> list | None:
     """Prediction from the left or the row above, by block, then cross-colour; nothing if the residues are no easier to store."""
+    rows = np.arange(0, len(px), 4)  # every fourth row tells whether it is worth a try
+    some = channels(px[rows])
+    above = channels(px[rows - 1])
+    above[0] = 0  # nothing is above the first row
+    if min(entropy(np.diff(some, axis=1, prepend=0)), entropy(some - above)) >= entropy(some):
+        return None
     ch = channels(px)
     steps = [np.diff(ch, axis=k, prepend=0) for k in (1, 0)]
-    if min(map(entropy, steps)) >= entropy(ch):
-        return None
     left, top = (np.minimum(r & 255, 256 - (r & 255)).sum(axis=-1) for r in steps)
     h, w = px.shape
     rows, cols = np.arange(0, h, 1 << bits), np.arange(0, w, 1 << bits)
@@ -762,9 +766,11 @@ def predicted(px: np.ndarray, bits: int = 4) -> list | None:
     return [(PREDICTOR, bits, modes), (CROSS_COLOUR, 9, elements)]
 
 
-def worth(px: np.ndarray, cache_bits: int) -> int:
+def worth(px: np.ndarray, distinct: int, cache_bits: int) -> int:
     """The bits of a cache that an eighth of the pixels would be found in, else 0."""
     flat = px.ravel()
+    if 8 * (flat.size - distinct) < flat.size:
+        return 0
     slot = (flat.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
     order = np.argsort(slot, kind="stable")
     return cache_bits if 8 * np.count_nonzero(flat[order[1:]] == flat[order[:-1]]) >= flat.size else 0
@@ -772,8 +778,9 @@ def worth(px: np.ndarray, cache_bits: int) -> int:
 
 def shortest(px: np.ndarray, cache_bits: int = CACHE_BITS) -> tuple[bytes, str]:
     """The shortest of a frame's encodings, and the name of its transforms."""
-    made = [(encode_stream(px, (), worth(px, cache_bits)), "plain")]
-    if 4 * len(np.unique(px)) <= min(1024, px.size):
+    distinct = len(np.unique(px))
+    made = [(encode_stream(px, (), worth(px, distinct, cache_bits)), "plain")]
+    if 4 * distinct <= min(1024, px.size):
         made.append((encode_stream(px, [(PALETTE,)]), "palette"))
     transforms = predicted(px)
     if transforms:
