@@ -491,10 +491,11 @@ def test_head_words_move_to_their_neighbours_class(spark, monkeypatch):
     docs = docs_of(spark, texts)
     head = [w for w, _ in Counter(w for t in texts for w in t.encode().split()).most_common()]
     of = np.array([k % 3 for k in range(len(head))] + [3] * (classlm.SUFFIXES + 1) + [classlm.CLASSES - 1])
-    slots, m = classlm.neighbours(docs, head, [], of)
+    ids = classlm.id_lists(docs, head, [])
+    slots, m = classlm.neighbours(ids, len(head), of)
 
     def likelihood(of):
-        _, m = classlm.neighbours(docs, head, [], of, of_words=False)
+        _, m = classlm.neighbours(ids, len(head), of, of_words=False)
         return classlm.xlogx(m).sum() - classlm.xlogx(m.sum(axis=0)).sum() - classlm.xlogx(m.sum(axis=1)).sum()
 
     counts = {r["id"]: {s["slot"]: s["n"] for s in r["slots"]} for r in slots.collect()}
