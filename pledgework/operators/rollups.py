@@ -42,7 +42,7 @@ def donor_patterns(daily: DataFrame) -> DataFrame:
 def dashboard_daily(gifts: DataFrame, all_profiles: DataFrame, sources: DataFrame) -> DataFrame:
     """D3: day, source, fund, campaign, channel, active; distinct donors and those whose first gift it is."""
     known = all_profiles.select(F.col("id").alias("profile_id"), (F.col("merged_into_id").isNull() & ~F.col("is_deleted")).alias("active"))
-    kept = gifts.filter("gift_date IS NOT NULL").join(known, "profile_id").join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))), "source_id")
+    kept = gifts.filter("gift_date IS NOT NULL").join(known, "profile_id").join(sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id")
     first = kept.filter("NOT is_refund").groupBy("profile_id").agg(F.min("gift_date").alias("first_day"))
     rows = kept.join(first, "profile_id", "left")
     own = ~F.col("is_refund")
@@ -59,7 +59,7 @@ def giving_daily(gifts: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def event_daily(events: DataFrame, sources: DataFrame) -> DataFrame:
     """Day, source, name, type."""
-    return events.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))), "source_id").groupBy("day", "source", "name", "type").agg(F.count("*").alias("events"))
+    return events.join(sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id").groupBy("day", "source", "name", "type").agg(F.count("*").alias("events"))
 
 
 def conversions(events: DataFrame, gifts: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def cohorts(years: DataFrame) -> DataFrame:
     lists = years.groupBy("profile_id").agg(F.collect_set("year").alias("ys")).withColumn("first_year", F.array_min("ys"))
     rows = lists.select("first_year", F.explode("ys").alias("year")).groupBy("first_year", (F.col("year") - F.col("first_year")).alias("years_after_first")).agg(F.count("*").alias("retained"))
     size = rows.filter("years_after_first = 0").select("first_year", F.col("retained").alias("size"))
-    return rows.join(F.broadcast(size), "first_year").select("first_year", "years_after_first", "retained", F.round(100.0 * F.col("retained") / F.col("size"), 6).alias("retention_pct"))
+    return rows.join(size, "first_year").select("first_year", "years_after_first", "retained", F.round(100.0 * F.col("retained") / F.col("size"), 6).alias("retention_pct"))
 
 
 def month_shift(day: dt.date, months: int) -> dt.date:
@@ -161,7 +161,7 @@ def paired_months(gifts: DataFrame, profiles: DataFrame, spans: list[tuple[dt.da
 
 def overlap(records: DataFrame, profiles: DataFrame, sources: DataFrame) -> DataFrame:
     """People in both of two sources. Each profile's few sources pair within its own row, so nothing is self-joined."""
-    keyed = records.join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").join(F.broadcast(sources.select(F.col("id").alias("source_id"), "key")), "source_id")
+    keyed = records.join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").join(sources.select(F.col("id").alias("source_id"), "key"), "source_id")
     sets = keyed.groupBy("profile_id").agg(F.array_sort(F.collect_set("key")).alias("ks"))
     pairs = sets.select(F.explode("ks").alias("source_a"), "ks").select("source_a", F.explode(F.filter("ks", lambda k: k >= F.col("source_a"))).alias("source_b"))
     return pairs.groupBy("source_a", "source_b").agg(F.count("*").alias("profiles"))

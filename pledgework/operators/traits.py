@@ -76,7 +76,7 @@ def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a part
     offsets = counts.select("_part", ahead.alias("_ahead"))
-    return ordered.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_own") + F.col("_ahead")).cast("bigint")).drop("_own", "_ahead", "_part", "_n")
+    return ordered.withColumn("_own", own).join(offsets, "_part").withColumn(name, (F.col("_own") + F.col("_ahead")).cast("bigint")).drop("_own", "_ahead", "_part", "_n")
 
 
 def tile(rank: Column, rows: int, tiles: int = 5) -> Column:
@@ -110,7 +110,7 @@ def source_keys(profiles: DataFrame, sources: DataFrame, *appearances: DataFrame
     seen = appearances[0].select("profile_id", "source_id").distinct()
     for a in appearances[1:]:
         seen = seen.unionByName(a.select("profile_id", "source_id").distinct())
-    keyed = seen.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "key")), "source_id").groupBy("profile_id").agg(F.array_sort(F.collect_set("key")).alias("source_keys"))
+    keyed = seen.join(sources.select(F.col("id").alias("source_id"), "key"), "source_id").groupBy("profile_id").agg(F.array_sort(F.collect_set("key")).alias("source_keys"))
     return profiles.select(F.col("id").alias("profile_id")).join(keyed, "profile_id", "left").withColumn("source_keys", F.coalesce("source_keys", F.array().cast("array<string>")))
 
 
@@ -119,7 +119,7 @@ def last_channel(profiles: DataFrame, gifts: DataFrame, events: DataFrame, sourc
     given = gift_base(gifts, profiles, as_of).filter("gift_date IS NOT NULL").select("profile_id", "source_id", F.col("gift_date").cast("timestamp_ntz").alias("at"), "id")
     done = events.filter(F.col("day") <= F.lit(as_of)).join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").select("profile_id", "source_id", F.col("occurred_at").alias("at"), "id")
     newest = given.unionByName(done).groupBy("profile_id").agg(F.max_by("source_id", F.struct("at", "id", "source_id")).alias("source_id"))
-    return newest.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("key").alias("last_engagement_channel"))), "source_id").select("profile_id", "last_engagement_channel")
+    return newest.join(sources.select(F.col("id").alias("source_id"), F.col("key").alias("last_engagement_channel")), "source_id").select("profile_id", "last_engagement_channel")
 
 
 def full_traits(profiles: DataFrame, gifts: DataFrame, events: DataFrame, records: DataFrame, sources: DataFrame, as_of: dt.date, video: tuple[str, ...]) -> DataFrame:
@@ -178,7 +178,7 @@ def last_donation_at(events: DataFrame, donation: str, returned: str) -> DataFra
 
 def attribute_winner(records: DataFrame, sources: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """By profile and key the first value that isn't JSON null, by priority, newest, id; then one column a key. Blank stays blank."""
-    ranked = records.filter("profile_id IS NOT NULL").join(F.broadcast(sources.select(F.col("id").alias("source_id"), "priority")), "source_id")
+    ranked = records.filter("profile_id IS NOT NULL").join(sources.select(F.col("id").alias("source_id"), "priority"), "source_id")
     order = F.struct("priority", F.datediff(F.lit(dt.date(1970, 1, 1)), F.col("updated_at")).alias("age"), "id")
     winners = []
     for k in keys:

@@ -76,7 +76,7 @@ def _(v):
 def _(v):
     t = traits_of(v).agg(F.count("*").alias("profiles"), F.count_if("is_recurring_active").alias("recurring_partners"), F.count_if(F.col("donor_status") == "lapsing").alias("lapsing"))
     e = R.active(v.consent_rows.filter("channel = 'email'"), v.profiles).groupBy("profile_id").agg((F.bool_or(F.col("status") == "opted_in") & ~F.bool_or(F.col("status") == "opted_out")).alias("ok")).agg(F.count_if("ok").alias("email_opted_in"))
-    return t.withColumn("k", F.lit(1)).join(F.broadcast(e.withColumn("k", F.lit(1))), "k").drop("k")  # one row each
+    return t.withColumn("k", F.lit(1)).join(e.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
 
 
 @query("partner_status", f"{TRAITS} SELECT donor_status AS status, count(*) AS count FROM traits GROUP BY 1")
@@ -89,7 +89,7 @@ REC = "r AS (SELECT sr.*, s.key AS source FROM source_records sr JOIN sources s
 
 @query("profiles_by_source", f"WITH {REC} SELECT source, count(DISTINCT profile_id) AS profiles FROM r JOIN profiles p ON p.id = r.profile_id GROUP BY 1")
 def _(v):
-    return R.active(v.source_records, v.profiles).join(F.broadcast(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))), "source_id").groupBy("source").agg(F.count_distinct("profile_id").alias("profiles"))
+    return R.active(v.source_records, v.profiles).join(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id").groupBy("source").agg(F.count_distinct("profile_id").alias("profiles"))
 
 
 @query("source_overlap", f"WITH {REC}, m AS (SELECT DISTINCT profile_id, source FROM r JOIN profiles p ON p.id = r.profile_id) SELECT a.source AS source_a, b.source AS source_b, count(*) AS profiles FROM m a JOIN m b USING (profile_id) WHERE a.source <= b.source GROUP BY 1, 2")
@@ -101,7 +101,7 @@ def _(v):
   count(DISTINCT profile_id) FILTER (WHERE coalesce(nullif(address1, ''), nullif(city, ''), '') <> '') AS address_profiles FROM r JOIN profiles p ON p.id = r.profile_id GROUP BY 1)
 SELECT *, round(100.0 * email_profiles / profiles, 6) AS email_pct, round(100.0 * phone_profiles / profiles, 6) AS phone_pct, round(100.0 * address_profiles / profiles, 6) AS address_pct FROM x""")
 def _(v):
-    k = R.active(v.source_records, v.profiles).join(F.broadcast(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))), "source_id")
+    k = R.active(v.source_records, v.profiles).join(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id")
     # one row a profile and source first: then plain counts, no distinct expansion
     per = k.groupBy("source", "profile_id").agg(F.bool_or(F.coalesce("email", F.lit("")) != "").alias("e"), F.bool_or(F.coalesce("phone", F.lit("")) != "").alias("p"), F.bool_or(F.coalesce(F.nullif("address1", F.lit("")), F.nullif("city", F.lit("")), F.lit("")) != "").alias("a"))
     out = per.groupBy("source").agg(F.count("*").alias("profiles"), F.count_if("e").alias("email_profiles"), F.count_if("p").alias("phone_profiles"), F.count_if("a").alias("address_profiles"))
@@ -110,7 +110,7 @@ def _(v):
 
 @query("pending_resolutions", f"WITH {REC} SELECT source, count(*) AS pending FROM r WHERE NOT resolved GROUP BY 1")
 def _(v):
-    return v.source_records.filter("NOT resolved").join(F.broadcast(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))), "source_id").groupBy("source").agg(F.count("*").alias("pending"))
+    return v.source_records.filter("NOT resolved").join(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id").groupBy("source").agg(F.count("*").alias("pending"))
 
 
 @query("blocklist_hits", "SELECT b.type, count(DISTINCT r.id) AS hits FROM blocklist b JOIN source_records r ON (b.type = 'email' AND lower(r.email) LIKE lower(replace(b.value, '*', '%'))) OR (b.type = 'phone' AND r.phone = b.value) GROUP BY 1")

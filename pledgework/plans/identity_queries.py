@@ -214,7 +214,7 @@ def _(v):
 
 @query("identity_health", "SELECT s.key AS source, count(*) AS records, count(email) AS with_email, count(phone) AS with_phone, count(*) FILTER (WHERE email IS NULL AND phone IS NULL) AS without_contact, count(*) FILTER (WHERE profile_id IS NULL) AS without_profile FROM source_records r JOIN sources s ON s.id = r.source_id GROUP BY 1")
 def _(v):
-    r = v.source_records.join(F.broadcast(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))), "source_id")
+    r = v.source_records.join(v.sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id")
     return r.groupBy("source").agg(F.count("*").alias("records"), F.count("email").alias("with_email"), F.count("phone").alias("with_phone"), F.count_if(F.col("email").isNull() & F.col("phone").isNull()).alias("without_contact"), F.count_if(F.col("profile_id").isNull()).alias("without_profile"))
 
 

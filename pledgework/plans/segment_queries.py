@@ -121,7 +121,7 @@ def _(v):
 @query("seg_sample_25", f"SELECT id AS profile_id, email, region FROM profiles WHERE {SEEN_SQL} ORDER BY id LIMIT 25")
 def _(v):
     ids = members(v, SEEN).orderBy("profile_id").limit(25)
-    return v.profiles.select(F.col("id").alias("profile_id"), "email", "region").join(F.broadcast(ids), "profile_id")
+    return v.profiles.select(F.col("id").alias("profile_id"), "email", "region").join(ids, "profile_id")
 
 
 @query("seg_breakdown_status", f"{TR}x AS (SELECT 1) SELECT donor_status, count(*) AS profiles FROM profiles p JOIN traits t ON t.profile_id = p.id WHERE {SEEN_SQL} GROUP BY 1")
@@ -142,7 +142,7 @@ def _(v):
     less = ast.without_rule(full, "root.rules[1]")
     c = context(v)
     one, two = (compile_segment(d, c).agg(F.count("*").alias(n), F.lit(1).alias("k")) for d, n in ((full, "with_rule"), (less, "without_rule")))
-    return one.join(F.broadcast(two), "k").drop("k")  # one row each
+    return one.join(two, "k").drop("k")  # one row each
 
 
 @query("seg_membership_diff", f"{TR}a AS ({LHV}), b AS (SELECT p.id AS profile_id FROM profiles p JOIN traits t ON t.profile_id = p.id WHERE donor_status IN ('lapsed', 'lapsing')) SELECT coalesce(a.profile_id, b.profile_id) AS profile_id, CASE WHEN a.profile_id IS NULL THEN 'add' ELSE 'remove' END AS change FROM a FULL JOIN b USING (profile_id) WHERE a.profile_id IS NULL OR b.profile_id IS NULL")
