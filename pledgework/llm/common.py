@@ -47,7 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Removes a table of materialize() that nothing reads any more; other frames stay as they are."""
+    if path := getattr(written, "scratch", None):
+        _remove(written.sparkSession, path)
 
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, slice_rows: int = SLICE) -> DataFrame:
