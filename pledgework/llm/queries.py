@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pledgework.llm import archives, chat, classlm, codebooks, collocations, fingerprints, jaccard, mixing, packing, secrets, toxicity, webp
+from pledgework.llm import archives, chat, classlm, codebooks, collocations, fingerprints, jaccard, mincut, mixing, packing, secrets, toxicity, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_mincut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def op13_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_role_repair, op2_secret_scan, op3_class_bigrams, op4_webp_media, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op9_shingle_join, op10_arc_to_warc, op12_delta_lloyd, op13_suffix_sigma)}
+QUERIES = {f.__name__: f for f in (op1_role_repair, op2_secret_scan, op3_class_bigrams, op4_webp_media, op5_poisson_mix, op6_merkle_fingerprint, op8_toxicity_grammar, op7_best_fit_packing, op9_shingle_join, op10_arc_to_warc, op11_mincut_text, op12_delta_lloyd, op13_suffix_sigma)}
 ORACLES = {
     "op5_poisson_mix": mixing.ORACLE_SQL.format(docs="documents", columns="doc_id, source, lang, n_chars, text, copy, CAST(n_copies AS BIGINT) AS n_copies"),
     "op10_arc_to_warc": archives.ORACLE_SQL.format(pages="pages"),
