@@ -156,11 +156,14 @@ def within(spark: SparkSession, seconds: float, work: Callable[[], object]):
     worker.start()
     worker.join(seconds)
     if worker.is_alive():
-        for _ in range(50):  # a job that begins after the first call is stopped too
-            spark.interruptTag(tag)
-            worker.join(0.2)
-            if not worker.is_alive():
-                break
+
+        def reap() -> None:
+            while worker.is_alive():  # a job that begins after the first call is stopped too
+                spark.interruptTag(tag)
+                worker.join(0.2)
+
+        threading.Thread(target=reap, daemon=True).start()
+        worker.join(1.0)
         if "value" not in out:
             raise DeadlineExceeded(f"stopped after {seconds:g} seconds")
     if "error" in out:

@@ -133,13 +133,13 @@ def leads(rows: DataFrame, fields: dict[str, str], consent: dict | None = None)
     )
 
     def answer(name: str) -> Column:
-        """The last answer of that name counts."""
-        return F.element_at(F.transform(F.filter("answers", lambda a: a["name"] == name), lambda a: a["value"]), -1)
+        """The last answer of that name counts; null without one."""
+        return F.try_element_at(F.transform(F.filter("answers", lambda a: a["name"] == name), lambda a: a["value"]), F.lit(-1))
 
     zoned = F.col("created_time").rlike(r"([zZ]|[+-]\d{2}:?\d{2})$")
     at = F.when(zoned, F.try_to_timestamp(F.regexp_replace("created_time", r"([+-]\d{2})(\d{2})$", "$1:$2")))
     out = lead.withColumn("answers", F.array_compact(answers)).withColumn("captured_at", at)
-    columns = [F.when(F.get(F.filter("answers", lambda a, n=name: a["name"] == n), F.lit(0)).isNotNull(), answer(name)).alias(target) for name, target in fields.items()]
+    columns = [answer(name).alias(target) for name, target in fields.items()]
     reason = F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "id").when(F.col("captured_at").isNull(), "created_time")
     made = []
     if consent:

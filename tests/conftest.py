@@ -1,7 +1,14 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+#: Transports and clocks of the tests are imported by Spark's workers.
+os.environ["PYTHONPATH"] = os.pathsep.join((os.environ.get("PYTHONPATH", ""), str(Path(__file__).resolve().parent)))
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
