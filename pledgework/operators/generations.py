@@ -140,17 +140,18 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2, idle: float = 86400.0)
 
 
 def within(spark: SparkSession, seconds: float, work: Callable[[], object]):
-    """What work gives, run under a tag of its own; its jobs are stopped, and others left alone, when the time is over."""
-    tag, out = f"deadline-{uuid.uuid4().hex}", {}
+    """What work gives, run in a thread under a job tag of its own; its jobs and their tasks are stopped, and others left alone, when the time is over. (A session's tags are seen by the thread that added them only, so the context's are used.)"""
+    context, tag, out = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", {}
 
     def run() -> None:
-        spark.addTag(tag)
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
         try:
             out["value"] = work()
         except Exception as e:  # handed to the caller below
             out["error"] = e
         finally:
-            spark.removeTag(tag)
+            context.removeJobTag(tag)
 
     worker = threading.Thread(target=run, daemon=True)
     worker.start()
@@ -159,7 +160,7 @@ def within(spark: SparkSession, seconds: float, work: Callable[[], object]):
 
         def reap() -> None:
             while worker.is_alive():  # a job that begins after the first call is stopped too
-                spark.interruptTag(tag)
+                context.cancelJobsWithTag(tag)
                 worker.join(0.2)
 
         threading.Thread(target=reap, daemon=True).start()
