@@ -82,12 +82,18 @@ def unlinked(scored: DataFrame, keys: DataFrame, linked: float = 0.995, review:
     return scored.join(bad, ["l", "r"], "left").withColumn("band", band).drop("conflict")
 
 
-def resource_upsert(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table after the upsert, keys that come more than once in the batch, which are rejected)."""
-    times = batch.groupBy("key").agg(F.count("*").alias("n"))
-    good = batch.join(times.filter("n = 1").select("key"), "key", "left_semi")
-    kept = current.join(good.select("key"), "key", "left_anti").join(batch.select("key"), "key", "left_semi")
-    return good.unionByName(kept), times.filter("n > 1").select("key")
+class RepeatedKeys(ValueError):
+    """A batch that names a key more than once."""
+
+
+def resource_upsert(current: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
+    """The table after the batch: its keys inserted or replaced, all others kept. A batch that repeats a key is refused whole; with order, a column of the batch, the last row of a key counts."""
+    if order:
+        rest = [c for c in batch.columns if c not in ("key", order)]
+        batch = batch.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("r")).select("key", "r.*")
+    elif batch.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        raise RepeatedKeys("a key comes more than once in the batch")
+    return batch.unionByName(current.join(batch.select("key"), "key", "left_anti"))
 
 
 def staged(records: DataFrame, sources: DataFrame) -> DataFrame:

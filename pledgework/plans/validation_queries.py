@@ -9,6 +9,7 @@ from pledgework.operators import identity as I
 from pledgework.operators import linking as L
 from pledgework.plans.identity_queries import KEYS, REACH, kept
 from pledgework.plans.registry import query
+from pledgework.sources import mapping as M
 
 
 def names(*tests: str) -> str:
@@ -32,9 +33,9 @@ def _(v):
     return c.select("id", F.array_join(V.required_errors("consent", fields), ",").alias("missing"), F.array_join(V.consent_errors(F.col("channel"), F.col("status")), ",").alias("unknown"))
 
 
-@query("contact_without_content", "SELECT id FROM source_records WHERE email IS NULL AND phone IS NULL AND coalesce(first_name, '') = '' AND address1 IS NULL AND city IS NULL AND login_id IS NULL")
+@query("contact_without_content", "SELECT id FROM source_records WHERE email IS NULL AND phone IS NULL AND coalesce(first_name, '') = '' AND login_id IS NULL")
 def _(v):
-    return v.source_records.filter(V.contact_is_empty(*map(F.col, ("email", "phone", "first_name", "address1", "city", "login_id")))).select("id")
+    return v.source_records.filter(V.contact_is_empty(*map(F.col, ("email", "phone", "first_name", "login_id")))).select("id")
 
 
 @query("model_dates_missing", "SELECT profile_id, concat_ws(',', CASE WHEN rfm_date IS NULL THEN 'rfm_date' END, CASE WHEN profile_id % 2 = 0 THEN 'wealth_score_model_date' END) AS missing FROM audit_attributes")
@@ -146,16 +147,42 @@ def _(v):
     return L.login_attach(asked, v.logins, ("login_a", "login_b"))
 
 
-@query("system_key_conflicts", "WITH pr AS (SELECT c_custkey AS l, c_custkey + 1 AS r FROM customer) SELECT DISTINCT l, r FROM pr JOIN logins a ON a.profile_id = l JOIN logins b ON b.profile_id = r AND b.kind = a.kind AND b.value <> a.value UNION SELECT l, r FROM pr WHERE EXISTS (SELECT 1 FROM logins a JOIN logins b ON a.profile_id = b.profile_id AND a.kind = b.kind AND a.value <> b.value WHERE a.profile_id IN (l, r))")
+@query("system_key_conflicts", "WITH pr AS (SELECT c_custkey AS l, c_custkey + d AS r FROM customer, (SELECT unnest([1, 2, 4]) AS d)) SELECT DISTINCT l, r FROM pr JOIN logins a ON a.profile_id = l JOIN logins b ON b.profile_id = r AND b.kind = a.kind AND b.value <> a.value UNION SELECT l, r FROM pr WHERE EXISTS (SELECT 1 FROM logins a JOIN logins b ON a.profile_id = b.profile_id AND a.kind = b.kind AND a.value <> b.value WHERE a.profile_id IN (l, r))")
 def _(v):
-    pairs = v.customer.selectExpr("c_custkey AS l", "c_custkey + 1 AS r")
+    pairs = v.customer.selectExpr("c_custkey AS l", "explode(array(1, 2, 4)) AS d").selectExpr("l", "l + d AS r")
     return L.conflicting(pairs, v.logins)
 
 
-@query("resource_upsert", "SELECT p_partkey AS key, max(p_name) AS name FROM part GROUP BY 1 HAVING count(*) = 1")
+OLD = "SELECT p_partkey AS key, p_name AS name, p_brand AS series FROM part WHERE p_partkey % 2 = 0"
+BATCH = "SELECT p_partkey % 1500 * 3 AS key, concat(p_name, ' new') AS name, p_type AS series, p_partkey AS line FROM part"
+
+
+@query("resource_upsert", f"WITH o AS ({OLD}), b AS ({BATCH}), n AS (SELECT key, arg_max(name, line) AS name, arg_max(series, line) AS series FROM b GROUP BY key) SELECT key, CASE WHEN n.key IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.key IS NULL THEN o.series ELSE n.series END AS series FROM (SELECT key FROM o UNION SELECT key FROM n) k LEFT JOIN o USING (key) LEFT JOIN n USING (key)".replace("CASE WHEN n.key", "CASE WHEN n.name"))
+def _(v):
+    part = v.part
+    old = part.filter("p_partkey % 2 = 0").selectExpr("p_partkey AS key", "p_name AS name", "p_brand AS series")
+    batch = part.selectExpr("p_partkey % 1500 * 3 AS key", "concat(p_name, ' new') AS name", "p_type AS series", "p_partkey AS line")
+    return L.resource_upsert(old, batch, "line")
+
+
+#: Gifts as text, of which some values are wrong in each way that the rules know.
+RAW_GIFTS = """SELECT id, CASE id % 11 WHEN 1 THEN 'abc' WHEN 2 THEN '' WHEN 3 THEN '12.345' WHEN 4 THEN '$1,250.50' WHEN 5 THEN '1000000000000' ELSE concat('', id % 900, '.25') END AS amount,
+  CASE id % 7 WHEN 1 THEN 'not a date' WHEN 2 THEN '03/04/2001' WHEN 3 THEN 'Jan 05, 2001' WHEN 4 THEN '04/04/2001' WHEN 5 THEN '' ELSE concat('', gift_date) END AS gift_date,
+  CASE id % 5 WHEN 1 THEN 'perhaps' WHEN 2 THEN '' ELSE 'Yes' END AS is_recurring FROM gifts WHERE gift_date IS NOT NULL"""
+
+
+@query("import_dry_run", f"""WITH g AS ({RAW_GIFTS}), j AS (SELECT id, id % 11 IN (1, 3, 5) AS bad_amount, id % 11 = 2 AS no_amount, id % 7 = 1 AS bad_date, id % 7 = 5 AS no_date, id % 5 = 1 AS bad_flag, CASE id % 7 WHEN 2 THEN 'date_ambiguous' WHEN 3 THEN 'date_fallback_format' WHEN 4 THEN 'date_fallback_format' END AS warning FROM g)
+SELECT 'checked' AS kind, '' AS field, count(*) AS n FROM j UNION ALL SELECT 'ok', '', count(*) FROM j WHERE NOT (bad_amount OR no_amount OR bad_date OR no_date OR bad_flag)
+UNION ALL SELECT 'error', 'amount', count(*) FROM j WHERE bad_amount OR no_amount HAVING count(*) > 0 UNION ALL SELECT 'error', 'gift_date', count(*) FROM j WHERE bad_date OR no_date HAVING count(*) > 0
+UNION ALL SELECT 'error', 'is_recurring', count(*) FROM j WHERE bad_flag HAVING count(*) > 0 UNION ALL SELECT 'warning', concat('gift_date: ', warning), count(*) FROM j WHERE warning IS NOT NULL GROUP BY warning""")
 def _(v):
-    good, _ = L.resource_upsert(v.source_codes.select(F.substring("key", 3, 9).cast("bigint").alias("key"), "name"), v.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")))
-    return good
+    mod = lambda n, cases, other: f"CASE id % {n} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in cases.items()) + f" ELSE {other} END"
+    raw = v.gifts.filter("gift_date IS NOT NULL").select(
+        F.expr(mod(11, {1: "abc", 2: "", 3: "12.345", 4: "$1,250.50", 5: "1000000000000"}, "concat('', id % 900, '.25')")).alias("Amount"),
+        F.expr(mod(7, {1: "not a date", 2: "03/04/2001", 3: "Jan 05, 2001", 4: "04/04/2001", 5: ""}, "concat('', gift_date)")).alias("Given on"),
+        F.expr(mod(5, {1: "perhaps", 2: ""}, "'Yes'")).alias("Recurring?"),
+    )
+    return M.judged(raw, {"Amount": "amount", "Given on": "gift_date", "Recurring?": "is_recurring"}, "gift", None)
 
 
 @query("match_staging", "SELECT profile_id, arg_min(city, (priority, -epoch(updated_at), r.id)) FILTER (WHERE coalesce(city, '') <> '') AS address2 FROM source_records r JOIN sources s ON s.id = source_id WHERE profile_id IS NOT NULL GROUP BY 1")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pledgework.functions.normalize import csv_safe
 
 MORE = "_more"
 LINE_BYTES = 1 << 20
+HEAD = 1 << 16
 FORBIDDEN_SQL = re.compile(r"[();'\"`]|--|/\*|\b(insert|update|delete|merge|drop|alter|create|call|copy|grant|into|union|with)\b", re.I)
 
 
@@ -30,18 +33,45 @@ def check_header(names: list[str]) -> list[str]:
     return out
 
 
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The header of each file that has one; only the first HEAD bytes of a file are read, unpacked where its name says so."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def head(file: str) -> list[str] | None:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            codec = codecs.getCodec(at)
+            data = bytes((codec.createInputStream(stream) if codec else stream).readNBytes(HEAD))
+        finally:
+            stream.close()
+        text = io.StringIO(data.decode("utf-8-sig", "ignore" if len(data) == HEAD else "strict"), newline="")
+        names = next(csv.reader(text), None)
+        if names is not None and len(data) == HEAD and text.tell() == HEAD:
+            raise HeaderError("the header is too long")
+        return None if names is None else check_header(names)
+
+    files = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(16) as pool:
+        return {f: h for f, h in zip(files, pool.map(head, files)) if h is not None}
+
+
 def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). All columns are text; rows wider than the header are rejected whole, of narrower ones the rest is null.
 
-    The header is the first line as it stands, so that empty and repeated names are seen. With multiline, fields may
-    hold line ends, and a file is one task; without, large files are split.
+    The header is each file's first record as it stands, so that empty and repeated names are seen, and names may hold line
+    ends; the files of a folder must have the same one. With multiline, fields may hold line ends, and a file is one task;
+    without, large files are split.
     """
-    line = spark.read.text(path).limit(1).collect()
-    names = check_header(next(csv.reader([line[0]["value"]])) if line else [])
+    found = headers(spark, path)
+    if len({tuple(h) for h in found.values()}) > 1:
+        raise HeaderError(f"the files have {len({tuple(h) for h in found.values()})} different headers")
+    names = next(iter(found.values()), [])
     if MORE in names:
         raise HeaderError(f"{MORE} is not a column's name")
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, MORE])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("multiLine", multiline).option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').csv(path)
     return rows.filter(F.col(MORE).isNull()).drop(MORE), rows.filter(F.col(MORE).isNotNull())
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import gzip
 import json
 
 import pytest
@@ -165,6 +166,20 @@ def test_csv_header_as_it_stands(spark, tmp_path):
         with pytest.raises(files.HeaderError):
             files.read_csv(spark, str(tmp_path / f"h{k}.csv"))
     (tmp_path / "w.csv").write_text('id,"a b"\n1\n2,"x\ny"\n3,z,more\n')
+    (tmp_path / "m.csv").write_text('\ufeff"i\nd",name\n1,x\n2,"y\nz"\n')
+    rows, bad = files.read_csv(spark, str(tmp_path / "m.csv"))
+    assert rows.columns == ["i\nd", "name"] and bad.count() == 0
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "x"), ("2", "y\nz")]
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(f"id,name\n{k},x\n")
+    with gzip.open(folder / "3.csv.gz", "wt") as f:
+        f.write("id,name\n3,x\n")
+    assert files.read_csv(spark, str(folder))[0].count() == 4
+    (folder / "4.csv").write_text("name,id\nx,4\n")
+    with pytest.raises(files.HeaderError):
+        files.read_csv(spark, str(folder))
     rows, bad = files.read_csv(spark, str(tmp_path / "w.csv"))
     assert sorted(tuple(r) for r in rows.collect()) == [("1", None), ("2", "x\ny")] and [r["id"] for r in bad.collect()] == ["3"]
 

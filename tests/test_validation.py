@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pledgework.functions import validation as V
 from pledgework.operators import linking as L
+from pledgework.sources import mapping as M
 
 
 def column(spark, values, made):
@@ -17,6 +19,41 @@ def test_timestamps(spark):
     assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4), dt.datetime(2024, 1, 2, 1, 4, 5), None, None, None, None]
 
 
+def test_timestamps_without_a_zone_are_utc_in_any_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = column(spark, ["2024-01-02 03:04", "2024-01-02", "2024-07-02T03:04:05.25", "2024-01-02T03:04:05-0500"], lambda c: F.unix_micros(V.parse_timestamp(c)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    at = lambda *x: int(dt.datetime(*x, tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    assert got == [at(2024, 1, 2, 3, 4), at(2024, 1, 2), at(2024, 7, 2, 3, 4, 5, 250_000), at(2024, 1, 2, 8, 4, 5)]
+
+
+def test_resources_are_inserted_or_replaced_and_others_kept(spark):
+    kind = "key string, name string, line int"
+    table = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "key string, name string")
+    put = lambda rows, order=None: {r["key"]: r["name"] for r in L.resource_upsert(table, spark.createDataFrame(rows, kind) if order else spark.createDataFrame(rows, kind).drop("line"), order).collect()}
+    assert put([("1", "x", 1), ("9", None, 2)]) == {"1": "x", "2": "b", "3": "c", "9": None}
+    assert put([]) == {"1": "a", "2": "b", "3": "c"}
+    with pytest.raises(L.RepeatedKeys):
+        put([("1", "x", 1), ("1", "y", 2)])
+    assert put([("1", "x", 2), ("1", "y", 1), ("2", "z", 3)], "line") == {"1": "x", "2": "z", "3": "c"}
+
+
+def test_a_dry_run_judges_values(spark):
+    rows = spark.createDataFrame([("abc", "not a date", "maybe"), ("$1,200.5", "01/02/2024", "yes"), ("12.345", "2024-02-30", ""), ("1000000000000", "Jan 05, 2024", None), (None, None, None), ("-3.10", "2024-01-01", "0")], "`A``m` string, d string, r string")
+    got = M.dry_run(rows, {"A`m": "amount", "d": "gift_date", "r": "is_recurring"}, "gift").first()
+    assert got["errors"] == {"amount": 4, "gift_date": 3, "is_recurring": 1} and got["warnings"] == {"gift_date: date_ambiguous": 1, "gift_date: date_fallback_format": 1}
+    assert (got["rows_checked"], got["rows_ok"], got["rows_rejected"]) == (6, 2, 4)
+    events = spark.createDataFrame([("x", "2024-01-01T00:00:00", "{}"), ("x", "noon", "[1]"), ("", "2024-01-01", "no")], "n string, t string, p string")
+    assert M.dry_run(events, {"n": "name", "t": "occurred_at", "p": "properties"}, "event").first()["errors"] == {"name": 1, "occurred_at": 1, "properties": 2}
+    scores = spark.createDataFrame([("e", "v", "l", "2024-01-01", "7"), ("", "v", "", "01/01/2024", "x")], "i string, v string, l string, a string, s string")
+    columns = {"i": "email", "v": "vendor", "l": "license_id", "a": "append_date", "s": {"enrichment": "score", "data_type": "number"}}
+    assert M.dry_run(scores, columns, "enrichment").first()["errors"] == {"append_date": 1, "identifier": 1, "license_id": 1, "score": 1}
+    assert M.dry_run(spark.createDataFrame([("", " "), ("a", "")], "e string, n string"), {"e": "email", "n": "first_name"}, "contact").first()["errors"] == {"content": 1}
+
+
 def test_required_and_vocabulary(spark):
     rows = spark.createDataFrame([("email", "maybe", None, ""), ("", None, "x", "a@b.c"), ("fax", "unknown", "x", None)], "channel string, status string, captured_at string, email string")
     fields = {n: F.col(n) for n in rows.columns}
