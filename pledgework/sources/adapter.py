@@ -66,6 +66,19 @@ VIEWS: dict[str, str] = {
       CASE WHEN id % 2 = 0 THEN DATE '2001-01-01' + CAST(id % 150 AS INT) END AS rfm_date, CAST(id % 5 AS DOUBLE) AS rfm_recency_score, CAST(id % 100 AS DOUBLE) / 100 AS donation_likelihood,
       CAST(id % 11 AS DOUBLE) AS wealth_score, CAST(id % 1000 AS DOUBLE) AS suggested_amount, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS sms_optin, id % 10 = 3 AS call_optin,
       CASE WHEN id % 12 = 5 THEN DATE '2000-05-05' END AS sms_optout_date, CASE id % 4 WHEN 0 THEN false WHEN 1 THEN true END AS vod_active, last_seen, last_contact FROM profiles""",
+    "feed_rows": """SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN 'people' WHEN 1 THEN 'models' WHEN 2 THEN 'lookups' WHEN 3 THEN 'enrichment' WHEN 4 THEN 'resources' WHEN 7 THEN CASE WHEN c_custkey % 2 = 0 THEN 'people' ELSE 'events' END WHEN 8 THEN CASE c_custkey % 4 WHEN 0 THEN 'resources' WHEN 1 THEN 'enrichment' WHEN 2 THEN 'lookups' END ELSE 'events' END AS feed,
+      CASE c_custkey % 9
+        WHEN 0 THEN concat('{"id":"', CASE WHEN c_custkey % 2 = 0 THEN 'cdp-' ELSE '' END, c_custkey, '","properties":{"email":"p', c_custkey, '@x.org","plan":"a"},"attributes":{"plan":"b","tags":[1,2]},"city":null}')
+        WHEN 1 THEN concat('{"user_id":', c_custkey, ',"score":0.5,"properties":{}}')
+        WHEN 2 THEN concat('{"donor_account_number":"d', c_custkey, '","email":"","attributes":{"vip":true}}')
+        WHEN 3 THEN concat('{"user_id":"u', c_custkey, '","vendor":"v","license_id":"l","append_date":"2001-01-01","external_id":"x', c_custkey, '","attributes":{"age":', c_custkey % 90, '}}')
+        WHEN 4 THEN concat('{"id":', c_custkey, ',"name":"n', c_custkey % 5, '","series":null,"attributes":{"a":1},"colour":"red"}')
+        WHEN 5 THEN concat('{"id":"e', c_custkey, '","event":"Vod-Viewed","user_id":"u', c_custkey, '","timestamp":"2001-01-01T00:00:00Z","extra":{"x":1},"properties":{"p":2},"okta_customer_id":"o1"}')
+        WHEN 6 THEN concat('{"external_id":"e', c_custkey, '","type":"Page-View","email":"a@b.org","attributes":{}}')
+        WHEN 7 THEN CASE c_custkey % 4 WHEN 0 THEN '{"id":' WHEN 1 THEN '[1]' WHEN 2 THEN '{"id":"a","properties":3}' ELSE '{"id":"e","name":"x"}' END
+        ELSE CASE c_custkey % 4 WHEN 0 THEN '{"name":"no key"}' WHEN 1 THEN '{"user_id":"u","vendor":"v"}' WHEN 2 THEN '{"email":"a@b.org"}' ELSE '{"id":1}' END END AS body FROM customer""",
+    "lead_rows": """SELECT c_custkey AS id, concat('{"id":"', c_custkey, '","created_time":"2001-05-', lpad(concat('', 1 + c_custkey % 28), 2, '0'), CASE WHEN c_custkey % 10 = 9 THEN 'T10:00:00' ELSE 'T10:00:00+0000' END, '","form_id":"', 70 + c_custkey % 3, '","field_data":[{"name":"email","values":["p', c_custkey, '@x.org"]},{"name":"town","values":[]}],"custom_disclaimer_responses":[',
+  CASE WHEN c_custkey % 7 = 6 THEN '' ELSE concat('{"checkbox_key":"ok","is_checked":"', CASE WHEN c_custkey % 5 = 0 THEN 'no' ELSE 'YES' END, '"}') END, '],"questions":[{"key":"ok","label":"', CASE WHEN c_custkey % 4 = 0 THEN 'I agree to everything' ELSE 'I agree' END, '"}]}') AS body FROM customer""",
     "logins": "SELECT profile_id, CASE WHEN id % 4 < 2 THEN 'login_a' ELSE 'login_b' END AS kind, login_id AS value FROM source_records WHERE login_id IS NOT NULL AND profile_id IS NOT NULL",
     "blocklist": "SELECT 'email' AS type, 'noemail@*' AS value, 'seed' AS reason UNION ALL SELECT 'email', '*@test.com', 'seed' UNION ALL SELECT 'email', 'p1*@ex1.org', 'seed' UNION ALL SELECT 'phone', '+12025550007', 'seed'",
     "suppressions": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'deletion' ELSE 'email' END AS type, c_custkey AS profile_id FROM customer WHERE c_custkey % 19 = 4",
@@ -99,7 +112,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = {n: view(spark, sf_dir, n) for n in [*BASE, *VIEWS] if n != name and re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)}
     for n in read:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", sql)
-    return spark.sql(sql.replace("'{\"", "'{{\"").replace("'}')", "'}}')"), **read) if read else spark.sql(sql)
+    if not read:
+        return spark.sql(sql)
+    sql = re.sub(r"'[^']*'", lambda text: text[0].replace("{", "{{").replace("}", "}}"), sql)  # braces in texts are no names
+    return spark.sql(sql, **read)
 
 
 def with_views(sql: str) -> str:
