@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pledgework.operators.matching import block_pairs
 from pledgework.operators.scratch import written
 
 #: Kinds of key that name one person, of which a component may hold one value.
@@ -120,22 +121,22 @@ def lookup(asked: DataFrame, owners: DataFrame, aliases: DataFrame | None = None
 #: Probabilities of agreement among matches and among others, and of a match before any evidence.
 AGREE = {"first_name": (0.9, 0.01), "last_name": (0.9, 0.005), "postal_code": (0.95, 0.001), "phone": (0.9, 0.0001)}
 PRIOR, LINKED, REVIEW = 1e-6, 0.995, 0.85
-EDITS = 1
+EDITS, LONGEST = 1, 255
 
 
 def match_pairs(people: DataFrame, blocks: tuple[tuple[str, ...], ...] = (("address1", "postal_code"), ("phone",), ("last_name", "postal_code"))) -> DataFrame:
-    """Pairs that share a block, with the probability of a match by agreeing fields; a null is neutral."""
+    """Pairs that share a block, with the probability of a match by agreeing fields; a null is neutral. Names of over 255 characters agree if they are equal."""
     pairs = None
     for block in blocks:
-        side = people.filter(" AND ".join(f"{c} IS NOT NULL" for c in block)).select(F.col("id").alias("l"), *block)
-        one = side.join(side.withColumnRenamed("l", "r"), list(block)).filter("l < r").select("l", "r")
+        one = block_pairs(people, block)
         pairs = one if pairs is None else pairs.union(one)
     cols = list(AGREE)
     both = pairs.distinct().join(people.select(F.col("id").alias("l"), F.struct(*cols).alias("a")), "l").join(people.select(F.col("id").alias("r"), F.struct(*cols).alias("b")), "r")
     weight = F.lit(0.0)
     for c, (m, u) in AGREE.items():
         x, y = F.col("a")[c], F.col("b")[c]
-        same = (F.levenshtein(F.lower(x), F.lower(y)) <= EDITS) if c.endswith("name") else x == y
+        short = (F.length(x) <= LONGEST) & (F.length(y) <= LONGEST)
+        same = F.when(short, F.levenshtein(F.lower(x), F.lower(y)) <= EDITS).otherwise(F.lower(x) == F.lower(y)) if c.endswith("name") else x == y
         weight = weight + F.when(x.isNull() | y.isNull() | (x == "") | (y == ""), 0.0).when(same, math.log2(m / u)).otherwise(math.log2((1 - m) / (1 - u)))
     odds = F.pow(F.lit(2.0), weight) * F.lit(PRIOR / (1 - PRIOR))
     return both.select("l", "r", F.round(weight, 6).alias("weight"), F.round(odds / (1 + odds), 6).alias("probability"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pledgework.operators import activation as X
 from pledgework.operators import identity as I
+from pledgework.operators import matching as M
 from pledgework.operators.consent import consent_winner
 from pledgework.plans.registry import query
 from pledgework.plans.segment_queries import CONSENT
@@ -156,6 +157,23 @@ def _(v):
     return I.bands(I.match_pairs(people(v))).groupBy("band").agg(F.count("*").alias("pairs"))
 
 
+#: Pairs of people by their profile, with made-up scores and ties, as the records' own hardly retire anyone.
+CHAIN = "SELECT a.c_custkey AS l, b.c_custkey AS r, CAST(CASE WHEN (a.c_custkey + b.c_custkey) % 5 < 3 THEN 0.995 + (a.c_custkey * 7 + b.c_custkey) % 4 / 1000.0 ELSE 0.8 + (a.c_custkey + b.c_custkey) % 3 / 20.0 END AS DOUBLE) AS probability FROM customer a JOIN customer b ON b.c_custkey - a.c_custkey IN (1, 3, 8) WHERE a.c_custkey % 3 <> 1"
+
+
+@query("match_greedy", f"""WITH RECURSIVE ch AS ({CHAIN}), e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY probability DESC, l, r) AS i FROM ch WHERE probability >= 0.85),
+walk(i, l, r, probability, band, gone, ks) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::VARCHAR, []::BIGINT[], (SELECT list(DISTINCT {{'p': profile_id::BIGINT, 'k': kind, 'v': value}}) FROM logins)
+  UNION ALL SELECT i, l, r, probability, band, CASE WHEN band = 'linked' THEN list_append(gone, r) ELSE gone END, CASE WHEN band = 'linked' THEN list_distinct(list_transform(ks, lambda x: {{'p': CASE WHEN x.p = r THEN l ELSE x.p END, 'k': x.k, 'v': x.v}})) ELSE ks END
+  FROM (SELECT e.i, e.l, e.r, e.probability, w.gone, w.ks, CASE WHEN list_contains(w.gone, e.l) OR list_contains(w.gone, e.r) THEN 'skipped'
+    WHEN len(list_distinct(list_transform(list_filter(w.ks, lambda x: x.p IN (e.l, e.r)), lambda x: x.k))) < len(list_distinct(list_transform(list_filter(w.ks, lambda x: x.p IN (e.l, e.r)), lambda x: {{'k': x.k, 'v': x.v}}))) THEN 'conflict' WHEN e.probability >= 0.995 THEN 'linked' ELSE 'review' END AS band FROM walk w JOIN e ON e.i = w.i + 1))
+SELECT l, r, probability, band FROM walk WHERE i > 0""")
+def _(v):
+    c = v.customer.select("c_custkey")
+    near = c.select(F.col("c_custkey").alias("l"), F.explode(F.array(*[F.col("c_custkey") + d for d in (1, 3, 8)])).alias("r")).join(c.toDF("r"), "r").filter("l % 3 <> 1")
+    scored = near.select("l", "r", F.expr("CAST(CASE WHEN (l + r) % 5 < 3 THEN 0.995D + (l * 7 + r) % 4 / 1000.0D ELSE 0.8D + (l + r) % 3 / 20.0D END AS DOUBLE)").alias("probability"))
+    return M.greedy(scored, v.logins, v.all_profiles.select(F.col("id").alias("profile_id"), "master_id"))
+
+
 @query("match_quality_daily", f"WITH {SCORES} SELECT r.updated_at AS day, count(*) AS candidates, count(*) FILTER (WHERE probability >= 0.995) AS linked FROM sc JOIN source_records r ON r.id = sc.l GROUP BY 1")
 def _(v):
     b = I.bands(I.match_pairs(people(v))).join(v.source_records.select(F.col("id").alias("l"), F.col("updated_at").alias("day")), "l")
