@@ -67,7 +67,7 @@ def _(v):
     return v.source_records.select("id", V.is_hard_bounce(F.expr("CASE id % 6 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'ON' WHEN 2 THEN '1' WHEN 3 THEN 'true' WHEN 4 THEN 'no' END")).alias("bounced"))
 
 
-SHORT = "(VALUES " + ", ".join(f"('{s}', '{n}')" for n, forms in V.NICKNAMES.items() for s in forms.split()) + ") AS nick(short, long)"
+SHORT = "(VALUES " + ", ".join(f"('{s}', '{n}')" for s, n in V.NICKNAMES.items()) + ") AS nick(short, long)"
 
 
 @query("nicknames", f"SELECT id, coalesce(long, lower(first)) AS first_name FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'Bob' WHEN 1 THEN 'LIZZY' WHEN 2 THEN 'Jan' ELSE 'cathy' END AS first FROM source_records) LEFT JOIN {SHORT} ON short = lower(first)")
