@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,15 +22,37 @@ def consent_winner(rows: DataFrame) -> DataFrame:
 
 
 def candidate_wins(old: tuple[str, int, bool] | None, new: tuple[str, int, bool]) -> bool:
-    """U6, one candidate (status, captured, authoritative) at a time: unknown never clears; an opt-out stays unless a newer authoritative opt-in comes; otherwise the newer wins, and of equal ones an opt-out."""
+    """U6, one candidate (status, captured, authoritative) at a time.
+
+    Unknown never clears a decision. An opt-out stays unless a newer authoritative opt-in comes. An opt-out beats an opt-in, an
+    authoritative one only if it isn't older. Of two opt-ins an authoritative one keeps its place against one that isn't, else the newer
+    wins, and at one time the authoritative. Of two unknowns or opt-outs the newer wins.
+    """
     if old is None:
         return True
-    if new[0] == "unknown":
-        return old[0] == "unknown" and new[1] > old[1]
-    if old[0] == "unknown":
-        return True
-    if old[0] == "opted_out":
-        return new[1] > old[1] and (new[0] == "opted_out" or new[2])
-    if new[0] == "opted_out":
-        return new[1] >= old[1] or not old[2]
-    return new[1] > old[1]
+    later, now = new[1] > old[1], (old[0], new[0])
+    if "unknown" in now:
+        return new[0] != "unknown" or (old[0] == "unknown" and later)
+    if now == ("opted_in", "opted_out"):
+        return not old[2] or new[1] >= old[1]
+    if now == ("opted_out", "opted_in"):
+        return new[2] and later
+    if now == ("opted_in", "opted_in"):
+        return (new[2] or not old[2]) and (later or (new[1] == old[1] and new[2] and not old[2]))
+    return later
+
+
+def wins(old: Column, new: Column) -> Column:
+    """U6 as an expression over structs (status, captured_at, authoritative); a null old one loses, a null new one doesn't win."""
+    later, same = new["captured_at"] > old["captured_at"], new["captured_at"] == old["captured_at"]
+    was, now = old["status"], new["status"]
+    return (
+        F.when(new.isNull(), False)
+        .when(old.isNull(), True)
+        .when(now == "unknown", (was == "unknown") & later)
+        .when(was == "unknown", True)
+        .when((was == "opted_in") & (now == "opted_out"), ~old["authoritative"] | later | same)
+        .when((was == "opted_out") & (now == "opted_in"), new["authoritative"] & later)
+        .when(now == "opted_in", (new["authoritative"] | ~old["authoritative"]) & (later | (same & new["authoritative"] & ~old["authoritative"])))
+        .otherwise(later)
+    )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pledgework.functions import normalize as N
+from pledgework.operators import records as R
 from pledgework.operators import upserts as U
 from pledgework.operators.consent import consent_winner
 from pledgework.plans.registry import query
 from pledgework.plans.segment_queries import CONSENT
+from pledgework.sources.adapter import AS_OF
 
 RAW = """SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN concat('  User', c_custkey, '@EX.org ') WHEN 1 THEN concat('a..b', c_custkey, '@ex.org') WHEN 2 THEN 'not an address' WHEN 3 THEN NULL WHEN 4 THEN concat('x+t', c_custkey, '@sub.ex-1.org') WHEN 5 THEN concat('f.l', c_custkey, '@gmail.com') ELSE concat('.a', c_custkey, '@ex.org') END AS email,
   CASE c_custkey % 6 WHEN 0 THEN concat('(202) 555-', lpad(concat('', c_custkey % 10000), 4, '0')) WHEN 1 THEN concat('1-303-555-', lpad(concat('', c_custkey % 10000), 4, '0')) WHEN 2 THEN concat('+1 404.555.', lpad(concat('', c_custkey % 10000), 4, '0'), ' ext. 12') WHEN 3 THEN '555-0100' WHEN 4 THEN '0125550100' ELSE NULL END AS phone,
@@ -165,6 +167,40 @@ def _(v):
     return U.batch_merge(v.source_records.filter("profile_id IS NOT NULL").select("profile_id", "email", "phone", "id"), ["profile_id"], "id").drop("id")
 
 
+#: Consents of records in the table and in a batch, whose rows come in pairs of a key; times tie in places.
+STATUS = "CASE {x} % 4 WHEN 0 THEN 'opted_out' WHEN 1 THEN 'unknown' WHEN 2 THEN 'opted_in' END"
+RECORDS = {
+    "t": f"SELECT source_id, external_id, email, city, concat('p', id % 3) AS plan, {STATUS.format(x='id')} AS status, DATE '2000-01-01' + CAST(id % 5 AS INT) AS captured_at, id % 7 < 3 AS strong, concat('h', id % 4) AS raw_hash FROM source_records WHERE id % 3 <> 2",
+    "b": f"SELECT source_id, external_id, CASE WHEN k = 0 THEN concat('new', id) END AS email, CASE WHEN (id + k) % 3 = 0 THEN 'Troy' END AS city, CASE WHEN id % 2 = k THEN concat('q', k) END AS plan, {STATUS.format(x='(id * 7 + k * 5)')} AS status, DATE '2000-01-01' + CAST((id * 3 + k) % 5 AS INT) AS captured_at, (id + k) % 2 = 0 AS strong, concat('h', (id + k) % 5) AS raw_hash, k AS seq FROM source_records CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) AS two WHERE id % 5 <> 4",
+}
+
+
+def _wins(o: str, n: str) -> str:
+    later, same = f"{n}.captured_at > {o}.captured_at", f"{n}.captured_at = {o}.captured_at"
+    return f"""CASE WHEN {n}.status IS NULL THEN false WHEN {o}.status IS NULL THEN true WHEN {n}.status = 'unknown' THEN {o}.status = 'unknown' AND {later} WHEN {o}.status = 'unknown' THEN true
+      WHEN {n}.status = 'opted_out' THEN CASE WHEN {o}.status = 'opted_in' AND {o}.strong THEN {later} OR {same} ELSE {o}.status <> 'opted_out' OR {later} END
+      WHEN {o}.status = 'opted_out' THEN {n}.strong AND {later} WHEN {o}.strong AND NOT {n}.strong THEN false ELSE {later} OR ({same} AND {n}.strong AND NOT {o}.strong) END"""
+
+
+@query("upsert_records", f"""WITH t AS ({RECORDS['t']}), b AS ({RECORDS['b']}), x AS (SELECT * FROM b WHERE seq = 0), y AS (SELECT * FROM b WHERE seq = 1),
+n AS (SELECT x.source_id, x.external_id, coalesce(y.email, x.email) AS email, coalesce(y.city, x.city) AS city, coalesce(y.plan, x.plan) AS plan, CASE WHEN {_wins('x', 'y')} THEN y.status ELSE x.status END AS status, CASE WHEN {_wins('x', 'y')} THEN y.captured_at ELSE x.captured_at END AS captured_at, CASE WHEN {_wins('x', 'y')} THEN y.strong ELSE x.strong END AS strong, y.raw_hash FROM x JOIN y ON y.source_id = x.source_id AND y.external_id = x.external_id),
+j AS (SELECT coalesce(t.source_id, n.source_id) AS source_id, coalesce(t.external_id, n.external_id) AS external_id, CASE WHEN t.external_id IS NULL THEN 'inserted' WHEN n.external_id IS NULL OR n.raw_hash = t.raw_hash THEN 'same' ELSE 'updated' END AS op, t.email AS e0, n.email AS e1, t.city AS c0, n.city AS c1, t.plan AS p0, n.plan AS p1, t.status AS s0, CASE WHEN {_wins('t', 'n')} THEN n.status ELSE t.status END AS s1 FROM t FULL JOIN n ON t.source_id = n.source_id AND t.external_id = n.external_id)
+SELECT source_id, external_id, op, CASE WHEN op = 'same' THEN e0 ELSE coalesce(e1, e0) END AS email, CASE WHEN op = 'same' THEN c0 ELSE coalesce(c1, c0) END AS city, CASE WHEN op = 'same' THEN p0 ELSE coalesce(p1, p0) END AS plan, CASE WHEN op = 'same' THEN s0 ELSE s1 END AS status FROM j""")
+def _(v):
+    def shaped(df, *more):
+        consent = F.when(F.col("status").isNotNull(), F.struct("status", "captured_at", F.col("strong").alias("authoritative")))
+        plan = F.map_filter(F.create_map(F.lit("plan"), F.col("plan")), lambda _, x: x.isNotNull())
+        return df.select("source_id", "external_id", "email", "city", plan.alias("attributes"), consent.alias("consent"), "raw_hash", *more)
+
+    r = v.source_records
+    status = lambda x: STATUS.format(x=x)
+    t = r.filter("id % 3 <> 2").selectExpr("source_id", "external_id", "email", "city", "concat('p', id % 3) AS plan", f"{status('id')} AS status", "DATE '2000-01-01' + CAST(id % 5 AS INT) AS captured_at", "id % 7 < 3 AS strong", "concat('h', id % 4) AS raw_hash")
+    two = r.filter("id % 5 <> 4").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    b = two.selectExpr("source_id", "external_id", "CASE WHEN k = 0 THEN concat('new', id) END AS email", "CASE WHEN (id + k) % 3 = 0 THEN 'Troy' END AS city", "CASE WHEN id % 2 = k THEN concat('q', k) END AS plan", f"{status('(id * 7 + k * 5)')} AS status", "DATE '2000-01-01' + CAST((id * 3 + k) % 5 AS INT) AS captured_at", "(id + k) % 2 = 0 AS strong", "concat('h', (id + k) % 5) AS raw_hash", "k AS seq")
+    made = R.upsert(shaped(t, F.lit(AS_OF).alias("updated_at")), shaped(b, "seq"), AS_OF)
+    return made.select("source_id", "external_id", "op", "email", "city", F.col("attributes")["plan"].alias("plan"), F.col("consent.status").alias("status"))
+
+
 @query("upsert_gifts", "SELECT g.id, CASE WHEN id % 4 = 1 THEN CAST(amount + 1 AS DECIMAL(14,2)) ELSE amount END AS amount, fund, CASE WHEN id % 5 = 0 THEN 'inserted' WHEN id % 4 = 1 THEN 'updated' ELSE 'same' END AS op FROM gifts g")
 def _(v):
     g = v.gifts.select("id", "amount", "fund")
