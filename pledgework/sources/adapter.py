@@ -77,6 +77,12 @@ VIEWS: dict[str, str] = {
         WHEN 6 THEN concat('{"external_id":"e', c_custkey, '","type":"Page-View","email":"a@b.org","attributes":{}}')
         WHEN 7 THEN CASE c_custkey % 4 WHEN 0 THEN '{"id":' WHEN 1 THEN '[1]' WHEN 2 THEN '{"id":"a","properties":3}' ELSE '{"id":"e","name":"x"}' END
         ELSE CASE c_custkey % 4 WHEN 0 THEN '{"name":"no key"}' WHEN 1 THEN '{"user_id":"u","vendor":"v"}' WHEN 2 THEN '{"email":"a@b.org"}' ELSE '{"id":1}' END END AS body FROM customer""",
+    "donation_events": """SELECT event_id AS id, user_id AS profile_id, event_id % 2 AS source_id, CASE event_type WHEN 'purchase' THEN 'donation' WHEN 'view' THEN 'donation' WHEN 'error' THEN 'donation_return' ELSE event_type END AS name, concat('m', event_id % 500) AS message_id, ts - INTERVAL 8217 DAY AS occurred_at,
+      CASE WHEN event_type = 'error' THEN concat('{"', CASE WHEN event_id % 3 = 0 THEN 'original_gift_external_id' ELSE 'original_donation_id' END, '":"', CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'gift:' WHEN 2 THEN 'donation:' WHEN 3 THEN 'donation:_event:' ELSE 'other:' END, 'm', event_id * 7 % 500, '"}') WHEN event_id % 11 = 0 THEN '{"is_refund":true}' WHEN event_id % 13 = 0 THEN '{"is_refund":"false"}' ELSE '{}' END AS properties FROM events""",
+    "refund_gifts": """SELECT o_orderkey AS id, o_custkey % 150 AS profile_id, o_orderkey % 2 AS source_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -5 ELSE 5 END AS DECIMAL(14,2)) AS amount,
+      concat('{"is_refund":', CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'false' END, ',"original_donation_id":"', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'gift:' WHEN 2 THEN 'donation:' ELSE 'nothing:' END, 'm', o_orderkey % 500, '"}') AS attributes FROM orders""",
+    "keyed_records": """SELECT r.id, source_id, concat('src', source_id) AS source_key, external_id, CASE WHEN id % 4 = 0 THEN 'office@x.org' WHEN id % 9 = 1 THEN '  ' ELSE email END AS email, phone, CASE WHEN id % 12 = 4 THEN 'gift' WHEN id % 12 = 8 THEN NULL ELSE 'contact' END AS record_type,
+      concat('{"email_md5":" ABC', id % 7, '","donor_account_number":"d', id % 50, '","zeta_uid":"U', id % 30, '","user_id":"', CASE WHEN id % 6 = 0 THEN '' ELSE concat('u', id % 40) END, '","anonymous_id":"an', id % 20, '","identify":', CASE id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '{}' END, CASE WHEN id % 5 = 0 THEN concat(',"_identity_reference":{"source_key":"src1","contact_external_id":"x', id % 100, '-1"}') ELSE '' END, '}') AS attributes FROM source_records r""",
     "lead_rows": """SELECT c_custkey AS id, concat('{"id":"', c_custkey, '","created_time":"2001-05-', lpad(concat('', 1 + c_custkey % 28), 2, '0'), CASE WHEN c_custkey % 10 = 9 THEN 'T10:00:00' ELSE 'T10:00:00+0000' END, '","form_id":"', 70 + c_custkey % 3, '","field_data":[{"name":"email","values":["p', c_custkey, '@x.org"]},{"name":"town","values":[]}],"custom_disclaimer_responses":[',
   CASE WHEN c_custkey % 7 = 6 THEN '' ELSE concat('{"checkbox_key":"ok","is_checked":"', CASE WHEN c_custkey % 5 = 0 THEN 'no' ELSE 'YES' END, '"}') END, '],"questions":[{"key":"ok","label":"', CASE WHEN c_custkey % 4 = 0 THEN 'I agree to everything' ELSE 'I agree' END, '"}]}') AS body FROM customer""",
     "logins": "SELECT profile_id, CASE WHEN id % 4 < 2 THEN 'login_a' ELSE 'login_b' END AS kind, login_id AS value FROM source_records WHERE login_id IS NOT NULL AND profile_id IS NOT NULL",
