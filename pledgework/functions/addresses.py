@@ -8,9 +8,11 @@ itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pledgework.operators.scratch import written
+
 #: Words by their class; the rest of a street's words are its name.
 DIRECTIONS = "N S E W NE NW SE SW NORTH SOUTH EAST WEST NORTHEAST NORTHWEST SOUTHEAST SOUTHWEST".split()
 STREET_WORDS = "ST STREET AVE AVENUE RD ROAD DR DRIVE BLVD BOULEVARD LN LANE CT COURT PL PLACE WAY TER TERRACE CIR CIRCLE PKWY PARKWAY TRL TRAIL SQ SQUARE LOOP PIKE PATH ROW RUN".split()
@@ -60,8 +62,12 @@ def look(w: Column) -> Column:
     )
 
 
-def tagged(line: Column) -> Column:
-    """An array of (word, tag): the cheapest path over the line's words; of equal ones the tag that stands first in TAGS."""
+def looks_of(line: Column) -> Column:
+    return F.transform(words(line), look)
+
+
+def tags_of(looks: Column) -> Column:
+    """The tags of a line by the classes of its words: the cheapest path; of equal ones the tag that stands first in TAGS."""
     path = "struct<cost:double,tags:array<string>>"
 
     def emission(kind: Column, tag: str) -> Column:
@@ -70,9 +76,8 @@ def tagged(line: Column) -> Column:
             out = F.when(kind == k, F.lit(costs.get(tag, FAR))).otherwise(out)
         return out
 
-    def step(before: Column, w: Column) -> Column:
+    def step(before: Column, kind: Column) -> Column:
         """The cheapest path to each tag of this word, from the cheapest paths to each tag of the last."""
-        kind = look(w)
         ends = []
         for tag in TAGS:
             ways = [F.struct((before[i]["cost"] + F.lit(STEPS[prior].get(tag, FAR))).alias("cost"), F.lit(i).alias("prior")) for i, prior in enumerate(TAGS)]
@@ -82,16 +87,27 @@ def tagged(line: Column) -> Column:
         return F.array(*[F.struct(c.alias("cost"), F.concat(t, F.array(F.lit(tag))).alias("tags")).cast(path) for c, t, tag in ends])
 
     none = F.array(*[F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("tags")) for _ in TAGS]).cast(f"array<{path}>")
-    last = F.aggregate(words(line), none, step)
+    last = F.aggregate(looks, none, step)
     best = F.array_min(F.transform(last, lambda p, i: F.struct(p["cost"].alias("cost"), i.alias("i"), p["tags"].alias("tags"))))
-    return F.zip_with(words(line), best["tags"], lambda w, t: F.struct(w.alias("word"), t.alias("tag")))
+    return best["tags"]
 
 
-def parts(line: Column) -> Column:
-    """A struct of number, street and unit of a line, words with single spaces between; an empty text for what it hasn't."""
+def parts(line: Column, tags: Column | None = None) -> Column:
+    """A struct of number, street and unit of a line, words with single spaces between; an empty text for what it hasn't. Without tags, the path is sought for each row; see with_parts()."""
+    tags = tags_of(looks_of(line)) if tags is None else tags
 
     def said(found: Column) -> Column:
-        of = lambda *tags: F.array_join(F.transform(F.filter(found, lambda x: x["tag"].isin(*tags)), lambda x: x["word"]), " ")
+        of = lambda *names: F.array_join(F.transform(F.filter(found, lambda x: x["tag"].isin(*names)), lambda x: x["word"]), " ")
         return F.struct(of("number").alias("number"), of("street", "direction", "type").alias("street"), of("unit").alias("unit"))
 
-    return F.get(F.transform(F.array(tagged(line)), said), F.lit(0))  # the path is found once
+    found = F.zip_with(words(line), tags, lambda w, t: F.struct(w.alias("word"), t.alias("tag")))
+    return F.get(F.transform(F.array(found), said), F.lit(0))
+
+
+def with_parts(df: DataFrame, line: Column, name: str, few: int = 100_000) -> DataFrame:
+    """The rows with parts() of a line. A path depends on the classes of the words only, and lines have few different sequences of classes: each is solved once, and the rows get their tags by a join, which is a broadcast while the sequences are few."""
+    marked = df.withColumn("_looks", F.array_join(looks_of(line), " "))
+    forms = written(marked.select("_looks").distinct(), "forms")
+    solved = written(forms.withColumn("_tags", tags_of(F.filter(F.split("_looks", " "), lambda k: k != ""))), "solved-forms")
+    solved = F.broadcast(solved) if solved.count() <= few else solved
+    return marked.join(solved, "_looks").withColumn(name, parts(line, F.col("_tags"))).drop("_looks", "_tags")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pledgework.functions import addresses as A
 from pledgework.functions import validation as V
 from pledgework.operators import identity as I
 from pledgework.operators import linking as L
@@ -83,7 +84,8 @@ ADDRESS_IN = """SELECT id, CASE id % 6 WHEN 0 THEN concat(1 + id % 90, ' North M
 SELECT id, street, nullif(unit, '') AS unit, CASE WHEN street IS NOT NULL THEN concat('addr_', sha256(concat_ws('|', number, street, unit, 'SPRINGFIELD', 'IL', zip5))) END AS address_key FROM s""")
 def _(v):
     a = v.source_records.selectExpr("id", "CASE id % 6 WHEN 0 THEN concat(1 + id % 90, ' North Main Street') WHEN 1 THEN concat(1 + id % 90, ' n. main st') WHEN 2 THEN concat(1 + id % 90, ' Main Ave Apt 4b') WHEN 3 THEN 'PO Box 12' WHEN 4 THEN concat(1 + id % 90, ' Oak Road') END AS line1", "CASE WHEN id % 12 = 4 THEN 'Unit 7' END AS line2", "CASE WHEN id % 5 <> 0 THEN 'Illinois' ELSE 'il' END AS region", "concat('6', lpad(concat('', id % 1000), 4, '0'), '-1234') AS zip")
-    got = a.withColumn("x", V.address(F.col("line1"), F.col("line2"), F.lit("Springfield"), F.col("region"), F.col("zip"), F.lit(None)))
+    a = A.with_parts(a, V.both_lines(F.col("line1"), F.col("line2")), "found")
+    got = a.withColumn("x", V.address(F.col("line1"), F.col("line2"), F.lit("Springfield"), F.col("region"), F.col("zip"), F.lit(None), F.col("found")))
     return got.select("id", F.when(F.col("x.address_key").isNotNull(), F.col("x.street")).alias("street"), F.when(F.col("x.address_key").isNotNull(), F.col("x.unit")).alias("unit"), "x.address_key")
 
 
@@ -194,5 +196,6 @@ def _(v):
 @query("households_by_address", "WITH k AS (SELECT DISTINCT profile_id, concat('hh_', sha256(concat('addr_', sha256(concat_ws('|', split_part(address1, ' ', 1), 'MAIN ST', '', upper(city), 'IL', postal_code)), '|', lower(last_name)))) AS household_id FROM source_records WHERE profile_id IS NOT NULL AND address1 IS NOT NULL AND city IS NOT NULL) SELECT profile_id, household_id, count(*) OVER (PARTITION BY household_id) AS household_size FROM k")
 def _(v):
     r = v.source_records.filter("profile_id IS NOT NULL AND city IS NOT NULL")
-    keyed = r.withColumn("address_key", V.address(F.col("address1"), F.lit(None), F.col("city"), F.lit("Illinois"), F.col("postal_code"), F.lit("US"))["address_key"])
+    r = A.with_parts(r, V.both_lines(F.col("address1"), F.lit(None)), "found")
+    keyed = r.withColumn("address_key", V.address(F.col("address1"), F.lit(None), F.col("city"), F.lit("Illinois"), F.col("postal_code"), F.lit("US"), F.col("found"))["address_key"])
     return L.households_of(keyed)

@@ -29,13 +29,15 @@ CASES = {
 def test_forms_of_addresses(spark):
     rows = spark.createDataFrame([(k,) for k in CASES] + [(None,)], "line string")
     got = {r["line"]: tuple(r["p"]) for r in rows.select("line", A.parts(F.col("line")).alias("p")).collect()}
+    many = A.with_parts(rows, F.col("line"), "p").select("line", "p")
+    assert {r["line"]: tuple(r["p"]) for r in many.collect()} == got and many.columns == ["line", "p"]
     assert got.pop(None) == ("", "", "")
     assert got == CASES
 
 
 def test_the_path_is_the_cheapest(spark):
     lines = ["12 N ST APT 4", "12 1/2 HWY 9 W", "N 5 AVE # B"]
-    looks = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.transform(A.words(F.col("line")), A.look).alias("k"), F.transform(A.tagged(F.col("line")), lambda x: x["tag"]).alias("t")).collect()
+    looks = spark.createDataFrame([(x,) for x in lines], "line string").select("line", A.looks_of(F.col("line")).alias("k"), A.tags_of(A.looks_of(F.col("line"))).alias("t")).collect()
 
     def cost(kinds, tags):
         return sum(A.LOOKS[k].get(t, A.FAR) + A.STEPS[b].get(t, A.FAR) for k, b, t in zip(kinds, ["start", *tags], tags))
