@@ -65,13 +65,17 @@ class Files:
         stream = self.fs.create(part, False)
         stream.write(bytearray(text.encode()))
         stream.close()
+        return self.place_new(f"_parts/{part.getName()}", name)
+
+    def place_new(self, part: str, name: str) -> bool:
+        """Gives a written file its name, only if none has it; else the file goes."""
         to = self.path(name)
         self.fs.mkdirs(to.getParent())
         try:
-            self.context.rename(part, to, self.none)
+            self.context.rename(self.path(part), to, self.none)
             return True
         except Exception as e:
-            self.fs.delete(part, False)
+            self.fs.delete(self.path(part), False)
             if "FileAlreadyExists" in str(e):
                 return False
             raise

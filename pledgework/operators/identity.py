@@ -113,9 +113,9 @@ def lookup(asked: DataFrame, owners: DataFrame, aliases: DataFrame | None = None
         owners = owners.join(chain, "profile_id", "left").select("value", F.explode(F.array_distinct(F.array("profile_id", F.coalesce("survivor_id", "profile_id")))).alias("profile_id"))
     if active is not None:
         owners = owners.join(active.select("profile_id"), "profile_id", "left_semi")
-    known = owners.groupBy("value").agg(F.collect_set("profile_id").alias("who"))
-    n = F.coalesce(F.size("who"), F.lit(0))
-    return asked.join(known, "value", "left").select("place", "value", F.when(n == 0, "not_found").when(n == 1, "matched").otherwise("ambiguous").alias("status"), F.when(n == 1, F.element_at("who", 1)).alias("profile_id"))
+    known = owners.groupBy("value").agg(F.min("profile_id").alias("low"), F.max("profile_id").alias("high"))
+    status = F.when(F.col("low").isNull(), "not_found").when(F.col("low") == F.col("high"), "matched").otherwise("ambiguous")
+    return asked.join(known, "value", "left").select("place", "value", status.alias("status"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("profile_id"))
 
 
 #: Probabilities of agreement among matches and among others, and of a match before any evidence.

@@ -6,7 +6,7 @@ import importlib
 
 from pledgework.plans import registry
 
-MODULES = ("trait_queries", "dashboard_queries", "segment_queries", "import_queries", "identity_queries", "health_queries", "validation_queries", "reversal_queries", "feed_queries")
+MODULES = ("trait_queries", "dashboard_queries", "segment_queries", "import_queries", "identity_queries", "health_queries", "validation_queries", "reversal_queries", "feed_queries", "export_queries")
 
 
 def _load() -> None:
