@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 def consent_winner(rows: DataFrame) -> DataFrame:
     """By profile and channel: an authoritative opt-in newer than the last opt-out, else an opt-out, an opt-in, unknown; then the newest, then the largest id.
 
-    Two aggregations on one key: the last opt-out, then the best row by an ordered struct; no window.
+    One aggregate of the newest row of each kind; if any authoritative opt-in is newer than the last opt-out, then the newest of them is.
     """
-    out = rows.groupBy("profile_id", "channel").agg(F.max(F.when(F.col("status") == "opted_out", F.col("captured_at"))).alias("last_out"), F.collect_list(F.struct("captured_at", "id", "status", "authoritative", "source_id")).alias("all"))
-
-    def rank(r, last):
-        strong = (r["status"] == "opted_in") & r["authoritative"] & (last.isNull() | (r["captured_at"] > last))
-        return F.when(strong, 3).when(r["status"] == "opted_out", 2).when(r["status"] == "opted_in", 1).otherwise(0)
-
-    best = F.array_max(F.transform("all", lambda r: F.struct(rank(r, F.col("last_out")).alias("rank"), r["captured_at"].alias("captured_at"), r["id"].alias("id"), r["status"].alias("status"), r["source_id"].alias("source_id"))))
-    return out.select("profile_id", "channel", best.alias("b")).select("profile_id", "channel", "b.status", "b.source_id", "b.captured_at")
+    row, said = F.struct("captured_at", "id", "status", "source_id"), F.col("status")
+    newest = lambda test: F.max(F.when(test, row))
+    kinds = rows.groupBy("profile_id", "channel").agg(newest((said == "opted_in") & F.col("authoritative")).alias("strong"), newest(said == "opted_out").alias("out"), newest(said == "opted_in").alias("in"), newest(said.isNull() | ~said.isin("opted_in", "opted_out")).alias("other"))
+    last = F.col("out.captured_at")
+    best = F.coalesce(F.when(last.isNull() | (F.col("strong.captured_at") > last), F.col("strong")), F.col("out"), F.col("in"), F.col("other"))
+    return kinds.select("profile_id", "channel", best.alias("b")).select("profile_id", "channel", "b.status", "b.source_id", "b.captured_at")
 
 
 def candidate_wins(old: tuple[str, int, bool] | None, new: tuple[str, int, bool]) -> bool:

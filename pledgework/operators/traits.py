@@ -23,21 +23,32 @@ def gift_base(gifts: DataFrame, profiles: DataFrame, as_of: dt.date) -> DataFram
     return gifts.filter(F.col("gift_date").isNull() | (F.col("gift_date") <= F.lit(as_of))).join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi")
 
 
-def gift_rollup(base: DataFrame, as_of: dt.date) -> DataFrame:
-    """A2-A5: one pass of conditional aggregates by profile."""
-    kept, year = ~F.col("is_refund"), F.col("gift_date").between(days(364, as_of), F.lit(as_of))
-    recent = F.col("is_recurring") & kept & F.col("gift_date").between(days(44, as_of), F.lit(as_of))
-    return base.groupBy("profile_id").agg(
-        F.count_if(kept).alias("gift_count_total"),
-        F.count_if(kept & year).alias("gift_count_12m"),
-        F.sum("amount").cast(MONEY).alias("ltv_total"),
-        F.coalesce(F.sum(F.when(year, F.col("amount"))), F.lit(0)).cast(MONEY).alias("gift_amount_12m"),
-        F.min(F.when(kept, F.col("gift_date"))).alias("first_gift_date"),
-        F.max(F.when(kept, F.col("gift_date"))).alias("last_gift_date"),
-        F.max(F.when(kept, F.col("amount"))).cast(MONEY).alias("largest_gift_amount"),
-        F.avg(F.when(kept, F.col("amount"))).cast(MONEY).alias("avg_gift_amount"),
+def gift_days(base: DataFrame) -> DataFrame:
+    """Gifts by profile and day, undated ones as one day: what a profile's row needs is bounded by days, however many gifts it has, and rows are added up before they are sent."""
+    kept = ~F.col("is_refund")
+    own = F.when(kept, F.col("amount"))
+    return base.groupBy("profile_id", "gift_date").agg(F.count_if(kept).alias("n"), F.sum("amount").alias("total"), F.sum(own).alias("given"), F.max(own).alias("largest"), F.coalesce(F.bool_or(F.col("is_recurring") & kept), F.lit(False)).alias("recurring"))
+
+
+def gift_rollup(days_of: DataFrame, as_of: dt.date) -> DataFrame:
+    """Conditional aggregates over gift_days() by profile; the gift before the newest dated one that isn't a refund is the same day's if that day has several."""
+    year, had = F.col("gift_date").between(days(364, as_of), F.lit(as_of)), F.col("n") > 0
+    recent = F.col("recurring") & F.col("gift_date").between(days(44, as_of), F.lit(as_of))
+    newest = F.slice(F.sort_array(F.collect_list(F.when(had & F.col("gift_date").isNotNull(), F.struct("gift_date", "n"))), asc=False), 1, 2)
+    rolled = days_of.groupBy("profile_id").agg(
+        F.sum("n").alias("gift_count_total"),
+        F.coalesce(F.sum(F.when(year, F.col("n"))), F.lit(0)).alias("gift_count_12m"),
+        F.sum("total").cast(MONEY).alias("ltv_total"),
+        F.coalesce(F.sum(F.when(year, F.col("total"))), F.lit(0)).cast(MONEY).alias("gift_amount_12m"),
+        F.min(F.when(had, F.col("gift_date"))).alias("first_gift_date"),
+        F.max(F.when(had, F.col("gift_date"))).alias("last_gift_date"),
+        F.max("largest").cast(MONEY).alias("largest_gift_amount"),
+        F.try_divide(F.sum("given"), F.sum("n")).cast(MONEY).alias("avg_gift_amount"),
         F.coalesce(F.bool_or(recent), F.lit(False)).alias("is_recurring_active"),
+        newest.alias("newest"),
     )
+    two = F.col("newest")
+    return rolled.withColumn("previous_gift_date", F.when(F.try_element_at(two, F.lit(1))["n"] > 1, two[0]["gift_date"]).otherwise(F.try_element_at(two, F.lit(2))["gift_date"])).drop("newest")
 
 
 def status_of(first: Column, last: Column, previous: Column, at: Column) -> Column:
@@ -53,17 +64,11 @@ def status_of(first: Column, last: Column, previous: Column, at: Column) -> Colu
     )
 
 
-def latest_gap(base: DataFrame) -> DataFrame:
-    """The gift before the newest dated one that isn't a refund: the two newest of each profile, without a window sort."""
-    newest = F.slice(F.sort_array(F.collect_list(F.struct("gift_date", "id")), asc=False), 1, 2)
-    return base.filter(F.col("gift_date").isNotNull() & ~F.col("is_refund")).groupBy("profile_id").agg(newest.alias("two")).select("profile_id", F.try_element_at("two", F.lit(2))["gift_date"].alias("previous_gift_date"))
-
-
 def giving_traits(profiles: DataFrame, gifts: DataFrame, as_of: dt.date) -> DataFrame:
     """A2-A8 for every active profile; profiles without gifts are prospects."""
     base = gift_base(gifts, profiles, as_of)
     ids = profiles.select(F.col("id").alias("profile_id"))
-    rolled = ids.join(gift_rollup(base, as_of), "profile_id", "left").join(latest_gap(base), "profile_id", "left")
+    rolled = ids.join(gift_rollup(gift_days(base), as_of), "profile_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint" if "count" in c else MONEY) for c in ("gift_count_total", "gift_count_12m", "ltv_total", "gift_amount_12m")}
     at = F.lit(as_of)
     return rolled.withColumns(zero | {"is_recurring_active": F.coalesce("is_recurring_active", F.lit(False)), "days_since_last_gift": F.datediff(at, F.col("last_gift_date")), "donor_status": status_of(F.col("first_gift_date"), F.col("last_gift_date"), F.col("previous_gift_date"), at)})
@@ -87,14 +92,17 @@ def tile(rank: Column, rows: int, tiles: int = 5) -> Column:
 
 
 def rfm(traits: DataFrame) -> DataFrame:
-    """Quintiles over donors, 5 the best; others get nulls."""
+    """Quintiles over donors, 5 the best; others get nulls. The three measures are ranked by one range sort, each after the one before: they have a row a donor, so a place in a measure is the place less the rows of those before."""
     donors = written(traits.filter("gift_count_total > 0").select("profile_id", "days_since_last_gift", "gift_count_total", "ltv_total"), "donors")
     n = donors.count()
-    ranked = donors
-    for name, by in (("rfm_recency", F.asc_nulls_last("days_since_last_gift")), ("rfm_frequency", F.desc("gift_count_total")), ("rfm_monetary", F.desc("ltv_total"))):
-        ranked = global_rank(ranked, f"_{name}", by, F.asc("profile_id")).withColumn(name, (6 - tile(F.col(f"_{name}"), n)).cast("int")).drop(f"_{name}")
-    scores = ranked.select("profile_id", "rfm_recency", "rfm_frequency", "rfm_monetary").withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("rfm_recency", "rfm_frequency", "rfm_monetary")]))
-    return traits.select("profile_id").join(scores, "profile_id", "left")
+    key = lambda c: c.cast("decimal(22,2)").alias("key")
+    undated = F.coalesce("days_since_last_gift", F.lit(2**31 - 1))  # the last
+    measures = F.array(*[F.struct(F.lit(i).alias("measure"), key(c)) for i, c in enumerate((undated, -F.col("gift_count_total"), -F.col("ltv_total")))])
+    ranked = global_rank(donors.select("profile_id", F.inline(measures)), "place", F.asc("measure"), F.asc("key"), F.asc("profile_id"))
+    tiled = ranked.select("profile_id", "measure", (6 - tile(F.col("place") - F.col("measure").cast("long") * F.lit(n), n)).cast("int").alias("tile"))
+    names = ("rfm_recency", "rfm_frequency", "rfm_monetary")
+    scores = tiled.groupBy("profile_id").agg(*[F.max(F.when(F.col("measure") == i, F.col("tile"))).alias(name) for i, name in enumerate(names)])
+    return traits.select("profile_id").join(scores.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in names])), "profile_id", "left")
 
 
 def event_rollup(profiles: DataFrame, events: DataFrame, as_of: dt.date, video: tuple[str, ...] = ("Video Watched", "vod_viewed")) -> DataFrame:
@@ -150,19 +158,20 @@ def month_spine(as_of: dt.date, months: int = 24) -> list[tuple[dt.date, dt.date
 
 
 def backfill(profiles: DataFrame, gifts: DataFrame, as_of: dt.date, months: int = 24) -> DataFrame:
-    """Status at each month's end. Gifts are gathered once a profile; the months are array functions over them, so no range join is made."""
-    dated = gifts.filter(F.col("gift_date").isNotNull() & (F.col("gift_date") <= F.lit(as_of))).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("gift_date", "id", "amount", "is_refund"))).alias("g"))
+    """Status at each month's end. A profile's days with gifts are gathered once, not more than there are days; the months are array functions over them, so no range join is made."""
+    dated = gift_days(gifts.filter(F.col("gift_date").isNotNull() & (F.col("gift_date") <= F.lit(as_of)))).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("gift_date", "n", (F.col("total") * 100).cast("bigint").alias("cents")))).alias("g"))
     at = profiles.select(F.col("id").alias("profile_id")).join(dated, "profile_id", "left").withColumn("g", F.coalesce("g", F.array().cast(dated.schema["g"].dataType)))
     spine = F.array(*[F.struct(F.lit(m).alias("month"), F.lit(e).alias("month_end")) for m, e in month_spine(as_of, months)])
     rows = at.withColumn("m", F.explode(spine)).select("profile_id", "m.month", "m.month_end", F.filter("g", lambda x: x["gift_date"] <= F.col("m.month_end")).alias("g"))
-    kept = F.filter("g", lambda x: ~x["is_refund"])
-    total = lambda a: F.aggregate(a, F.lit(0).cast("decimal(24,2)"), lambda acc, x: (acc + x["amount"]).cast("decimal(24,2)"))
-    rows = rows.withColumn("kept", kept).select(
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x["cents"])
+    last = F.try_element_at("kept", F.lit(-1))
+    rows = rows.withColumn("kept", F.filter("g", lambda x: x["n"] > 0)).select(
         "month", "month_end", total(F.col("g")).alias("ltv"), total(F.filter("g", lambda x: x["gift_date"] >= F.date_sub("month_end", 364))).alias("year"),
-        F.try_element_at("kept", F.lit(1))["gift_date"].alias("first"), F.try_element_at("kept", F.lit(-1))["gift_date"].alias("last"), F.when(F.size("kept") > 1, F.try_element_at("kept", F.lit(-2))["gift_date"]).alias("previous"),
+        F.try_element_at("kept", F.lit(1))["gift_date"].alias("first"), last["gift_date"].alias("last"), F.when(last["n"] > 1, last["gift_date"]).otherwise(F.try_element_at("kept", F.lit(-2))["gift_date"]).alias("previous"),
     )
     status = status_of(F.col("first"), F.col("last"), F.col("previous"), F.col("month_end"))
-    return rows.groupBy("month", status.alias("donor_status")).agg(F.count("*").alias("profile_count"), F.sum("ltv").cast(MONEY).alias("ltv_sum"), F.sum("year").cast(MONEY).alias("giving_12m_sum"))
+    money = lambda cents: (F.sum(F.col(cents).cast("decimal(20,0)")) / 100).cast(MONEY)
+    return rows.groupBy("month", status.alias("donor_status")).agg(F.count("*").alias("profile_count"), money("ltv").alias("ltv_sum"), money("year").alias("giving_12m_sum"))
 
 
 def unreturned(events: DataFrame, donation: str, returned: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pledgework.operators.rollups import month_shift
+from pledgework.operators.scratch import written
 from pledgework.operators.traits import global_rank
 from pledgework.segments.ast import GIFT_WHERE, RESOURCES, SegmentError, validate, value_of, window_of
 
@@ -290,7 +291,7 @@ class Compiler:
 
 def top_share(traits: DataFrame, profiles: DataFrame, percent: int = 5) -> DataFrame:
     """The profiles with the highest twelve months' giving, ties included, of all with any."""
-    given = traits.filter("gift_amount_12m > 0").join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").select("profile_id", "gift_amount_12m")
+    given = written(traits.filter("gift_amount_12m > 0").join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").select("profile_id", "gift_amount_12m"), "given")
     n = given.count()
     kept = -(-n * percent // 100)
     # rank <= kept holds from the kept-th largest amount up; it is found by an exact distributed row number
