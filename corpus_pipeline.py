@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pledgework.llm import jaccard, mixing, packing, secrets, toxicity
-from pledgework.llm.common import materialize
+from pledgework.llm.common import materialize, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
+            release(read)
     return docs

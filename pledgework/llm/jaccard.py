@@ -8,7 +8,7 @@ threshold needs; surviving pairs are verified on the sets themselves, in the tas
 The corpus is dealt to R-trees so that no link is lost: two sets of similarity s share one of the
 least-hashed (1 - s) parts of their shingles, so each such shingle is a bucket.
 1. Documents with equal sets collapse into a class (a group-by on a 128-bit hash of the set).
-   Shingles that a bounded sample shows to be common come last in that order, which changes costs only.
+   Shingles that a sample shows to be common come last in that order, which changes costs only.
 2. A cheap first pass links most near copies: classes that share a min-hash (MINHASHES of them) are compared
    with the first class of their bucket. Groups of copies, however large, become one component here, and
    each comparison is a row of a join, not a pair of a group.
@@ -39,15 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pledgework.llm.common import Columns, broadcast_if_small, map_slices, materialize
+from pledgework.llm.common import Columns, broadcast_if_small, map_slices, materialize, release
 
 WORDS = 5
 PERCENT = 80
 #: (least size of a set, groups of its point); finer groups refine the coarser.
 GROUPS = ((0, 64), (150, 256), (800, 1024))
 MINHASHES = 4
-#: Shingles that come in COMMON of the sampled documents, one in SAMPLE_SHARE and at most SAMPLE_ROWS, go to the end of the order in which prefixes are taken, the MOST_COMMON commonest of them. Any order finds every link; this one keeps shared passages out of the prefixes.
-SAMPLE_SHARE, SAMPLE_ROWS, COMMON, MOST_COMMON = 8, 40_000, 3, 500_000
+#: Shingles that come in COMMON of the sampled documents, one in SAMPLE_SHARE whatever the size of the table, go to the end of the order in which prefixes are taken. Any order finds every link; this one keeps shared passages out of the prefixes.
+SAMPLE_SHARE, COMMON = 8, 3
+#: They are known by a bit each of 2 ** PLACES bits. Others that fall on the same bit go to the end too.
+PLACES = 27
 #: A group is cut into BLOCKS blocks, of at least and at most so many shingles.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8, 256_000, 2_000_000
 #: Lists of ids up to so many rows (16 bytes each) are broadcast, longer ones shuffled.
@@ -144,27 +146,29 @@ class CountTree:
         return at[bound >= needed(self.sizes[at], n, self.percent)]
 
 
-def common_shingles(docs: DataFrame, words: int = WORDS, sample_rows: int = SAMPLE_ROWS, least: int = COMMON) -> np.ndarray:
-    """Sorted hashes of the sample's shingles that least documents have; at most MOST_COMMON."""
-    share = min(1 / SAMPLE_SHARE, sample_rows / max(1, docs.count()))
-    part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_000)) < int(1_000_000_000 * share))
+def common_shingles(docs: DataFrame, words: int = WORDS, share: int = SAMPLE_SHARE, least: int = COMMON) -> np.ndarray:
+    """Bits, 64 a number, of the shingles that least documents of the sample, one in share, have."""
+    part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(share)) == 0)
 
     def make():
         return lambda batch: Columns(sig=np.concatenate([shingles(t, words).view(np.int64) for t in batch["text"].to_pylist()]))
 
-    rows = map_slices(part.select("text").distinct(), make, "sig long").groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "sig").limit(MOST_COMMON)
-    return np.sort(rows.select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64))
+    rows = map_slices(part.select("text").distinct(), make, "sig long").groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    # the hash's high bits say the number, its low ones the bit: no more rows than numbers come to the driver
+    bit = F.expr("shiftleft(1L, CAST(sig & 63 AS INT))")
+    numbers = materialize(rows.groupBy(F.shiftrightunsigned("sig", 70 - PLACES).alias("at")).agg(F.bit_or(bit).alias("bits")), "common").toPandas()
+    bits = np.zeros(1 << (PLACES - 6), np.uint64)
+    bits[numbers["at"].to_numpy(np.int64)] = numbers["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
 
 
-def is_in(found: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    if not len(listed):
-        return np.zeros(len(found), bool)
-    return listed[np.minimum(np.searchsorted(listed, found), len(listed) - 1)] == found
+def is_in(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bits[(found >> np.uint64(70 - PLACES)).astype(np.int64)] >> (found & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, last: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n, set_hash, minhashes, prefix, point: what the join needs of each text. Prefixes are taken by hash, the shingles in last after all others."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64) if last is None else last)
+    """doc_id, n, set_hash, minhashes, prefix, point: what the join needs of each text. Prefixes are taken by hash, those with a bit in last after all others."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << (PLACES - 6), np.uint64) if last is None else last)
 
     def make():
         last = shared.value
@@ -417,26 +421,34 @@ def across(tasks: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     signed = materialize(signatures(docs, words, percent, common_shingles(docs, words)), "signed")
+    named = materialize(signed.select("doc_id", "n", "set_hash"), "named")
     groups = materialize(signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "groups")
+    # rows that are no class of their own are few, as a rule: their names are sent, not the signatures
     chosen = groups.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "set_hash")
-    classes = signed.join(chosen.hint("merge"), ["doc_id", "set_hash"], "left_semi").withColumnRenamed("doc_id", "rep")
+    member = "n > 0 AND doc_id IS NOT NULL"
+    others = materialize(named.filter(member).select("doc_id", "set_hash").join(chosen.hint("merge"), ["doc_id", "set_hash"], "left_anti").distinct(), "others")
+    classes = signed.filter(member).join(broadcast_if_small(others, others.count(), SMALL // 4), ["doc_id", "set_hash"], "left_anti").withColumnRenamed("doc_id", "rep")
     # a class has one row, however often its text came
-    several = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("rows > 1")
+    several = named.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("rows > 1")
     several = materialize(several, "repeated-ids")
     first = docs.sparkSession.createDataFrame([], "a long, b long")
     if several.limit(1).count():
         classes = classes.dropDuplicates(["rep", "set_hash"])
-        rows = signed.join(several.filter("lo < hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_hash").join(groups, "set_hash")
+        rows = named.join(several.filter("lo < hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_hash").join(groups, "set_hash")
         first = materialize(rows.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same-id-links")
     classes = materialize(classes.select("rep", "n", "minhashes", "prefix", "point"), "classes")
+    release(signed)
     first = materialize(verified(bounded(near_first(classes), classes, percent), docs, words, percent).unionByName(first), "first-links")
     labels = components(first)
-    tasks = materialize(search(blocks_of(anchored(classes, labels)), classes, percent), "tasks")
+    met = anchored(classes, labels)
+    tasks = materialize(search(blocks_of(met), classes, percent), "tasks")
+    release(classes)
+    release(met)
     more = materialize(across(tasks, docs, words, percent), "more-links")
     if more.limit(1).count():
         labels = components(first.unionByName(more))
-    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
-    return signed.select("doc_id", "n", "set_hash").join(named.hint("merge"), "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
+    return named.join(found.hint("merge"), "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
