@@ -78,3 +78,20 @@ def test_rounds_equal_the_pass_by_score(spark):
 def test_no_pairs(spark):
     none = spark.createDataFrame([], "l long, r long, probability double")
     assert M.greedy(none, spark.createDataFrame([], "profile_id long, kind string, value string"), spark.createDataFrame([], "profile_id long, master_id string")).collect() == []
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_made_once_and_never_sent(spark):
+    rows = [(i, ("Ann", "Anne", "", None, "Bob")[i % 5], f"Lee{i % 3}", f"{i % 4}", (None, f"+1{i % 6}")[i % 2], (None, f"{i % 5} Main")[i % 3 > 0]) for i in range(60)]
+    people = spark.createDataFrame(rows, "id long, first_name string, last_name string, postal_code string, phone string, address1 string")
+    blocks = (("address1", "postal_code"), ("phone",), ("last_name", "postal_code"))
+    for chunk in (5, 1000):
+        got = sorted(tuple(sorted((r["a"], r["b"]))) for r in M.first_met(people, blocks, chunk).selectExpr("l.id AS a", "r.id AS b").collect())
+        named = [dict(zip(people.columns, r)) for r in rows]
+        shared = lambda x, y: any(all(x[c] is not None and x[c] == y[c] for c in block) for block in blocks)
+        assert got == [(x["id"], y["id"]) for x in named for y in named if x["id"] < y["id"] and shared(x, y)]
+    plan = plan_of(I.match_pairs(people))
+    assert plan.count("Join") - plan.count("Join LeftOuter") == len(blocks) and "Aggregate" not in plan and "Distinct" not in plan
