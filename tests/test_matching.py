@@ -33,6 +33,14 @@ def test_a_block_of_a_hundred_thousand_spreads_evenly(spark):
     assert right.count() + left.count() == dealt.filter("id % 50 = 0").count() * 201
 
 
+def test_people_of_a_common_block_are_sent_once_a_side(spark):
+    """1,500 people of one block: all pairs, from 3,000 rows."""
+    people = spark.range(1500).withColumn("block", F.lit("hot"))
+    left, right = M.cells(M.chunked(people, ("block",), M.MEET), ("block",))
+    assert left.count() + right.count() == 3000
+    assert M.first_met(people, (("block",),)).count() == 1500 * 1499 // 2
+
+
 def test_long_names_are_no_fuzzy_matches(spark):
     rows = [(1, "a" * 300, "Lee", "1", "p", "s"), (2, "a" * 299 + "b", "Lee", "1", "p", "s"), (3, "A" * 300, "Lee", "1", "p", "s")]
     got = {(r["l"], r["r"]): r["weight"] for r in I.match_pairs(spark.createDataFrame(rows, "id long, first_name string, last_name string, postal_code string, phone string, address1 string")).collect()}
