@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pledgework.operators.scratch import written
 
 MONEY = "decimal(18,2)"
+#: Gifts up to which shuffles are left to adaptive execution, and gifts a task beyond.
+MANY, EACH = 2_000_000, 50_000
 STATUSES = ("prospect", "new", "reactivated", "active", "lapsing", "lapsed")
 
 
@@ -30,6 +32,13 @@ def gift_days(base: DataFrame) -> DataFrame:
     return base.groupBy("profile_id", "gift_date").agg(F.count_if(kept).alias("n"), F.sum("amount").alias("total"), F.sum(own).alias("given"), F.max(own).alias("largest"), F.coalesce(F.bool_or(F.col("is_recurring") & kept), F.lit(False)).alias("recurring"))
 
 
+def spread(gifts: DataFrame) -> DataFrame:
+    """Very many gifts are dealt by profile to a number of tasks that grows with them. Adaptive execution joins partitions by their compressed bytes, up to one a core, so what a task adds up, gathers and sorts would grow with the table."""
+    rows = gifts.count()
+    least = int(gifts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # joins take over a number of at least this many
+    return gifts.repartition(max(least, -(-rows // EACH)), "profile_id") if rows > MANY else gifts
+
+
 def gift_rollup(days_of: DataFrame, as_of: dt.date) -> DataFrame:
     """Conditional aggregates over gift_days() by profile; the gift before the newest dated one that isn't a refund is the same day's if that day has several."""
     year, had = F.col("gift_date").between(days(364, as_of), F.lit(as_of)), F.col("n") > 0
@@ -66,9 +75,9 @@ def status_of(first: Column, last: Column, previous: Column, at: Column) -> Colu
 
 def giving_traits(profiles: DataFrame, gifts: DataFrame, as_of: dt.date) -> DataFrame:
     """A2-A8 for every active profile; profiles without gifts are prospects."""
-    base = gift_base(gifts, profiles, as_of)
-    ids = profiles.select(F.col("id").alias("profile_id"))
-    rolled = ids.join(gift_rollup(gift_days(base), as_of), "profile_id", "left")
+    known = gifts.filter(F.col("gift_date").isNull() | (F.col("gift_date") <= F.lit(as_of)))
+    ids = profiles.select(F.col("id").alias("profile_id"))  # the join with them leaves out gifts of others
+    rolled = ids.join(gift_rollup(gift_days(spread(known)), as_of), "profile_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint" if "count" in c else MONEY) for c in ("gift_count_total", "gift_count_12m", "ltv_total", "gift_amount_12m")}
     at = F.lit(as_of)
     return rolled.withColumns(zero | {"is_recurring_active": F.coalesce("is_recurring_active", F.lit(False)), "days_since_last_gift": F.datediff(at, F.col("last_gift_date")), "donor_status": status_of(F.col("first_gift_date"), F.col("last_gift_date"), F.col("previous_gift_date"), at)})
@@ -159,7 +168,7 @@ def month_spine(as_of: dt.date, months: int = 24) -> list[tuple[dt.date, dt.date
 
 def backfill(profiles: DataFrame, gifts: DataFrame, as_of: dt.date, months: int = 24) -> DataFrame:
     """Status at each month's end. A profile's days with gifts are gathered once, not more than there are days; the months are array functions over them, so no range join is made."""
-    dated = gift_days(gifts.filter(F.col("gift_date").isNotNull() & (F.col("gift_date") <= F.lit(as_of)))).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("gift_date", "n", (F.col("total") * 100).cast("bigint").alias("cents")))).alias("g"))
+    dated = gift_days(spread(gifts.filter(F.col("gift_date").isNotNull() & (F.col("gift_date") <= F.lit(as_of))))).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("gift_date", "n", (F.col("total") * 100).cast("bigint").alias("cents")))).alias("g"))
     at = profiles.select(F.col("id").alias("profile_id")).join(dated, "profile_id", "left").withColumn("g", F.coalesce("g", F.array().cast(dated.schema["g"].dataType)))
     spine = F.array(*[F.struct(F.lit(m).alias("month"), F.lit(e).alias("month_end")) for m, e in month_spine(as_of, months)])
     rows = at.withColumn("m", F.explode(spine)).select("profile_id", "m.month", "m.month_end", F.filter("g", lambda x: x["gift_date"] <= F.col("m.month_end")).alias("g"))

@@ -32,6 +32,17 @@ def test_days_give_what_gifts_gave(spark):
         assert r["is_recurring_active"] == any(g[5] and g[3] and g[3] >= DAY - dt.timedelta(44) for g in own)
 
 
+def test_very_many_gifts_are_dealt_to_more_tasks_with_the_same_traits(spark, monkeypatch):
+    """The tasks that add up and gather a profile's days are as many as the gifts ask for, which adaptive execution doesn't reduce."""
+    gifts = spark.range(400).selectExpr("id", "id % 60 AS profile_id", "CAST(id % 9 AS decimal(14,2)) AS amount", "date_sub(DATE '2024-12-31', CAST(id % 700 AS int)) AS gift_date", "id % 7 = 0 AS is_refund", "id % 3 = 0 AS is_recurring")
+    people = spark.range(50)
+    want = sorted(map(tuple, T.giving_traits(people, gifts, DAY).collect()))
+    monkeypatch.setattr(T, "MANY", 100)
+    monkeypatch.setattr(T, "EACH", 1)
+    assert T.gift_rollup(T.gift_days(T.spread(gifts)), DAY).rdd.getNumPartitions() == 400
+    assert sorted(map(tuple, T.giving_traits(people, gifts, DAY).collect())) == want
+
+
 def test_quintiles_against_a_plain_ranking(spark):
     chance = random.Random(5)
     rows = [(i, chance.choice([None, 1, 2, 3, 50]), chance.randrange(0, 4), Decimal(chance.randrange(-5, 30))) for i in range(83)]
