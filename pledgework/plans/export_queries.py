@@ -27,13 +27,13 @@ NOW = f"{TR}one AS ({LHV}), two AS (SELECT id AS profile_id FROM profiles WHERE
 
 @query("seg_refresh_members", f"{NOW} SELECT CAST(segment_id AS BIGINT) AS segment_id, profile_id FROM cur")
 def _(v):
-    return lifecycle.stacked(lifecycle.compiled(KNOWN, [3], context(v)), v.spark)
+    return lifecycle.stacked(lifecycle.compiled(KNOWN, [3], context(v), cut=True), v.spark)
 
 
 @query("seg_refresh_counts", f"{NOW}, old AS (SELECT 1 + id % 3 AS segment_id, id AS profile_id FROM profiles) SELECT CAST(coalesce(c.segment_id, o.segment_id) AS BIGINT) AS segment_id, count(c.profile_id) AS members, count(*) FILTER (WHERE o.profile_id IS NULL) AS added, count(*) FILTER (WHERE c.profile_id IS NULL) AS removed FROM cur c FULL JOIN old o ON o.segment_id = c.segment_id AND o.profile_id = c.profile_id GROUP BY 1")
 def _(v):
     old = v.profiles.selectExpr("CAST(1 + id % 3 AS BIGINT) AS segment_id", "id AS profile_id")
-    return lifecycle.counted(old, lifecycle.stacked(lifecycle.compiled(KNOWN, [3], context(v)), v.spark))
+    return lifecycle.counted(old, lifecycle.stacked(lifecycle.compiled(KNOWN, [3], context(v), cut=True), v.spark))
 
 
 FULL = f"{TRAITS}, {RFM}, {EVENTS}, {KEYS}, {LAST}, full_traits AS (SELECT t.*, rfm_recency, rfm_frequency, rfm_monetary, rfm_score, event_count_30d, last_event_at, video_views_30d, nullif(len(source_keys), 0) AS source_keys, last_engagement_channel FROM traits t LEFT JOIN rfm USING (profile_id) LEFT JOIN ev USING (profile_id) LEFT JOIN ks USING (profile_id) LEFT JOIN le USING (profile_id))"

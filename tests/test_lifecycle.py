@@ -122,3 +122,11 @@ def test_a_month_opens_with_everyone(spark):
     assert {r["donor_status"] for r in month_rows(traits, DAY, past, waiting).collect()} == {"new", "lapsed"}
     assert {r["donor_status"] for r in month_rows(traits, dt.date(2024, 11, 5), past, waiting).collect()} == {"lapsed"}
     assert month_rows(traits, DAY, past, people).collect() == []
+
+
+def test_queries_of_a_refresh_make_each_audience_once(spark):
+    """What is stacked are tables: an audience that others read isn't planned again inside them."""
+    from pledgework.plans import catalog
+
+    plan = catalog.queries()["seg_refresh_members"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Relation [") == 3
