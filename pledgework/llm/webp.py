@@ -16,8 +16,6 @@ format raises ValueError.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import itertools
 import zlib
 
 import numpy as np
@@ -63,15 +61,24 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         return lengths
     weights = counts[symbols].tolist()
     while True:
+        # leaves by weight and inner nodes, which come by weight, are two queues; of equal weights the leaf comes first
         n = len(weights)
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
+        leaves = sorted(range(n), key=weights.__getitem__)
+        own = [weights[i] for i in leaves] + [1 << 62] * 2
+        inner = [1 << 62] * (n + 1)
         parent = [0] * (2 * n - 1)
-        for node in range(n, 2 * n - 1):
-            w, a = heapq.heappop(heap)
-            v, b = heap[0]
-            parent[a] = parent[b] = node
-            heapq.heapreplace(heap, (w + v, node))
+        i = j = 0
+        for made in range(n - 1):
+            if own[i] <= inner[j]:
+                w, a, i = own[i], leaves[i], i + 1
+            else:
+                w, a, j = inner[j], n + j, j + 1
+            if own[i] <= inner[j]:
+                v, b, i = own[i], leaves[i], i + 1
+            else:
+                v, b, j = inner[j], n + j, j + 1
+            parent[a] = parent[b] = n + made
+            inner[made] = w + v
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -85,7 +92,7 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes with their bits reversed, as they stand in the file."""
     used = np.flatnonzero(lengths)
-    order = used[np.lexsort((used, lengths[used]))]
+    order = used[np.argsort(lengths[used], kind="stable")]
     codes = np.zeros(len(lengths), np.int64)
     if len(order) < 2:
         return codes
@@ -104,7 +111,7 @@ def lookup(lengths: np.ndarray) -> tuple[np.ndarray, int]:
         raise ValueError("a prefix code without symbols")
     if len(used) == 1:
         return np.array([used[0] * 16], np.int32), 0
-    order = used[np.lexsort((used, lengths[used]))]
+    order = used[np.argsort(lengths[used], kind="stable")]
     own = lengths[order]
     top = int(own.max())
     table = np.repeat(order * 16 + own, 1 << (top - own))
@@ -223,7 +230,7 @@ def _value(window: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """A length or distance of its prefix symbol and the bits that follow, and how many those are."""
     extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
     low = np.where(symbol < 4, symbol, (2 + (symbol & 1)) << extra)
-    return low + (window.astype(np.int64) & ((1 << extra) - 1)) + 1, extra
+    return low + (window.view(np.int64) & ((1 << extra) - 1)) + 1, extra
 
 
 def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
@@ -244,13 +251,13 @@ def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
     starts_of = dict(zip(tables, np.concatenate(([0], np.cumsum([len(t) for t in tables.values()])[:-1])).tolist()))
     offsets = np.array([starts_of[id(t)] for codes in every for t, _ in codes], np.int64).reshape(-1, 5)
     masks = np.array([(1 << b) - 1 for codes in every for _, b in codes], np.int64).reshape(-1, 5)
-    table = np.concatenate(list(tables.values()))
+    table = np.concatenate(list(tables.values())).astype(np.int64)  # one type for all of a step; views, not copies, where a shift needs unsigned
     out_at = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
     out = np.zeros(int(n.sum()), np.uint32)
     cache_bits = np.array([j.cache_bits for j in own], np.int64)
     cache_at = np.concatenate(([0], np.cumsum([1 << j.cache_bits for j in own])[:-1])).astype(np.int64)
     cache = np.zeros(int(cache_at[-1]) + (1 << own[-1].cache_bits), np.uint32)
-    any_cache, shifts = bool(cache_bits.any()), (32 - cache_bits).astype(np.uint64)
+    any_cache, shifts = bool(cache_bits.any()), (32 - cache_bits).astype(np.uint32)
     widths = np.array([j.width for j in own], np.int64)
     mapped = [k for k, j in enumerate(own) if j.groups_at is not None]
     group = first_group.copy()
@@ -278,26 +285,26 @@ def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
         else:
             p, g, gm = pos[fresh], og[fresh], mg[fresh]
         if len(p):
-            window = words[p >> 3] >> (p & 7).astype(np.uint64)
-            entry = table[g + (window.astype(np.int64) & gm)]
-            symbol, size = entry >> 4, (entry & 15).astype(np.int64)
+            window = words[p >> 3] >> (p & 7).view(np.uint64)
+            entry = table[g + (window.view(np.int64) & gm)]
+            symbol, size = entry >> 4, entry & 15
             literal = symbol < 256
             if literal.all():
                 which = fresh
             else:
                 base = np.arange(k) if fresh is None else fresh
                 which = base[literal]
-                other, sym, win = base[~literal], symbol[~literal], (window >> size.astype(np.uint64))[~literal]
+                other, sym, win = base[~literal], symbol[~literal], (window >> size.view(np.uint64))[~literal]
                 at = p[~literal] + size[~literal]
                 run = sym < 280
                 if run.any():
                     w = other[run]
-                    count, extra = _value(win[run], sym[run].astype(np.int64) - 256)
+                    count, extra = _value(win[run], sym[run] - 256)
                     q = at[run] + extra
-                    win2 = words[q >> 3] >> (q & 7).astype(np.uint64)
-                    e = table[od[w] + (win2.astype(np.int64) & md[w])]
-                    bits = (e & 15).astype(np.int64)
-                    code, extra = _value(win2 >> bits.astype(np.uint64), (e >> 4).astype(np.int64))
+                    win2 = words[q >> 3] >> (q & 7).view(np.uint64)
+                    e = table[od[w] + (win2.view(np.int64) & md[w])]
+                    bits = e & 15
+                    code, extra = _value(win2 >> bits.view(np.uint64), e >> 4)
                     near = np.minimum(code, 120) - 1
                     dist = np.where(code > 120, code - 120, np.maximum(1, NEAR_X[near] + NEAR_Y[near] * widths[w]))
                     if (dist > t).any() or (count > n[w] - t).any():
@@ -313,19 +320,19 @@ def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
                     window, symbol, size, p = window[literal], symbol[literal], size[literal], p[literal]
             if which is None or len(which):
                 lr, lm = (orr[:k], mr[:k]) if which is None else (orr[which], mr[which])
-                window = window >> size.astype(np.uint64)
-                e = table[lr + (window.astype(np.int64) & lm)]
-                red, bits = e >> 4, (e & 15).astype(np.int64)
+                window = window >> size.view(np.uint64)
+                e = table[lr + (window.view(np.int64) & lm)]
+                red, bits = e >> 4, e & 15
                 p = p + size + bits
-                window = words[p >> 3] >> (p & 7).astype(np.uint64)
+                window = words[p >> 3] >> (p & 7).view(np.uint64)
                 lb, lm = (ob[:k], mb[:k]) if which is None else (ob[which], mb[which])
-                e = table[lb + (window.astype(np.int64) & lm)]
-                blue, bits = e >> 4, (e & 15).astype(np.int64)
-                window = window >> bits.astype(np.uint64)
+                e = table[lb + (window.view(np.int64) & lm)]
+                blue, bits = e >> 4, e & 15
+                window = window >> bits.view(np.uint64)
                 la, lm = (oa[:k], ma[:k]) if which is None else (oa[which], ma[which])
-                e = table[la + (window.astype(np.int64) & lm)]
+                e = table[la + (window.view(np.int64) & lm)]
                 p = p + bits + (e & 15)
-                pixel = (e >> 4).astype(np.uint32) << np.uint32(24) | red.astype(np.uint32) << np.uint32(16) | symbol.astype(np.uint32) << np.uint32(8) | blue.astype(np.uint32)
+                pixel = ((e >> 4) << 24 | red << 16 | symbol << 8 | blue).astype(np.uint32)
                 if which is None:
                     pos[:k], out[here] = p, pixel
                 else:
@@ -337,8 +344,7 @@ def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
             copying = bool(left.any())
         if any_cache:
             made = out[here]
-            at = (made.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> shifts[:k]
-            cache[cache_at[:k] + np.where(cache_bits[:k] > 0, at.astype(np.int64), 0)] = made
+            cache[cache_at[:k] + (made * np.uint32(CACHE_MULTIPLIER) >> shifts[:k])] = made  # a shift by 32 gives 0, the slot of those without
     if (pos > ends).any():
         raise ValueError("the data end too early")
     pixels, stops = [None] * len(jobs), [0] * len(jobs)
@@ -529,8 +535,12 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
             out.put(u, 8)
         return
     runs: list[tuple[int, int, int]] = []
-    for length, same in itertools.groupby(lengths[: used[-1] + 1].tolist()):
-        n = len(list(same))
+    known = lengths[: used[-1] + 1]
+    cuts = np.concatenate(([0], np.flatnonzero(known[1:] != known[:-1]) + 1))
+    for length, n in zip(known[cuts].tolist(), np.diff(cuts, append=len(known)).tolist()):
+        if n == 1:
+            runs.append((length, 0, 0))
+            continue
         if length == 0:
             while n >= 3:
                 take = min(n, 138)
@@ -615,7 +625,7 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
     out.put(1 if cache_bits else 0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
-    where = np.zeros(n, np.int64)
+    where = None
     if main:
         out.put(1 if groups else 0, 1)
         if groups:
@@ -631,7 +641,7 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
     literal = ~covered
     if cache_bits:
         slot = ((px.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         hit = np.zeros(n, bool)
         hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
         if n and px[0] == 0:
@@ -649,11 +659,12 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
     alphabet = 280 + (1 << cache_bits if cache_bits else 0)
     value, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     lengths_of_copies = {}
-    for g in range(int(where.max()) + 1 if n else 1):
-        own, lit = starts & (where == g), literal & (where == g)
+    for g in range(1 if where is None else int(where.max()) + 1):
+        own, lit = (np.flatnonzero(x if where is None else x & (where == g)) for x in (starts, literal))
+        rest_of = [ch[lit] for ch in (red, blue, alpha)]
         green = code_lengths(np.bincount(symbol[own], minlength=alphabet), LONGEST_CODE)
-        rest = code_lengths(np.bincount(np.concatenate((red[lit], blue[lit], alpha[lit])), minlength=256), LONGEST_CODE)
-        far = code_lengths(np.bincount([d[0] for s, _, d in marks if where[s] == g], minlength=40))
+        rest = code_lengths(np.bincount(np.concatenate(rest_of), minlength=256), LONGEST_CODE)
+        far = code_lengths(np.bincount([d[0] for s, _, d in marks if where is None or where[s] == g], minlength=40))
         write_code(out, green)
         shared = Writer()
         write_code(shared, rest)
@@ -662,13 +673,15 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
         write_code(out, far)
         sizes = [x * (np.count_nonzero(x) > 1) for x in (green, rest, far)]
         codes = [codes_of(x) for x in (green, rest, far)]
-        value[own], size[own] = codes[0][symbol[own]].astype(np.uint64), sizes[0][symbol[own]]
-        for ch in (red, blue, alpha):
-            value[lit] |= codes[1][ch[lit]].astype(np.uint64) << size[lit].astype(np.uint64)
-            size[lit] += sizes[1][ch[lit]]
+        value[own], size[own] = codes[0].view(np.uint64)[symbol[own]], sizes[0][symbol[own]]
+        made, bits = value[lit], size[lit]
+        for ch in rest_of:
+            made |= codes[1].view(np.uint64)[ch] << bits.view(np.uint64)
+            bits += sizes[1][ch]
+        value[lit], size[lit] = made, bits
         lengths_of_copies[g] = (codes[2], sizes[2])
     for start, (_, extra, bits), (d, more, more_bits) in marks:
-        codes, sizes = lengths_of_copies[int(where[start])]
+        codes, sizes = lengths_of_copies[0 if where is None else int(where[start])]
         for v, b in ((extra, bits), (int(codes[d]), int(sizes[d])), (more, more_bits)):
             value[start] |= np.uint64(v << int(size[start]))
             size[start] += b
@@ -772,7 +785,7 @@ def worth(px: np.ndarray, distinct: int, cache_bits: int) -> int:
     if 8 * (flat.size - distinct) < flat.size:
         return 0
     slot = (flat.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
     return cache_bits if 8 * np.count_nonzero(flat[order[1:]] == flat[order[:-1]]) >= flat.size else 0
 
 
