@@ -106,7 +106,9 @@ def parts(line: Column, tags: Column | None = None) -> Column:
 
 def with_parts(df: DataFrame, line: Column, name: str, few: int = 100_000) -> DataFrame:
     """The rows with parts() of a line. A path depends on the classes of the words only, and lines have few different sequences of classes: each is solved once, and the rows get their tags by a join, which is a broadcast while the sequences are few."""
-    marked = df.withColumn("_looks", F.array_join(looks_of(line), " "))
+    # small files are read by one task, whatever work their rows make
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    marked = dealt.withColumn("_looks", F.array_join(looks_of(line), " "))
     forms = written(marked.select("_looks").distinct(), "forms")
     solved = written(forms.withColumn("_tags", tags_of(F.filter(F.split("_looks", " "), lambda k: k != ""))), "solved-forms")
     solved = F.broadcast(solved) if solved.count() <= few else solved

@@ -45,3 +45,11 @@ def test_the_path_is_the_cheapest(spark):
     for r in looks:
         least = min(cost(r["k"], tags) for tags in itertools.product(A.TAGS, repeat=len(r["k"])))
         assert abs(cost(r["k"], r["t"]) - least) < 1e-9
+
+
+def test_lines_of_one_partition_are_read_by_many_tasks(spark):
+    from pledgework.functions import addresses
+
+    few = spark.range(0, 40, 1, 1).selectExpr("id", "concat(id, ' Main St') AS line")
+    got = addresses.with_parts(few, few["line"], "found")
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 40
