@@ -103,3 +103,29 @@ def test_pairs_are_made_once_and_never_sent(spark):
         assert got == [(x["id"], y["id"]) for x in named for y in named if x["id"] < y["id"] and shared(x, y)]
     plan = plan_of(I.match_pairs(people))
     assert plan.count("Join") - plan.count("Join LeftOuter") == len(blocks) and "Aggregate" not in plan and "Distinct" not in plan
+
+
+def test_both_sides_of_a_block_read_what_was_sent_once(spark):
+    """Of three blocks three exchanges, whose rows have no more columns than the people."""
+    rows = [(i, "Ann", f"Lee{i % 3}", f"{i % 4}", f"+1{i % 6}", f"{i % 5} Main") for i in range(60)]
+    people = spark.createDataFrame(rows, "id long, first_name string, last_name string, postal_code string, phone string, address1 string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = I.match_pairs(people)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    reused = [line for line in plan.splitlines() if "ReusedExchange" in line and "hashpartitioning" in line]
+    assert len(reused) == 3 and plan.count("Exchange hashpartitioning") == 3 + len(reused)  # the text of a reused one names its exchange
+    assert not any("_short" in line or "_phone" in line for line in reused)
+
+
+def test_common_blocks_meet_in_cells_beside_small_ones(spark):
+    """Sent rows are the people's own columns; what is made of them is there on both sides, in cells and in small blocks."""
+    rows = [(i, "hot" if i < 40 else f"b{i % 7}", f"N{i}") for i in range(90)]
+    people = spark.createDataFrame(rows, "id long, block string, name string")
+    got = M.first_met(people, (("block",),), 10, {"low": F.lower("name")}).selectExpr("l.id AS a", "r.id AS b", "l.low AS x", "r.low AS y").collect()
+    assert sorted(tuple(sorted((r["a"], r["b"]))) for r in got) == [(a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x == y]
+    assert all((r["x"], r["y"]) == (f"n{r['a']}", f"n{r['b']}") for r in got)
