@@ -38,6 +38,7 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 NEAR_X, NEAR_Y = (np.array(v, np.int64) for v in zip(*NEAR))
 _REVERSED: dict[int, np.ndarray] = {}
+CHANNEL = 256 * np.arange(4)
 
 
 def reversal(bits: int) -> np.ndarray:
@@ -54,7 +55,7 @@ def reversal(bits: int) -> np.ndarray:
 
 def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     """Huffman lengths; counts are flattened until none is longer than most."""
-    symbols = np.flatnonzero(counts)
+    symbols = counts.nonzero()[0]
     lengths = np.zeros(len(counts), np.int64)
     if len(symbols) < 2:
         lengths[symbols] = 1
@@ -91,33 +92,34 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
 
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes with their bits reversed, as they stand in the file."""
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
     codes = np.zeros(len(lengths), np.int64)
-    if len(order) < 2:
+    if len(used) < 2:
         return codes
-    own = lengths[order]
-    top = int(own.max())
+    own = lengths[used]
+    order = own.argsort(kind="stable")
+    own = own[order]
+    top = int(own[-1])
     steps = 1 << (top - own)
-    firsts = np.concatenate(([0], np.cumsum(steps)[:-1]))
-    codes[order] = reversal(top)[firsts]
+    codes[used[order]] = reversal(top)[steps.cumsum() - steps]
     return codes
 
 
 def lookup(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """(table, bits): the next bits give symbol * 16 + length."""
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     if len(used) == 0:
         raise ValueError("a prefix code without symbols")
     if len(used) == 1:
         return np.array([used[0] * 16], np.int32), 0
-    order = used[np.argsort(lengths[used], kind="stable")]
-    own = lengths[order]
-    top = int(own.max())
-    table = np.repeat(order * 16 + own, 1 << (top - own))
+    own = lengths[used]
+    order = own.argsort(kind="stable")
+    own = own[order]
+    top = int(own[-1])
+    table = (used[order] * 16 + own).astype(np.int32).repeat(1 << (top - own))
     if len(table) != 1 << top:
         raise ValueError("a prefix code that isn't complete")
-    return table[reversal(top)].astype(np.int32), top
+    return table[reversal(top)], top
 
 
 class Bits:
@@ -143,10 +145,11 @@ class Bits:
             if n == 2:
                 lengths[self.read(8)] = 1
             return lookup(lengths)
-        own = np.zeros(19, np.int64)
-        for k in LENGTH_ORDER[: 4 + self.read(4)]:
-            own[k] = self.read(3)
-        table, bits = lookup(own)
+        few, own = LENGTH_ORDER[: 4 + self.read(4)], [0] * 19
+        packed = self.read(30) | self.read(3 * len(few) - 30) << 30 if len(few) > 10 else self.read(3 * len(few))
+        for k in few:
+            own[k], packed = packed & 7, packed >> 3
+        table, bits = lookup(np.array(own, np.int64))
         table, mask = table.tolist(), (1 << bits) - 1
         left = alphabet
         if self.read(1):
@@ -279,7 +282,7 @@ def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
             og, orr, ob, oa, od = offsets[group].T
             mg, mr, mb, ma, md = masks[group].T
         here = out_at[:k] + t
-        fresh = np.flatnonzero(left[:k] == 0) if copying else None
+        fresh = (left[:k] == 0).nonzero()[0] if copying else None
         if fresh is None or len(fresh) == k:
             fresh, p, g, gm = None, pos[:k], og[:k], mg[:k]
         else:
@@ -338,7 +341,7 @@ def decode_pixels(jobs: list[Job]) -> tuple[list[np.ndarray], list[int]]:
                 else:
                     pos[which], out[here[which]] = p, pixel
         if copying:
-            w = np.flatnonzero(left[:k] > 0)
+            w = left[:k].nonzero()[0]
             out[here[w]] = out[here[w] - back[w]]
             left[w] -= 1
             copying = bool(left.any())
@@ -525,7 +528,7 @@ class Writer:
 
 
 def write_code(out: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths).tolist()
+    used = lengths.nonzero()[0].tolist()
     if len(used) <= 2 and all(u < 256 for u in used):
         used = used or [0]
         out.put(1, 1)
@@ -536,8 +539,9 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
         return
     runs: list[tuple[int, int, int]] = []
     known = lengths[: used[-1] + 1]
-    cuts = np.concatenate(([0], np.flatnonzero(known[1:] != known[:-1]) + 1))
-    for length, n in zip(known[cuts].tolist(), np.diff(cuts, append=len(known)).tolist()):
+    each, at = known.tolist(), 0
+    for end in [*((known[1:] != known[:-1]).nonzero()[0] + 1).tolist(), len(each)]:
+        length, n, at = each[at], end - at, end
         if n == 1:
             runs.append((length, 0, 0))
             continue
@@ -558,17 +562,17 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
     small = code_lengths(counts, 7)
     codes = codes_of(small)
     out.put(0, 1)
-    kept = max(i for i, k in enumerate(LENGTH_ORDER) if small[k]) + 1
-    out.put(max(4, kept) - 4, 4)
-    for k in LENGTH_ORDER[: max(4, kept)]:
-        out.put(int(small[k]), 3)
+    own_bits = small.tolist()
+    kept = max(4, max(i for i, k in enumerate(LENGTH_ORDER) if own_bits[k]) + 1)
+    out.put(kept - 4, 4)
+    out.put(sum(own_bits[k] << 3 * i for i, k in enumerate(LENGTH_ORDER[:kept])), 3 * kept)
     out.put(1, 1)
     bits = max(2, (len(runs) - 2).bit_length() + 1 & ~1)
     out.put((bits - 2) // 2, 3)
     out.put(len(runs) - 2, bits)
-    if np.count_nonzero(small) == 1:
-        small[:] = 0
-    own_codes, own_bits = codes.tolist(), small.tolist()
+    if own_bits.count(0) == len(own_bits) - 1:
+        own_bits = [0] * len(own_bits)
+    own_codes = codes.tolist()
     value = at = 0
     for symbol, extra, n in runs:
         value |= (own_codes[symbol] | extra << own_bits[symbol]) << at
@@ -592,21 +596,29 @@ def copies_of(px: np.ndarray, width: int, least: int = 4) -> list[tuple[int, int
         if len(px) <= dist:
             continue
         same = np.concatenate(([False], px[dist:] == px[:-dist], [False]))
-        edges = np.flatnonzero(same[1:] != same[:-1])
-        found += [(int(a) + dist, int(b - a), code) for a, b in zip(edges[::2], edges[1::2]) if b - a >= least]
+        edges = (same[1:] != same[:-1]).nonzero()[0].tolist()
+        found += [(a + dist, b - a, code) for a, b in zip(edges[::2], edges[1::2]) if b - a >= least]
     if len(px) > least:
         key = np.zeros(len(px) - least + 1, np.uint64)
         for k in range(least):
             key = (key ^ px[k : k + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        order, far = np.argsort(key, kind="stable"), np.zeros(len(key), np.int64)
-        now, last = (x[key[order[1:]] == key[order[:-1]]] for x in (order[1:], order[:-1]))
+        # sorted with the place in the low bits: equal keys by place; that few keys meet in the others is seen below
+        low = np.uint64((1 << len(key).bit_length()) - 1)
+        key = (key & ~low) | np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        order, far = (key & low).view(np.int64), np.zeros(len(key), np.int64)
+        meet = (key[1:] ^ key[:-1]) <= low
+        now, last = order[1:][meet], order[:-1][meet]
         for k in range(least):
             same = px[now + k] == px[last + k]
             now, last = now[same], last[same]
         far[now] = now - last
-        cuts = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1], [True])))
-        found += [(int(a), int(b - a) + least - 1, int(far[a]) + 120) for a, b in zip(cuts, cuts[1:]) if far[a] > 1 and far[a] != width]
+        if len(now):
+            cuts = np.concatenate(([0], (far[1:] != far[:-1]).nonzero()[0] + 1, [len(far)]))
+            own = far[cuts[:-1]]
+            kept = ((own > 1) & (own != width)).nonzero()[0]
+            found += zip(cuts[kept].tolist(), (cuts[kept + 1] - cuts[kept] + (least - 1)).tolist(), (own[kept] + 120).tolist())
     out, at = [], 0
     for start, n, code in sorted(found, key=lambda f: (f[0], -f[1])):
         if start < at:
@@ -660,7 +672,7 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
     value, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     lengths_of_copies = {}
     for g in range(1 if where is None else int(where.max()) + 1):
-        own, lit = (np.flatnonzero(x if where is None else x & (where == g)) for x in (starts, literal))
+        own, lit = ((x if where is None else x & (where == g)).nonzero()[0] for x in (starts, literal))
         rest_of = [ch[lit] for ch in (red, blue, alpha)]
         green = code_lengths(np.bincount(symbol[own], minlength=alphabet), LONGEST_CODE)
         rest = code_lengths(np.bincount(np.concatenate(rest_of), minlength=256), LONGEST_CODE)
@@ -679,12 +691,15 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
             made |= codes[1].view(np.uint64)[ch] << bits.view(np.uint64)
             bits += sizes[1][ch]
         value[lit], size[lit] = made, bits
-        lengths_of_copies[g] = (codes[2], sizes[2])
-    for start, (_, extra, bits), (d, more, more_bits) in marks:
-        codes, sizes = lengths_of_copies[0 if where is None else int(where[start])]
-        for v, b in ((extra, bits), (int(codes[d]), int(sizes[d])), (more, more_bits)):
-            value[start] |= np.uint64(v << int(size[start]))
-            size[start] += b
+        lengths_of_copies[g] = (codes[2].tolist(), sizes[2].tolist())
+    if marks:
+        tails = []
+        for start, (_, extra, bits), (d, more, more_bits) in marks:
+            codes, sizes = lengths_of_copies[0 if where is None else int(where[start])]
+            tails.append((start, extra | (codes[d] | more << sizes[d]) << bits, bits + sizes[d] + more_bits))
+        at, tail, bits = (np.array(x, np.int64) for x in zip(*tails))
+        value[at] |= tail.view(np.uint64) << size[at].view(np.uint64)
+        size[at] += bits
     value, size = value[starts], size[starts]
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
@@ -692,9 +707,9 @@ def write_pixels(out: Writer, px: np.ndarray, width: int, main: bool, cache_bits
     words = np.zeros((total + (out.at & 7) >> 6) + 2, np.uint64)
     if len(value):
         slot, shift = at >> 6, (at & 63).astype(np.uint64)
-        firsts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        firsts = np.concatenate(([0], (slot[1:] != slot[:-1]).nonzero()[0] + 1))
         words[slot[firsts]] = np.bitwise_or.reduceat(value << shift, firsts)
-        over = np.flatnonzero((at & 63) + size > 64)
+        over = ((at & 63) + size > 64).nonzero()[0]
         words[slot[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
     out.put(int.from_bytes(words.tobytes(), "little") >> (out.at & 7), total)
 
@@ -750,19 +765,23 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
 
 
-def entropy(ch: np.ndarray) -> float:
-    """Bits of the four channels' values, each channel by its own counts."""
-    n = np.bincount(((ch & 255) + 256 * np.arange(4)).ravel(), minlength=1024).reshape(4, 256)
-    return float((n * np.log2(np.maximum(n.sum(axis=1, keepdims=True), 1) / np.maximum(n, 1))).sum())
+def certainty(samples: np.ndarray) -> int:
+    """How alike the values of each of the four channels are: the larger, the fewer bits they take. Sums of n * log2(n) over the counts, in whole 2^-20."""
+    n = np.bincount((samples.reshape(-1, 4) + CHANNEL).ravel(), minlength=1024)
+    n = n[n > 1]
+    return int((n * np.log2(n) * (1 << 20)).astype(np.int64).sum())
 
 
 def predicted(px: np.ndarray, bits: int = 4) -> list | None:
     """Prediction from the left or the row above, by block, then cross-colour; nothing if the residues are no easier to store."""
-    rows = np.arange(0, len(px), 4)  # every fourth row tells whether it is worth a try
-    some = channels(px[rows])
-    above = channels(px[rows - 1])
-    above[0] = 0  # nothing is above the first row
-    if min(entropy(np.diff(some, axis=1, prepend=0)), entropy(some - above)) >= entropy(some):
+    # every fourth row tells whether it is worth a try; bytes wrap as the format's residues do
+    some = np.ascontiguousarray(px).view(np.uint8).reshape(*px.shape, 4)
+    above = some[3:-1:4]
+    some = some[::4]
+    left, top = some.copy(), some.copy()
+    left[:, 1:] -= some[:, :-1]
+    top[1:] -= above[: len(some) - 1]  # nothing is above the first row
+    if max(certainty(left), certainty(top)) <= certainty(some):
         return None
     ch = channels(px)
     steps = [np.diff(ch, axis=k, prepend=0) for k in (1, 0)]
@@ -791,7 +810,8 @@ def worth(px: np.ndarray, distinct: int, cache_bits: int) -> int:
 
 def shortest(px: np.ndarray, cache_bits: int = CACHE_BITS) -> tuple[bytes, str]:
     """The shortest of a frame's encodings, and the name of its transforms."""
-    distinct = len(np.unique(px))
+    flat = np.sort(px, axis=None)
+    distinct = 1 + np.count_nonzero(flat[1:] != flat[:-1])
     made = [(encode_stream(px, (), worth(px, distinct, cache_bits)), "plain")]
     if 4 * distinct <= min(1024, px.size):
         made.append((encode_stream(px, [(PALETTE,)]), "palette"))
@@ -821,10 +841,11 @@ def payload_of(frames: list[np.ndarray]) -> bytes:
 def feature(pixels: bytes) -> str:
     """Rows, mean sample, share of samples by quarter of their range, and mean step between pixels above each other."""
     samples = np.frombuffer(pixels, np.uint8)
-    quarters = np.bincount(samples >> 6, minlength=4)
-    rows = samples.reshape(-1, ROW_BYTES).astype(np.int64)
-    step = int(np.abs(np.diff(rows, axis=0)).sum()) // max(1, rows[1:].size)
-    return f"rows={len(rows)};mean={int(samples.sum(dtype=np.int64)) * 1000 // len(samples)};quarters={'/'.join(map(str, quarters.tolist()))};step={step}"
+    counts = np.bincount(samples, minlength=256)
+    quarters = counts.reshape(4, 64).sum(axis=1)
+    rows = samples.reshape(-1, ROW_BYTES).astype(np.int16)
+    step = int(np.abs(rows[1:] - rows[:-1]).sum(dtype=np.int64)) // max(1, rows[1:].size)
+    return f"rows={len(rows)};mean={int(counts @ np.arange(256)) * 1000 // len(samples)};quarters={'/'.join(map(str, quarters.tolist()))};step={step}"
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def plain_spans(text, encode):
         dense = lambda x: len(x) >= 16 and not secrets.known(x) and len(x) / len(encode(x)) < 2.0
         free = [True] * len(run)
         for k in secrets.NO_SECRET.finditer(run):
-            if len(k.group()) in secrets.DIGESTS or not k.group().isalnum():
+            if len(k.group()) in secrets.a9d562a1518ce0db1e4f39ec8757796c17f78fe4e9a9937fb181c41fbbd054acS or not k.group().isalnum():
                 free[k.start() : k.end()] = [False] * len(k.group())
         at = 0
         while at < len(run):
@@ -648,6 +648,45 @@ def test_copies_come_from_anywhere():
     assert (webp.decode_files([file])[0][0].ravel() == px).all()
 
 
+def test_a_frame_takes_few_calls_and_keeps_its_bytes():
+    """Calls of functions while a text of one frame is stored: about 840 before, about 450 now; the files are those that were stored before."""
+    import hashlib
+    import sys
+
+    payloads = []
+    for seed in range(4):
+        rng = random.Random(seed)
+        text = " ".join("".join(chr(97 + int(26 * rng.random())) for _ in range(1 + int(8 * rng.random()))) for _ in range(600)).encode()
+        text += text[:700]
+        payloads.append(text + b"\xff" * (-len(text) % 576))
+    files, made, before = [], 0, sys.getprofile()
+
+    def count(frame, event, arg):
+        nonlocal made
+        made += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        files = [webp.store(p)[0] for p in payloads]
+    finally:
+        sys.setprofile(before)
+    assert made < 600 * len(payloads)
+    assert hashlib.sha256(b"".join(files)).hexdigest() == "a9d562a1518ce0db1e4f39ec8757796c17f78fe4e9a9937fb181c41fbbd054ac"
+    assert [webp.payload_of(f) for f in webp.decode_files(files)] == payloads
+
+
+def test_certainty_orders_as_entropy_does():
+    rng = np.random.default_rng(6)
+    made = [(rng.random((9, 50, 4)) ** k * 255).astype(np.uint8) for k in (1, 2, 4, 9)] + [np.zeros((9, 50, 4), np.uint8)]
+
+    def entropy(x):
+        n = np.array([np.bincount(x[..., c].ravel(), minlength=256) for c in range(4)])
+        return float((n * np.log2(n.sum(axis=1, keepdims=True) / np.maximum(n, 1))).sum())
+
+    bits, alike = [entropy(x) for x in made], [webp.certainty(x) for x in made]
+    assert sorted(bits, reverse=True) == bits and sorted(alike) == alike and len(set(alike)) == len(alike)
+
+
 def test_media_columns(spark):
     import hashlib
 
