@@ -129,3 +129,18 @@ def test_common_blocks_meet_in_cells_beside_small_ones(spark):
     got = M.first_met(people, (("block",),), 10, {"low": F.lower("name")}).selectExpr("l.id AS a", "r.id AS b", "l.low AS x", "r.low AS y").collect()
     assert sorted(tuple(sorted((r["a"], r["b"]))) for r in got) == [(a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x == y]
     assert all((r["x"], r["y"]) == (f"n{r['a']}", f"n{r['b']}") for r in got)
+
+
+def test_people_alike_are_judged_as_one(spark):
+    """120 people of two kinds that share every block make three joined rows; their ids are paired after that."""
+    rows = [(i, "Ann" if i % 3 else None, "Lee", "1", "+1", "1 Main") for i in range(120)]
+    people = spark.createDataFrame(rows, "id long, first_name string, last_name string, postal_code string, phone string, address1 string")
+    one = {r["first_name"]: r["ids"] for r in M.alike(people).collect()}
+    assert {k: sorted(v) for k, v in one.items()} == {"Ann": [i for i in range(120) if i % 3], None: list(range(0, 120, 3))}
+    blocks = (("address1", "postal_code"), ("phone",), ("last_name", "postal_code"))
+    assert M.first_met(M.alike(people), blocks, itself=True).count() == 3
+    dealt = M.alike(people, 10).collect()
+    assert sorted(i for r in dealt for i in r["ids"]) == list(range(120)) and len(dealt) > 12 and all(r["id"] == min(r["ids"]) for r in dealt)
+    got = {(r["l"], r["r"]): r["weight"] for r in I.match_pairs(people).collect()}
+    assert sorted(got) == [(a, b) for a in range(120) for b in range(a + 1, 120)] and len({w for (a, b), w in got.items() if a % 3 and b % 3}) == 1
+    assert got[1, 2] > got[0, 1] == got[0, 3]
