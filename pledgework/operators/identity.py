@@ -144,21 +144,19 @@ def agreement(c: str) -> Column:
     return F.when(x.isNull() | y.isNull(), 0).when(same, 1).otherwise(2)
 
 
-def match_pairs(people: DataFrame, blocks: tuple[tuple[str, ...], ...] = BLOCKS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs that share a block, with the probability of a match by agreeing fields; a null is neutral. keep: columns of the person of the smaller id that go with the pair."""
-    used = {c for block in blocks for c in block} | set(keep)
+def match_pairs(people: DataFrame, blocks: tuple[tuple[str, ...], ...] = BLOCKS) -> DataFrame:
+    """Pairs that share a block, with the probability of a match by agreeing fields; a null is neutral."""
+    used = {c for block in blocks for c in block} | set(AGREE)
     # people alike in all columns are judged as one, then their ids are paired
-    both = first_met(alike(people.select("id", *sorted(used | set(AGREE)))), blocks, made=made_of_one(), itself=True)
+    both = first_met(alike(people.select("id", *sorted(used))), blocks, made=made_of_one(), itself=True)
     case = F.lit(0)
     for c in AGREE:
         case = case * 3 + agreement(c)
-    kept = [F.col(side)[c].alias(f"{side}_{c}") for c in keep for side in ("l", "r")]
-    judged = both.select(F.col("l.ids").alias("ls"), F.col("r.ids").alias("rs"), (F.col("l.id") != F.col("r.id")).alias("apart"), *kept, case.alias("case"))
+    judged = both.select(F.col("l.ids").alias("ls"), F.col("r.ids").alias("rs"), (F.col("l.id") != F.col("r.id")).alias("apart"), case.alias("case"))
     weights, chances = (F.array(*map(F.lit, values))[F.col("case")] for values in zip(*scores()))
-    judged = judged.select("ls", "rs", "apart", *(f"{side}_{c}" for c in keep for side in ("l", "r")), weights.alias("weight"), chances.alias("probability"))
+    judged = judged.select("ls", "rs", "apart", weights.alias("weight"), chances.alias("probability"))
     pairs = judged.withColumn("a", F.explode("ls")).withColumn("b", F.explode("rs")).filter("apart OR a < b")
-    lesser = [F.when(F.col("a") < F.col("b"), F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(c) for c in keep]
-    return pairs.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"), *lesser, "weight", "probability")
+    return pairs.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"), "weight", "probability")
 
 
 def scores() -> list[tuple[float, float]]:
