@@ -9,7 +9,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pledgework.operators.matching import alike, first_met
+from pledgework.operators.matching import alike, first_met, greedy
 from pledgework.operators.scratch import written
 
 #: Kinds of key that name one person, of which a component may hold one value.
@@ -167,10 +167,14 @@ def scores() -> list[tuple[float, float]]:
     return [(rounded(w), rounded(o / (1 + o))) for w, o in odds]
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """I25."""
+def bands(scored: DataFrame, keys: DataFrame | None = None, masters: DataFrame | None = None) -> DataFrame:
+    """By the thresholds alone, as the queries' SQL has it. With the system keys (profile_id, kind, value) and masters (profile_id, master_id) of the profiles l and r
+    it is the whole step: pairs of differing keys are in conflict and those of a profile that a better pair retired are skipped, by falling score (`matching.greedy`)."""
     p = F.col("probability")
-    return scored.withColumn("band", F.when(p >= LINKED, "linked").when(p >= REVIEW, "review").otherwise("rejected"))
+    if keys is None:
+        return scored.withColumn("band", F.when(p >= LINKED, "linked").when(p >= REVIEW, "review").otherwise("rejected"))
+    rejected = scored.filter(p < REVIEW).select("l", "r", "probability", F.lit("rejected").alias("band"))
+    return greedy(scored, keys, masters, LINKED, REVIEW).unionByName(rejected)
 
 
 def households(people: DataFrame) -> DataFrame:

@@ -144,3 +144,13 @@ def test_people_alike_are_judged_as_one(spark):
     got = {(r["l"], r["r"]): r["weight"] for r in I.match_pairs(people).collect()}
     assert sorted(got) == [(a, b) for a in range(120) for b in range(a + 1, 120)] and len({w for (a, b), w in got.items() if a % 3 and b % 3}) == 1
     assert got[1, 2] > got[0, 1] == got[0, 3]
+
+
+def test_bands_with_keys_are_the_whole_step(spark):
+    """A conflict by keys, a link that retires a profile, its later pair skipped, one for review, and one rejected; thresholds alone without keys."""
+    scored = spark.createDataFrame([(1, 2, 0.999), (2, 3, 0.998), (3, 4, 0.997), (5, 6, 0.9), (5, 7, 0.2)], "l long, r long, probability double")
+    keys = spark.createDataFrame([(3, "login", "x"), (4, "login", "y")], "profile_id long, kind string, value string")
+    masters = spark.createDataFrame([(i, f"m{i}") for i in range(1, 8)], "profile_id long, master_id string")
+    got = {(r["l"], r["r"]): r["band"] for r in I.bands(scored, keys, masters).collect()}
+    assert got == {(1, 2): "linked", (2, 3): "skipped", (3, 4): "conflict", (5, 6): "review", (5, 7): "rejected"}
+    assert [r["band"] for r in I.bands(scored).orderBy("l", "r").collect()] == ["linked", "linked", "linked", "review", "rejected"]
